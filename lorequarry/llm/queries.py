@@ -1,0 +1,16 @@
+"""Queries of the subpackage and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lorequarry.llm.leakage import leaked_passages
+from lorequarry.sources.tables import table
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_passages(table(spark, folder, "documents"), table(spark, folder, "heldout")).select("doc_id", "item_id")
+
+
+QUERIES = {"p9_found": p9_found}
+ORACLE_SQL: dict[str, str] = {}
