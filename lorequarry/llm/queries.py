@@ -4,13 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lorequarry.llm.dressed import distinct_contents, dressed_copies
 from lorequarry.llm.leakage import leaked_passages
+from lorequarry.llm.splitting import oversized_rows, split_oversized
 from lorequarry.sources.tables import table
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return oversized_rows(split_oversized(table(spark, folder, "chunk")))
+
+
+def p5_split(spark: SparkSession, folder: str) -> DataFrame:
+    return split_oversized(table(spark, folder, "chunk"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return dressed_copies(table(spark, folder, "chunk"))
+
+
+def p6_collapse(spark: SparkSession, folder: str) -> DataFrame:
+    return distinct_contents(table(spark, folder, "chunk"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_passages(table(spark, folder, "documents"), table(spark, folder, "heldout")).select("doc_id", "item_id")
 
 
-QUERIES = {"p9_found": p9_found}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "p5_found": p5_found,
+    "p5_split": p5_split,
+    "p6_found": p6_found,
+    "p6_collapse": p6_collapse,
+    "p9_found": p9_found,
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "p5_found": r"""
+        SELECT row_id, CASE WHEN regexp_matches(page_content, '[^\s\x0b\x1c-\x1f\x85\p{Z}.,;:!?。，；：！？、]{601,}')
+                            THEN 'hard' ELSE 'natural' END AS cut_kind
+        FROM chunk WHERE length(page_content) > 600""",
+}
