@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lorequarry.llm.dressed import distinct_contents, dressed_copies
 from lorequarry.llm.leakage import leaked_passages
+from lorequarry.llm.neardup import near_duplicate_pairs, near_duplicate_rows
 from lorequarry.llm.splitting import oversized_rows, split_oversized
 from lorequarry.sources.tables import table
 
@@ -26,6 +27,14 @@ def p6_collapse(spark: SparkSession, folder: str) -> DataFrame:
     return distinct_contents(table(spark, folder, "chunk"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicate_pairs(table(spark, folder, "chunk"))
+
+
+def p7_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicate_rows(table(spark, folder, "chunk"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_passages(table(spark, folder, "documents"), table(spark, folder, "heldout")).select("doc_id", "item_id")
 
@@ -35,6 +44,8 @@ QUERIES = {
     "p5_split": p5_split,
     "p6_found": p6_found,
     "p6_collapse": p6_collapse,
+    "p7_found": p7_found,
+    "p7_classes": p7_classes,
     "p9_found": p9_found,
 }
 
@@ -43,4 +54,19 @@ ORACLE_SQL: dict[str, str] = {
         SELECT row_id, CASE WHEN regexp_matches(page_content, '[^\s\x0b\x1c-\x1f\x85\p{Z}.,;:!?。，；：！？、]{601,}')
                             THEN 'hard' ELSE 'natural' END AS cut_kind
         FROM chunk WHERE length(page_content) > 600""",
+    "p7_found": r"""
+        WITH texts AS (
+          SELECT row_id, regexp_replace(page_content, '[\s\x0b\x1c-\x1f\x85\p{Z}]+', '', 'g') AS t FROM chunk
+        ), kept AS (SELECT row_id, t, length(t) AS n FROM texts WHERE regexp_matches(t, '[\p{L}\p{N}]')),
+        grams AS (
+          SELECT DISTINCT row_id, substr(t, i, 3) AS g FROM (SELECT row_id, t, unnest(range(1, n - 1)) AS i FROM kept)
+        ), sizes AS (SELECT row_id, count(*) AS size FROM grams GROUP BY 1),
+        shared AS (
+          SELECT a.row_id AS row_a, b.row_id AS row_b, count(*) AS in_both
+          FROM grams a JOIN grams b ON a.g = b.g AND a.row_id < b.row_id GROUP BY 1, 2
+        )
+        SELECT row_a, row_b FROM shared JOIN sizes x ON x.row_id = row_a JOIN sizes y ON y.row_id = row_b
+        WHERE in_both * 10 >= (x.size + y.size - in_both) * 8
+        UNION
+        SELECT a.row_id, b.row_id FROM kept a JOIN kept b ON a.t = b.t AND a.row_id < b.row_id""",
 }
