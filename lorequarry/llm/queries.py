@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lorequarry.llm.dressed import distinct_contents, dressed_copies
 from lorequarry.llm.leakage import leaked_passages
 from lorequarry.llm.neardup import near_duplicate_pairs, near_duplicate_rows
+from lorequarry.llm.packing import container_fill, pack_documents
 from lorequarry.llm.splitting import oversized_rows, split_oversized
 from lorequarry.sources.tables import table
 
@@ -35,6 +36,14 @@ def p7_classes(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_rows(table(spark, folder, "chunk"))
 
 
+def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents"))
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return container_fill(p8_pack(spark, folder))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_passages(table(spark, folder, "documents"), table(spark, folder, "heldout")).select("doc_id", "item_id")
 
@@ -46,6 +55,8 @@ QUERIES = {
     "p6_collapse": p6_collapse,
     "p7_found": p7_found,
     "p7_classes": p7_classes,
+    "p8_pack": p8_pack,
+    "p8_fill": p8_fill,
     "p9_found": p9_found,
 }
 
