@@ -9,6 +9,7 @@ from lorequarry.llm.leakage import leaked_passages
 from lorequarry.llm.neardup import near_duplicate_pairs, near_duplicate_rows
 from lorequarry.llm.packing import container_fill, pack_documents
 from lorequarry.llm.splitting import oversized_rows, split_oversized
+from lorequarry.llm.truncation import truncated_documents, truncation_report
 from lorequarry.sources.tables import table
 
 
@@ -48,6 +49,14 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_passages(table(spark, folder, "documents"), table(spark, folder, "heldout")).select("doc_id", "item_id")
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncated_documents(table(spark, folder, "documents")).where("cut").select("doc_id")
+
+
+def p10_report(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation_report(truncated_documents(table(spark, folder, "documents")))
+
+
 QUERIES = {
     "p5_found": p5_found,
     "p5_split": p5_split,
@@ -58,6 +67,8 @@ QUERIES = {
     "p8_pack": p8_pack,
     "p8_fill": p8_fill,
     "p9_found": p9_found,
+    "p10_found": p10_found,
+    "p10_report": p10_report,
 }
 
 ORACLE_SQL: dict[str, str] = {
