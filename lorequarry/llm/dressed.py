@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 _FIELD = re.compile(r"\s*[\"'`*-]*\s*([^\W\d](?:[\w./-]| (?! )){0,47}?)\s*[\"'`*]*\s*[:=：＝](?!//)\s*(.*?)\s*,?\s*", re.DOTALL)
 _SEMICOLON = re.compile(r"[;；]")
+_BLANKS = "\ufeff\u3000\u00a0 \t\r\n"
 _NO_LETTER = re.compile(r"[\W_]+")
 
 Node = str | tuple
@@ -56,6 +57,12 @@ def _fields(text: str) -> list[tuple[str, str]] | None:
     return None
 
 
+def is_record(text: str) -> bool:
+    """Whether a text is a JSON object or consists of ``key: value`` fields."""
+    stripped = text.strip(_BLANKS)
+    return _json_record(stripped) is not None or _fields(stripped) is not None
+
+
 def canonical(value) -> Node:
     """Structure with bare leaves; objects list their fields in sorted order, without empty keys and values."""
     if isinstance(value, tuple):
@@ -69,7 +76,7 @@ def canonical(value) -> Node:
 def structure(text: str) -> tuple[Node, str]:
     """Canonical structure of a text, and all its letters and digits in order."""
     flat = bare(text)
-    stripped = text.strip("﻿ \t\r\n 　")
+    stripped = text.strip(_BLANKS)
     record = _json_record(stripped)
     if record is None and (fields := _fields(stripped)):
         record = ("{}", fields)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lorequarry.llm.dressed import distinct_contents, dressed_copies
 from lorequarry.llm.leakage import leaked_passages
+from lorequarry.llm.markup import clean_markup, markup_found
 from lorequarry.llm.neardup import near_duplicate_pairs, near_duplicate_rows
 from lorequarry.llm.packing import container_fill, pack_documents
 from lorequarry.llm.splitting import oversized_rows, split_oversized
@@ -13,6 +14,14 @@ from lorequarry.llm.truncation import truncated_documents, truncation_report
 from lorequarry.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return markup_found(clean_markup(table(spark, folder, "chunk")))
+
+
+def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return clean_markup(table(spark, folder, "chunk"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return oversized_rows(split_oversized(table(spark, folder, "chunk")))
 
@@ -58,6 +67,8 @@ def p10_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_clean": p1_clean,
     "p5_found": p5_found,
     "p5_split": p5_split,
     "p6_found": p6_found,
