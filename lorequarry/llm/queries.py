@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lorequarry.llm.defects import defective_pairs
 from lorequarry.llm.dressed import distinct_contents, dressed_copies
 from lorequarry.llm.leakage import leaked_passages
 from lorequarry.llm.markup import clean_markup, markup_found
@@ -22,6 +23,10 @@ def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
     return clean_markup(table(spark, folder, "chunk"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return defective_pairs(table(spark, folder, "e2e"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return oversized_rows(split_oversized(table(spark, folder, "chunk")))
 
@@ -69,6 +74,7 @@ def p10_report(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_clean": p1_clean,
+    "p2_found": p2_found,
     "p5_found": p5_found,
     "p5_split": p5_split,
     "p6_found": p6_found,
