@@ -30,7 +30,9 @@ REFUSALS = {
         r"(?:can(?:no|')?t|can ?not|could(?: not|n't)|unable to|not able to|won't|will not|would rather not|must decline|have to decline|decline to|refuse to|not (?:possible|permitted|allowed) to)"
         r".{0,60}\b(?:answer|help|assist|respond|reply|comment|say|tell|discuss|provide|share|determine|give|offer|support|address)",
         r"\b(?:does|do|did) not (?:allow|permit|support|contain|include|provide|cover|mention|give).{0,30}\b(?:answer|information|details?|enough|anything)",
-        r"\b(?:nothing|no (?:relevant |sufficient |useful )?(?:information|answer|context|passage|evidence|data))\b.{0,60}(?:\b(?:context|passages?|material|documents?|sources?|available|found|about this|given)\b|\banswer)",
+        r"\bno (?:\w+ ){0,2}?(?:information|answers?|context|passages?|evidence|data|documents?|results?|notes|sources?|material)\b.{0,40}\b(?:found|available|given|retrieved|provided|exists?|possible)",
+        r"\b(?:found|have|is|was|are) no (?:\w+ ){0,2}?(?:information|answers?|passages?|evidence|data|documents?|results?)\b",
+        r"\bnothing (?:\w+ ){0,3}?(?:in|about|on) (?:the |this |these |my )?(?:context|passages?|material|documents?|sources|notes|question|topic|this)\b",
         r"\b(?:not enough|insufficient) (?:information|context|evidence|data)",
         r"\bi (?:do not|don't) (?:know|have)\b.{0,40}", r"\b(?:outside|beyond)\b.{0,20}\b(?:scope|what i can|my)", r"\bi must decline\b",
     ),
@@ -66,7 +68,7 @@ _AFFIRM = frozenset("yes no ja nein oui non sí si 是 否 不 对 会 能".spli
 
 _SENTENCE = re.compile(r"[^.!?。！？\n]*(?:[.!?]+(?=\s|$|[^\w\s.])|[。！？]+|\n+|$|\.(?=\w))", re.DOTALL)
 _CITATION = re.compile(r"(?:\s*(?:\[\d+(?:\s*[,，]\s*\d+)*\]|【\d+】|\(\d{1,2}\)))+(?=\s*[.。!?！？]?\s*$)")
-_TOKEN = re.compile(r"[㐀-鿿぀-ヿ가-힯]|[^\W_]+(?:_[^\W_]+)*")
+_TOKEN = re.compile(r"[㐀-鿿぀-ヿ가-힯]|[^\W_㐀-鿿぀-ヿ가-힯]+(?:_[^\W_㐀-鿿぀-ヿ가-힯]+)*")
 _PLAIN_VALUE = re.compile(r"\W{0,3}(?:`[^`\n]+`|[\w./:-]+(?:\([^()\n]*\))?)(?:\s*[:=]\s*`?[\w./:-]+`?)?\W{0,2}")
 _CODE_END = re.compile(r"(?:^|[.!?。！？:：]\s*)(?:`[^`\n]+`[\s,，、]*)+$")
 _INVISIBLE = re.compile(r"[\s\x00-\x20­​-‏⁠-⁤﻿　]+")
