@@ -121,7 +121,7 @@ def is_copy(question: str, answer: str) -> bool:
         return False
     left = uncovered(a, q)
     new = [t for t in a if t not in set(q)]
-    return left <= max(3, min(6, len(q) // 2)) and len(new) <= 6 and not _AFFIRM & set(new)
+    return left <= max(3, min(6, len(q) // 2)) and len(new) <= 6 and a[0] not in _AFFIRM - set(q)
 
 
 def without_question(question: str, answer: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lorequarry.llm.conversations import dropped_threads, sound_turns
 from lorequarry.llm.defects import defective_pairs
 from lorequarry.llm.dressed import distinct_contents, dressed_copies
 from lorequarry.llm.leakage import leaked_passages
@@ -27,6 +28,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return defective_pairs(table(spark, folder, "e2e"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return dropped_threads(spark, f"{folder}/conversations.parquet")
+
+
+def p3_turns(spark: SparkSession, folder: str) -> DataFrame:
+    return sound_turns(spark, f"{folder}/conversations.parquet")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return oversized_rows(split_oversized(table(spark, folder, "chunk")))
 
@@ -75,6 +84,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_clean": p1_clean,
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_turns": p3_turns,
     "p5_found": p5_found,
     "p5_split": p5_split,
     "p6_found": p6_found,
@@ -88,7 +99,42 @@ QUERIES = {
     "p10_report": p10_report,
 }
 
+_THREADS = r"""
+    WITH messages AS (
+      SELECT owner, thread_id, role, content, created_at, min(id) AS id FROM conversations GROUP BY ALL
+    ), read_roles AS (
+      SELECT owner, thread_id, content, created_at, id,
+             CASE regexp_replace(lower(role), '^[\s\p{Z}\p{C}]+|[\s\p{Z}\p{C}]+$', '', 'g')
+               WHEN 'user' THEN 'u' WHEN 'human' THEN 'u' WHEN 'assistant' THEN 'a' WHEN 'ai' THEN 'a'
+               WHEN 'system' THEN 's' WHEN 'tool' THEN 's' ELSE 'x' END AS who,
+             coalesce(regexp_matches(content, '[^\s\p{Z}\p{C}\p{M}\x{115F}\x{1160}\x{3164}\x{2800}]'), false) AS visible
+      FROM messages
+    ), turns AS (
+      SELECT *, lag(who) OVER t AS prev_who, lead(who) OVER t AS next_who
+      FROM read_roles WHERE visible AND who IN ('u', 'a') AND created_at IS NOT NULL
+      WINDOW t AS (PARTITION BY owner, thread_id ORDER BY created_at, id)
+    ), flags AS (
+      SELECT owner, thread_id, bool_or(coalesce(visible AND who IN ('u', 'a'), false)) AS speaks,
+             bool_or(visible AND (who = 'x' OR created_at IS NULL)) AS odd
+      FROM read_roles GROUP BY 1, 2
+    ), order_flags AS (
+      SELECT owner, thread_id, bool_or(who = 'a' AND coalesce(prev_who, 'a') = 'a') AS broken,
+             bool_or(who = 'u' AND coalesce(next_who, 'u') = 'u') AS waiting
+      FROM turns GROUP BY 1, 2
+    ), judged AS (
+      SELECT f.owner, f.thread_id,
+             CASE WHEN NOT speaks THEN 'empty' WHEN odd OR broken THEN 'broken' WHEN waiting THEN 'no_reply' END AS defect
+      FROM flags f LEFT JOIN order_flags o ON f.owner IS NOT DISTINCT FROM o.owner AND f.thread_id IS NOT DISTINCT FROM o.thread_id
+    )
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "p3_found": _THREADS + "SELECT owner, thread_id, defect FROM judged WHERE defect IS NOT NULL",
+    "p3_turns": _THREADS
+    + """SELECT t.owner, t.thread_id, row_number() OVER (PARTITION BY t.owner, t.thread_id ORDER BY created_at, id) - 1 AS turn,
+                CASE who WHEN 'u' THEN 'user' ELSE 'assistant' END AS role, content, created_at, id
+         FROM turns t JOIN judged j ON t.owner IS NOT DISTINCT FROM j.owner AND t.thread_id IS NOT DISTINCT FROM j.thread_id
+         WHERE defect IS NULL""",
     "p5_found": r"""
         SELECT row_id, CASE WHEN regexp_matches(page_content, '[^\s\x0b\x1c-\x1f\x85\p{Z}.,;:!?。，；：！？、]{601,}')
                             THEN 'hard' ELSE 'natural' END AS cut_kind
