@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorequarry.plans import references
+from lorequarry.plans import references, text
 
-_MODULES = (references,)
+_MODULES = (references, text)
 FLAGSHIP = "p4_found"
 
 
