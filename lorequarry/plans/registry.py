@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorequarry.plans import references, text
+from lorequarry.plans import references, retrieval, text
 
-_MODULES = (references, text)
-FLAGSHIP = "p4_found"
+_MODULES = (references, text, retrieval)
+FLAGSHIP = "hybrid_search"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
