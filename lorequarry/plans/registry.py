@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorequarry.plans import chunking, references, retrieval, text
+from lorequarry.plans import chunking, evaluation, judged, references, retrieval, text
 
-_MODULES = (references, text, retrieval, chunking)
+_MODULES = (references, text, retrieval, chunking, evaluation, judged)
 FLAGSHIP = "hybrid_search"
 
 
