@@ -56,7 +56,7 @@ def contiguous_runs(keys: DataFrame, slices: int = 64) -> tuple[DataFrame, int,
     low, width = _slice_width(distinct, slices)
     w = W.partitionBy("slice").orderBy("key")
     numbered = distinct.withColumn("slice", _slice_of(F.col("key"), low, width)).withColumn(
-        "island", F.col("key") - F.row_number().over(w)
+        "island", F.col("key").cast("decimal(20,0)") - F.row_number().over(w)
     )
     runs = numbered.groupBy("slice", "island").agg(F.min("key").alias("run_start"), F.max("key").alias("run_end"))
     return runs.drop("island"), low, width
@@ -64,8 +64,8 @@ def contiguous_runs(keys: DataFrame, slices: int = 64) -> tuple[DataFrame, int,
 
 def _slice_of(key: Column, low: int, width: int) -> Column:
     # decimal: the distance of two 64-bit keys may not fit 64 bits
-    gap = key.cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")
-    return F.floor(gap / F.lit(width).cast("decimal(20,0)")).cast("long")
+    whole = lambda n: F.lit(str(n)).cast("decimal(20,0)")
+    return F.floor((key.cast("decimal(20,0)") - whole(low)) / whole(width)).cast("long")
 
 
 def match_runs(keys: DataFrame, parents: DataFrame, slices: int = 64) -> DataFrame:

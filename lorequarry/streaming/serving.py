@@ -11,11 +11,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lorequarry.operators.serving import FALLBACK
 
 
-def limit_requests(requests: DataFrame, quota: int = 20, window_seconds: int = 60) -> DataFrame:
+def limit_requests(requests: DataFrame, quota: int = 20, window_seconds: int = 60, expire: bool = True) -> DataFrame:
     """``(key, at_ms, id, count, allowed)`` of a stream ``(key, at_ms, id)``, ``at_ms`` being arrival in milliseconds.
 
-    A key's state is the opening of its window and the count within.  State is
-    dropped by a processing-time timer once the window is over.
+    A key's state is the opening of its window and the count within.  With
+    ``expire``, a processing-time timer drops it once the window is over; a replay
+    that is to end by itself must do without timers.
     """
     span = window_seconds * 1000
 
@@ -34,10 +35,12 @@ def limit_requests(requests: DataFrame, quota: int = 20, window_seconds: int = 6
                 counts.append(count)
             yield pd.DataFrame({"key": key[0], "at_ms": rows["at_ms"], "id": rows["id"], "count": counts, "allowed": [c <= quota for c in counts]})
         state.update((opened, count))
-        state.setTimeoutDuration(span)
+        if expire:
+            state.setTimeoutDuration(span)
 
     return requests.groupBy("key").applyInPandasWithState(
-        step, "key string, at_ms long, id long, count long, allowed boolean", "opened long, count long", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, "key string, at_ms long, id long, count long, allowed boolean", "opened long, count long", "append",
+        GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout,
     )
 
 

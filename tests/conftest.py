@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 DATA = "/root/testdata"
 
 
@@ -17,7 +17,7 @@ def spark():
 
     os.environ.setdefault("PYTHONPATH", str(ROOT))
     session = build_session(
-        "tests", "8", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "6g"}
+        "tests", "8", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g"}
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
