@@ -101,27 +101,31 @@ def containment(a: list[str], b: list[str], width: int = 3) -> float:
     return len(own & {tuple(b[i : i + width]) for i in range(len(b) - width + 1)}) / len(own)
 
 
-def uncovered(a: list[str], b: list[str], width: int = 3) -> int:
-    """Tokens of ``a`` that lie in none of the shingles it shares with ``b``."""
+def covered(a: list[str], b: list[str], width: int = 3) -> list[int]:
+    """Places in ``a`` that lie in a shingle it shares with ``b``."""
     width = min(width, len(a), len(b))
     known = {tuple(b[i : i + width]) for i in range(len(b) - width + 1)}
-    covered = set()
+    found: set[int] = set()
     for i in range(len(a) - width + 1):
         if tuple(a[i : i + width]) in known:
-            covered.update(range(i, i + width))
-    return len(a) - len(covered)
+            found.update(range(i, i + width))
+    return sorted(found)
 
 
 def is_copy(question: str, answer: str) -> bool:
-    """Whether the answer says nothing but the question again, perhaps repeated or led in."""
+    """Whether the answer says nothing but the question again.
+
+    It may be repeated, reordered or slightly edited, and a few words may lead it
+    in; words after it are an answer.
+    """
     q, a = tokens(question), tokens(answer)
-    if len(q) < 2 or not a or containment(a, q) < 0.4 or containment(q, a) < 0.5:
+    if len(q) < 2 or not a or containment(q, a) < 0.5 or common_subsequence(q, a) * 2 < len(q):
         return False
-    if common_subsequence(q, a) * 2 < len(q):
+    places = covered(a, q)
+    if not places or places[-1] < len(a) - 1:
         return False
-    left = uncovered(a, q)
-    new = [t for t in a if t not in set(q)]
-    return left <= max(3, min(6, len(q) // 2)) and len(new) <= 6 and a[0] not in _AFFIRM - set(q)
+    lead, between = places[0], places[-1] - places[0] + 1 - len(places)
+    return lead <= 6 and between <= max(2, len(q) // 5) and (not lead or a[0] not in _AFFIRM)
 
 
 def without_question(question: str, answer: str) -> str:

@@ -3,8 +3,8 @@
 Method: Merkle-style bottom-up hashing.  Leaves are reduced to lower-case
 letters and digits; an object is an unordered node (its child digests are
 sorted), a list an ordered one; plain text is a single leaf.  Records are grouped
-by root digest, and every copy is confirmed against the row that is kept by
-comparing their full canonical structures.
+by root digest, and every copy is confirmed by comparing its full canonical
+structure with that of a row of the same digest.
 
 Scale: a row travels as two 16-byte digests.  Groups are counted with map-side
 aggregation and never gathered: a group's only state is its smallest id and its
@@ -22,6 +22,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from lorequarry.shared import materialize
+
 _FIELD = re.compile(r"\s*[\"'`*-]*\s*([^\W\d](?:[\w./-]| (?! )){0,47}?)\s*[\"'`*]*\s*[:=：＝](?!//)\s*(.*?)\s*,?\s*", re.DOTALL)
 _SEMICOLON = re.compile(r"[;；]")
 _BLANKS = "\ufeff\u3000\u00a0 \t\r\n"
@@ -126,19 +128,28 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def content_groups(rows: DataFrame, text_col: str = "page_content", id_col: str = "row_id") -> DataFrame:
-    """``(root, flat, keep_id, copies)``: each digest pair with the smallest id and the size of its group.
+    """``(root, flat, keep_id, copies, witness_id)``: each digest pair with the smallest id and the size of its group.
 
     Plain texts whose letters and digits equal those of a record join the
-    record's group.  Null texts and texts without letters and digits are left out.
+    record's group.  ``witness_id`` is a row that shares the pair's content by
+    itself, not through another member.  Null texts and texts without letters and
+    digits are left out.
     """
     digests = _digest_rows(rows, text_col, id_col)
-    classes = digests.groupBy("root", "flat").agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("n"))
-    records = classes.where("root <> flat").groupBy("flat").agg(F.min("root").alias("record"))
-    labelled = classes.join(records, "flat", "left").withColumn(
-        "label", F.when(F.col("root") == F.col("flat"), F.coalesce("record", "root")).otherwise(F.col("root"))
+    classes = materialize(
+        digests.groupBy("root", "flat").agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("n")), "contents"
+    )
+    records = classes.where("root <> flat").groupBy("flat").agg(F.min("root").alias("record"), F.min_by("keep", "root").alias("near"))
+    roots = classes.groupBy("root").agg(F.min("keep").alias("own"))
+    plain = F.col("root") == F.col("flat")
+    labelled = (
+        classes.join(roots, "root")
+        .join(records, "flat", "left")
+        .withColumn("label", F.when(plain, F.coalesce("record", "root")).otherwise(F.col("root")))
+        .withColumn("witness_id", F.when(plain, F.coalesce("near", "own")).otherwise(F.col("own")))
     )
     groups = labelled.groupBy("label").agg(F.min("keep").alias("keep_id"), F.sum("n").alias("copies"))
-    return labelled.select("root", "flat", "label").join(groups, "label").select("root", "flat", "keep_id", "copies")
+    return labelled.join(groups, "label").select("root", "flat", "keep_id", "copies", "witness_id")
 
 
 def _digest_rows(rows: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -157,13 +168,15 @@ def dressed_copies(
         .withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
         .join(salted, ["root", "flat", "salt"])
         .where("id <> keep_id")
-        .select("keep_id", F.col("id").alias("copy_id"))
+        .select("keep_id", F.col("id").alias("copy_id"), "witness_id")
     )
     texts = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     with_copy = pairs.join(texts.select(F.col("id").alias("copy_id"), F.col("text").alias("copy_text")), "copy_id")
-    with_both = with_copy.join(texts.select(F.col("id").alias("keep_id"), F.col("text").alias("keep_text")), "keep_id")
-    return with_both.select("keep_id", "copy_id", "keep_text", "copy_text").mapInArrow(
-        _confirm, "keep_id long, copy_id long"
+    witnesses = texts.select(F.col("id").alias("witness_id"), F.col("text").alias("witness_text"))
+    return (
+        with_copy.join(witnesses, "witness_id")
+        .select("keep_id", "copy_id", "witness_text", "copy_text")
+        .mapInArrow(_confirm, "keep_id long, copy_id long")
     )
 
 

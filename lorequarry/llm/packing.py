@@ -164,8 +164,8 @@ def pack_documents(
 
 
 def container_fill(placed: DataFrame, capacity: int = 2048) -> DataFrame:
-    """``(containers, tokens, unused, fill)`` of a placement, one row."""
+    """``(containers, tokens, unused, fill)`` of a placement, one row; ``fill`` is null without containers."""
     used = placed.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
     total = used.agg(F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("used"), F.lit(0)).alias("tokens"))
     room = F.col("containers") * capacity
-    return total.select("containers", "tokens", (room - F.col("tokens")).alias("unused"), (F.col("tokens") / room).alias("fill"))
+    return total.select("containers", "tokens", (room - F.col("tokens")).alias("unused"), F.try_divide(F.col("tokens"), room).alias("fill"))
