@@ -66,8 +66,8 @@ _POLITE = re.compile(
 _CAVEAT = re.compile(r"\b(?:but|however|still|though|aber|jedoch|dennoch|sicher ist|mais|cependant|toutefois|pero|sin embargo|no obstante)\b.*\S|[:：]\s*\S|(?:但|不过|然而|可以确认)", re.IGNORECASE | re.DOTALL)
 _AFFIRM = frozenset("yes no ja nein oui non sí si 是 否 不 对 会 能".split())
 
-_SENTENCE = re.compile(r"[^.!?。！？\n]*(?:[.!?]+(?=\s|$|[^\w\s.])|[。！？]+|\n+|$|\.(?=\w))", re.DOTALL)
-_CITATION = re.compile(r"(?:\s*(?:\[\d+(?:\s*[,，]\s*\d+)*\]|【\d+】|\(\d{1,2}\)))+(?=\s*[.。!?！？]?\s*$)")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
+_CITATION = re.compile(r"(?<!\s)(?:\s*(?:\[\d+(?:\s*[,，]\s*\d+)*\]|【\d+】|\(\d{1,2}\)))+(?=\s*[.。!?！？]?\s*$)")
 _TOKEN = re.compile(r"[㐀-鿿぀-ヿ가-힯]|[^\W_㐀-鿿぀-ヿ가-힯]+(?:_[^\W_㐀-鿿぀-ヿ가-힯]+)*")
 _PLAIN_VALUE = re.compile(r"\W{0,3}(?:`[^`\n]+`|[\w./:-]+(?:\([^()\n]*\))?)(?:\s*[:=]\s*`?[\w./:-]+`?)?\W{0,2}")
 _CODE_END = re.compile(r"(?:^|[.!?。！？:：]\s*)(?:`[^`\n]+`[\s,，、]*)+$")
@@ -143,7 +143,7 @@ _DECLINES = re.compile("|".join(t for templates in REFUSALS.values() for t in te
 def is_refusal(answer: str) -> bool:
     """Whether an answer declines and none of its sentences answers anything."""
     declined = False
-    for sentence in _SENTENCE.findall(_CITATION.sub("", answer)):
+    for sentence in _SENTENCE.split(_CITATION.sub("", answer)):
         if not any(c.isalnum() for c in sentence):
             continue
         if len(sentence) < 260 and (m := _DECLINES.search(sentence)) and not _CAVEAT.search(sentence, m.end()):

@@ -53,7 +53,7 @@ def _fields(text: str) -> list[tuple[str, str]] | None:
     lines = [x for x in text.splitlines() if x.strip()]
     for parts in (lines, [x for x in _SEMICOLON.split(text) if x.strip()]):
         if len(parts) > 1:
-            found = [_FIELD.fullmatch(x) for x in parts]
+            found = [_FIELD.fullmatch(x.strip()) for x in parts]
             if all(found):
                 return [(m[1], m[2]) for m in found]
     return None
@@ -84,7 +84,12 @@ def structure(text: str) -> tuple[Node, str]:
         record = ("{}", fields)
     if record is None or len(record[1]) < 2:
         return flat, flat
-    return canonical(record), flat
+    try:
+        node = canonical(record)
+        digest(node)
+    except RecursionError:  # nested beyond reason: compared as plain text
+        return flat, flat
+    return node, flat
 
 
 def digest(node: Node) -> bytes:

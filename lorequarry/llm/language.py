@@ -33,7 +33,11 @@ _WORDS = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items
 #: Letters that hint at one language.
 _LETTERS = {"de": "äöüß", "es": "ñ¿¡", "fr": "çœêèàùûî", "pt": "ãõ"}
 
-_CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]*`|https?://\S+|\S*[_/\\=<>{}]\S*|\[\d+\]", re.DOTALL)
+_CODE = re.compile(
+    r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]*`|https?://[!-~]+"
+    r"|(?<![A-Za-z0-9.-])[A-Za-z0-9.-]*[_/\\=<>{}][A-Za-z0-9_./\\=<>{}-]*|\[\d+\]",
+    re.DOTALL,
+)
 _SCRIPTS = {
     "ja": re.compile(r"[぀-ヿ]"),
     "ko": re.compile(r"[가-힯]"),
@@ -80,11 +84,11 @@ _NAMES = {
 }
 _ASKED = {
     lang: re.compile(
-        rf"[（(]?[^.!?。！？()（）]*(?:\b(?:in|auf|en|em)\s+(?:{names})|(?:用|以|译成|翻译成|翻成){{1}}\s*(?:{names})|(?:translate\s\w*\s*(?:in)?to)\s+(?:{names}))[^.!?。！？()（）]*[)）.!?。！？]?",
-        re.IGNORECASE,
+        rf"\b(?:in|auf|en|em|into|to)\s+(?:{names})|(?:用|以|译成|翻译成|翻成)\s*(?:{names})", re.IGNORECASE
     )
     for lang, names in _NAMES.items()
 }
+_SENTENCE_EDGE = re.compile(r"[.!?。！？()（）]")
 _REQUEST = re.compile(
     r"please|answer|repl[yi]|respond|write|translat|bitte|antwort|schreib|übersetz|répon|écri|tradui|s'il|respond|contest|escrib|traduc|por favor|请|回答|作答|翻译|译|写",
     re.IGNORECASE,
@@ -92,10 +96,13 @@ _REQUEST = re.compile(
 
 
 def requested_language(question: str) -> tuple[str | None, str]:
-    """A language that the question asks to be answered in, and the question without that request."""
+    """A language that the question asks to be answered in, and the question without the sentence that asks."""
     for lang, asked in _ASKED.items():
         for m in asked.finditer(question):
-            if _REQUEST.search(m[0]):
-                rest = question[: m.start()] + " " + question[m.end() :]
-                return lang, rest if rest.strip() else question
+            begin = max((e.end() for e in _SENTENCE_EDGE.finditer(question, 0, m.start())), default=0)
+            edge = _SENTENCE_EDGE.search(question, m.end())
+            end = edge.end() if edge else len(question)
+            if _REQUEST.search(question, begin, end):
+                rest = question[:begin] + " " + question[end:]
+                return lang, rest if any(c.isalpha() for c in rest) else question
     return None, question

@@ -60,7 +60,7 @@ _HTML_CODE = re.compile(
 _WIKI_CODE = re.compile(r"<(nowiki|syntaxhighlight|source)\b[^<>]*>(.*?)</\1\s*>", re.DOTALL | re.IGNORECASE)
 _TEX_CODE = re.compile(rf"\\begin\{{({_VERBATIM.replace(' ', '|')})\*?\}}(.*?)\\end\{{\1\*?\}}", re.DOTALL | re.IGNORECASE)
 _TEX_ENV = re.compile(rf"\\begin\s*\{{\s*((?:{_FORMULAS.replace(' ', '|')})\*?)\s*\}}(.*?)\\end\s*\{{\s*\1\s*\}}", re.DOTALL | re.IGNORECASE)
-_TEX_MATH = re.compile(r"\$\$(?=\s*\S)(.+?)\$\$|\\\[(.+?)\\\]|\\\((.+?)\\\)", re.DOTALL)
+_TEX_MATH = re.compile(r"\$\$(?=\s*\S)(.+?)\$\$|\\\[((?:(?!\\\[).)+?)\\\]|\\\(((?:(?!\\\().)+?)\\\)", re.DOTALL)
 _DOLLAR = re.compile(r"(?<![\\$\w])\$(?=[^\s$\d]|\d+[^\s\d.,]*[\\^_=+])([^$\n]{1,200}?)(?<![\s\\])\$(?![\d$])")
 _MATH_SIGN = re.compile(r"\\[A-Za-z]+|[\^_=<>+*/{}|]|^[A-Za-z]$")
 _TEX_COMMAND = re.compile(
@@ -194,28 +194,28 @@ def _is_navigation(node: _Node, inside: bool, threshold: float) -> bool:
     return node.name in ("nav", "script", "style") or crowded and (not inside or node.density < threshold)
 
 
-def _render(node: _Node, content: _Node, threshold: float, inside: bool, out: list[str]) -> None:
-    inside = inside or node is content
-    if node.parent is not None and _is_navigation(node, inside, threshold):
-        return
-    name = node.name
-    if name in _BLOCK:
-        out.append("\n")
-    if len(name) == 2 and name[0] == "h" and name[1].isdigit():
-        out.append("\n" + "#" * int(name[1]) + " ")
-    elif name == "li":
-        out.append("- ")
-    elif name in ("br", "hr"):
-        out.append("\n")
-    for c in node.children:
-        if isinstance(c, str):
-            out.append(c)
-        else:
-            _render(c, content, threshold, inside, out)
-    if name in ("td", "th"):
-        out.append(" | ")
-    if name in _BLOCK:
-        out.append("\n")
+def _render(root: _Node, content: _Node, threshold: float) -> str:
+    """Text of the DOM without navigation; an explicit stack, as nesting has no bound."""
+    out: list[str] = []
+    stack: list[tuple[_Node | str, bool]] = [(root, False)]
+    while stack:
+        node, inside = stack.pop()
+        if isinstance(node, str):
+            out.append(node)
+            continue
+        inside = inside or node is content
+        if node.parent is not None and _is_navigation(node, inside, threshold):
+            continue
+        name = node.name
+        if name in _BLOCK or name in ("br", "hr"):
+            out.append("\n")
+        if len(name) == 2 and name[0] == "h" and name[1].isdigit():
+            out.append("\n" + "#" * int(name[1]) + " ")
+        elif name == "li":
+            out.append("- ")
+        after = " | " if name in ("td", "th") else "\n" if name in _BLOCK else ""
+        stack += [(after, inside), *((c, inside) for c in reversed(node.children))]
+    return "".join(out)
 
 
 def _strip_html(text: str) -> str:
@@ -225,9 +225,7 @@ def _strip_html(text: str) -> str:
         dom.at.children.append(dom.rawdata)
     _measure(dom.root)
     content, threshold = content_node(dom.root)
-    out: list[str] = []
-    _render(dom.root, content, threshold, False, out)
-    return "".join(out).strip("\n")
+    return _render(dom.root, content, threshold).strip("\n")
 
 
 class Scan:
@@ -273,7 +271,7 @@ class Scan:
         self._markdown()
         self._latex()
         self._html()
-        self.text = re.sub(r"[ \t]+\n", "\n", re.sub(r"\n{3,}", "\n\n", self.text))
+        self.text = re.sub(r"(?<![ \t])[ \t]+\n", "\n", re.sub(r"\n{3,}", "\n\n", self.text))
         for n in reversed(range(len(self.aside))):
             self.text = self.text.replace(f"{_MARK}{n}{_MARK}", self.aside[n])
 
@@ -336,7 +334,7 @@ class Scan:
             return
         self.kinds.add("latex")
         t = re.sub(r"\\(part|chapter|(?:sub)*section|paragraph)\*?\s*\{([^{}\n]*)\}", lambda m: "#" * (1 + m[1].lower().count("sub")) + " " + m[2], self.text, flags=re.IGNORECASE)
-        t = re.sub(r"[ \t]*\\item\b\s*(?:\[([^\]\n]*)\])?[ \t]*", lambda m: "- " + (f"{m[1]} " if m[1] else ""), t, flags=re.IGNORECASE)
+        t = re.sub(r"(?<![ \t])[ \t]*\\item\b\s*(?:\[([^\]\n]*)\])?[ \t]*", lambda m: "- " + (f"{m[1]} " if m[1] else ""), t, flags=re.IGNORECASE)
         t = re.sub(r"\\(?:begin|end)\s*\{[^{}\n]*\}(?:\[[^\]\n]*\])?\n?", "", t, flags=re.IGNORECASE)
         t = re.sub(r"~?\\(?:label|vspace|hspace)\*?\s?\{[^{}\n]*\}", "", t, flags=re.IGNORECASE)
         t = re.sub(r"~(?=\\)", " ", t)

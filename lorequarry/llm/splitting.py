@@ -17,11 +17,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 _FENCE = re.compile(r"^[ \t]{0,3}(```|~~~)")
 _HEADING = re.compile(r"^(#{1,6})\s|^(={1,6})[^=\n].*\2\s*$|^\\(?:sub)*section\*?\{|^<h([1-6])\b", re.IGNORECASE)
-_SENTENCE = re.compile(r"[.!?]+[\"'”’)\]]*\s+|[。！？]+[”’」』）]*\s*")
+_SENTENCE = re.compile(r"(?<![.!?])[.!?]+[\"'”’)\]]*\s+|[。！？]+[”’」』）]*\s*")
 _CLAUSE = re.compile(r"[,;:.!?](?=\s)\s*|[，；：、]")
 _WORD = re.compile(r"[\s.,;:!?。，；：！？、]+")
 _LINE = re.compile(r"\n+")
-_BLOCK = re.compile(r"\n[ \t]*\n\s*")
 
 Span = tuple[int, int]
 

@@ -16,6 +16,7 @@ texts, aggregated map-side to one row a source.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -92,7 +93,7 @@ def without_footers(lines: list[str]) -> list[str]:
 
 def open_block(body: str) -> str | None:
     """What the automaton still holds open at the end of the text: blocks only."""
-    stack: list[str] = []
+    stack, held = [], Counter()
     prose, fence = [], None
     for line in body.split("\n"):
         mark = _FENCE.match(line)
@@ -109,44 +110,50 @@ def open_block(body: str) -> str | None:
         kind = m.lastgroup
         if stack and stack[-1] == "comment" and kind != "close_comment":
             continue
-        if kind == "open_comment":
-            stack.append("comment")
-        elif kind == "begin":
-            stack.append("env:" + m["begin"])
-        elif kind == "tag":
-            stack.append("tag:" + m["tag"])
-        elif kind == "half":
+        if kind == "half":
             return "tag"
-        elif kind in ("table", "template"):
-            stack.append(kind)
-        elif kind == "dollars":
-            stack.pop() if stack and stack[-1] == "dollars" else stack.append("dollars")
+        if kind == "dollars":
+            _close(stack, held, kind) if stack and stack[-1] == kind else _open(stack, held, kind)
+        elif kind in ("open_comment", "begin", "tag", "table", "template"):
+            names = {"open_comment": "comment", "begin": f"env:{m['begin']}", "tag": f"tag:{m['tag']}"}
+            _open(stack, held, names.get(kind, kind))
         else:
             opener = {
                 "close_comment": "comment", "end": f"env:{m['end']}", "close": f"tag:{m['close']}",
                 "table_end": "table", "template_end": "template",
             }[kind]
-            if opener in stack:
-                while stack.pop() != opener:
-                    pass
+            _close(stack, held, opener)
     return stack[-1].partition(":")[0] if stack else None
 
 
+def _open(stack: list[str], held: Counter, what: str) -> None:
+    stack.append(what)
+    held[what] += 1
+
+
+def _close(stack: list[str], held: Counter, what: str) -> None:
+    """Close the last ``what`` with all that was opened after it; nothing where none is open."""
+    while held[what]:
+        top = stack.pop()
+        held[top] -= 1
+        if top == what:
+            return
+
+
 def open_bracket(paragraph: str) -> bool:
     """Whether a bracket or quote of the paragraph is open at its end."""
-    stack: list[str] = []
+    stack, held = [], Counter()
     for m in _BRACKET.finditer(paragraph):
         c = m[0]
-        if c == "`":
-            stack.pop() if stack and stack[-1] == "`" else stack.append(c)
-        elif stack and stack[-1] == "`":
+        in_code = bool(stack) and stack[-1] == "`"
+        if c == "`" and in_code:
+            _close(stack, held, c)
+        elif in_code:
             continue
         elif c in _PAIRS:
-            if _PAIRS[c] in stack:
-                while stack.pop() != _PAIRS[c]:
-                    pass
+            _close(stack, held, _PAIRS[c])
         else:
-            stack.append(c)
+            _open(stack, held, c)
     return bool(stack)
 
 
