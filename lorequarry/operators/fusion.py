@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from lorequarry.functions.text import normalize_text, tokens
 from lorequarry.operators.lexical import bm25_top
 from lorequarry.operators.vector import distance_gate, nearest
+from lorequarry.shared import materialize
 
 
 def fuse_ranks(
@@ -47,7 +48,8 @@ def hybrid_search(
 
     The gate drops whole queries before the lexical leg runs.
     """
-    hits = nearest(corpus, queries, 3 * k, exclude_self=exclude_self)
+    # read three times below; at most 3k rows a query
+    hits = materialize(nearest(corpus, queries, 3 * k, exclude_self=exclude_self), "hits")
     passed = distance_gate(hits, max_distance).select("query_id")
     let_in = queries.join(passed, "query_id", "left_semi")
     lexical = bm25_top(corpus, let_in, 3 * k, exclude_self)

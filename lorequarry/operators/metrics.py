@@ -111,6 +111,15 @@ def strategy_summary(metrics: DataFrame, names: tuple[str, ...] = BINARY) -> Dat
     )
 
 
+CONTINUOUS = ("chunk_precision", "evidence_coverage", "mrr", "ndcg", "diversity")
+
+
+def strategy_means(metrics: DataFrame, names: tuple[str, ...] = CONTINUOUS) -> DataFrame:
+    """``(strategy, metric, value, n)``: means of metrics that are no shares of hits; nulls leave the mean."""
+    long = metrics.unpivot(["strategy"], list(names), "metric", "v")
+    return long.groupBy("strategy", "metric").agg(F.avg("v").alias("value"), F.count("v").alias("n"))
+
+
 def _resampled_means(values: DataFrame, reps: int, seed: int) -> DataFrame:
     """``(rep, mean)``: each repetition draws as many values as there are, by a portable hash of (seed, rep, draw)."""
     values = materialize(values, "resampled")

@@ -40,6 +40,11 @@ def strategy_summary(spark, folder):
     return s.withColumn("value", F.round("value", 9))
 
 
+def strategy_means(spark, folder):
+    s = mt.strategy_means(mt.retrieval_metrics(runs(spark, folder)))
+    return s.withColumn("value", F.round("value", 9))
+
+
 def wilson_ci(spark, folder):
     grouped = table(spark, folder, "e2e").groupBy("kind", F.date_format("run_at", "yyyy-MM").alias("month")).agg(
         F.count_if("retrieval_hit").alias("hits"), F.count("retrieval_hit").alias("n")
@@ -137,7 +142,7 @@ def distance_histogram(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        retrieval_metrics, strategy_summary, wilson_ci, bootstrap_ci, paired_diff, paired_bootstrap, random_baseline,
+        retrieval_metrics, strategy_summary, strategy_means, wilson_ci, bootstrap_ci, paired_diff, paired_bootstrap, random_baseline,
         random_baseline_chunk, jaccard_pairs, expand_gold, label_stats, missing_evidence, distance_stats, threshold_metrics,
         threshold_sweep, best_f1_threshold, distance_histogram,
     )
@@ -234,6 +239,8 @@ ORACLE_SQL = {
     + f""", long AS ({" UNION ALL ".join(f"SELECT strategy, '{m}' AS metric, {m} AS v FROM metrics" for m in mt.BINARY)}),
       s AS (SELECT strategy, metric, coalesce(sum(v), 0)::bigint AS hits, count(v) AS n FROM long GROUP BY 1, 2)
       SELECT strategy, metric, CASE WHEN n > 0 THEN round(hits::double / n, 9) END AS value, hits, n, {_WILSON} FROM s""",
+    "strategy_means": _METRICS
+    + " UNION ALL ".join(f" SELECT strategy, '{m}' AS metric, round(avg({m}), 9) AS value, count({m}) AS n FROM metrics GROUP BY 1" for m in mt.CONTINUOUS),
     "wilson_ci": f"""WITH g AS (SELECT kind, strftime(run_at, '%Y-%m') AS month, count(*) FILTER (WHERE retrieval_hit) AS hits, count(retrieval_hit) AS n FROM e2e GROUP BY 1, 2)
       SELECT kind, month, hits, n, {_WILSON} FROM g""",
     "bootstrap_ci": _METRICS

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lorequarry.operators import judged as jd, labels as lb, serving as sv
+from lorequarry.operators import judged as jd, labels as lb, models as md, serving as sv
 from lorequarry.sources.tables import table
 
 
@@ -106,12 +106,25 @@ def stream_filter(spark, folder):
     return sv.stream_filter(rows).select("thread", F.col("seq.id").alias("id"), "content")
 
 
+def embed_stub(spark, folder):
+    return md.embed(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def answer_stub(spark, folder):
+    runs = _runs(spark, folder).select("row_id", "question")
+    return md.answer(runs.join(build_context(spark, folder), "row_id"), md.first_sentence)
+
+
+def rule_verdicts(spark, folder):
+    return md.rule_verdict(_runs(spark, folder).select("row_id", "kind").join(build_context(spark, folder), "row_id"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         effective_refusal, e2e_summary, hit_faithful_matrix, latency_quantiles, token_usage, jsonl_last_wins, union_items,
         pending_items, fallback_questions, index_drift, build_context, extract_json, parse_judge, seeded_sample,
-        stratified_sample, history, rate_limit, stream_filter,
+        stratified_sample, history, rate_limit, stream_filter, embed_stub, answer_stub, rule_verdicts,
     )
 }
 
@@ -165,6 +178,10 @@ ORACLE_SQL = {
         j AS (SELECT row_id, i, coalesce(srcs[i], '?') AS source, chunk_id, text, row_number() OVER (PARTITION BY row_id ORDER BY i) AS n FROM x JOIN texts ON chunk_id = ids[i]),
         c AS (SELECT row_id, string_agg('[' || n || '] ' || source || '#' || chunk_id || chr(10) || text, chr(10) || chr(10) ORDER BY n) AS context FROM j GROUP BY 1)
         SELECT row_id, coalesce(context, '') AS context FROM e2e LEFT JOIN c USING (row_id)""",
+    "rule_verdicts": """WITH texts AS (SELECT DISTINCT chunk_id FROM chunk WHERE page_content IS NOT NULL),
+        full_rows AS (SELECT DISTINCT row_id FROM (SELECT row_id, unnest(retrieved_ids) AS chunk_id FROM e2e WHERE retrieved_sources IS NOT NULL) JOIN texts USING (chunk_id))
+        SELECT row_id, false AS context_sufficient, true AS faithful, true AS relevant, true AS refusal_appropriate
+        FROM e2e WHERE kind = 'negative' AND row_id NOT IN (SELECT row_id FROM full_rows)""",
     "parse_judge": """SELECT row_id, judge.context_sufficient AS context_sufficient, judge.faithful AS faithful, judge.relevant AS relevant, judge.refusal_appropriate AS refusal_appropriate,
         coalesce(len(judge.unsupported_claims), 0)::int AS claims, coalesce(judge.reason, '') AS reason,
         judge.context_sufficient IS NOT NULL AND judge.faithful IS NOT NULL AND judge.relevant IS NOT NULL AND judge.refusal_appropriate IS NOT NULL AS valid

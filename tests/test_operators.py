@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorequarry.functions import text as tx
-from lorequarry.operators import chunking as ck, fusion, judged, metrics as mt, scans, vector
+from lorequarry.operators import chunking as ck, fusion, judged, metrics as mt, models as md, scans, vector
 
 
 def one(spark, **columns):
@@ -128,3 +128,32 @@ def test_verdicts_and_objects(spark):
     bad = '{"context_sufficient": "yes", "faithful": "perhaps"}'
     v, w = one(spark, a=judged.parse_verdict(F.lit(good)), b=judged.parse_verdict(F.lit(bad)))
     assert (v.valid, v.faithful, v.refusal_appropriate, v.unsupported_claims, v.reason) == (True, True, False, [], "") and not w.valid
+
+
+def test_model_rules(spark):
+    rows = spark.createDataFrame([(1, "q", "src\nfirst line", "answerable"), (2, "q", "  ", "negative"), (3, "fail", "src\nx", "negative"), (4, "q", None, "negative")], "row_id long, question string, context string, kind string")
+
+    def model(question, context):
+        if question == "fail":
+            raise TimeoutError("slow")
+        return md.first_sentence(question, context)
+
+    made = {r.row_id: (r.answer, r.error) for r in md.answer(rows, model, attempts=2, wait=0.0).collect()}
+    assert made == {1: ("first line", None), 2: (md.NO_CONTEXT_ANSWER, None), 3: (None, "TimeoutError: slow"), 4: (md.NO_CONTEXT_ANSWER, None)}
+    assert sorted(r.row_id for r in md.rule_verdict(rows).collect()) == [2, 4]
+    picks = spark.createDataFrame([(1, [2, 0, 2, 5, -1, None], 3)], "row_id long, picked array<int>, n int")
+    assert md.valid_evidence(picks).first().evidence == [0, 2]
+    vectors = [r.embedding for r in md.embed(rows, "row_id", "context").orderBy("row_id").collect()]
+    assert len(vectors[0]) == 64 and sum(x * x for x in vectors[0]) == pytest.approx(1, abs=1e-5) and not any(vectors[3])
+
+
+def test_retry_doubles_the_pause():
+    pauses, calls = [], []
+
+    def flaky(x):
+        calls.append(x)
+        if len(calls) < 3:
+            raise OSError
+        return x
+
+    assert md.with_retry(flaky, 3, 1.0, pauses.append)(7) == 7 and pauses == [1.0, 2.0]

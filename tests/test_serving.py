@@ -101,3 +101,13 @@ def test_conversation_table(spark, warehouse):
     row = (1, "o", "t", "user", "hi", NOON)
     files.append_conversations(spark.createDataFrame([row], files.CONVERSATION_SCHEMA), warehouse)
     assert spark.table(warehouse).select("id", "owner").collect() == [(1, "o")]
+
+
+def test_scratch_tables_survive_and_can_be_removed(spark):
+    from lorequarry.shared import materialize, remove_scratch
+
+    kept = materialize(spark.range(5), "numbers")
+    assert kept.count() == 5 and "numbers-" in kept.inputFiles()[0]
+    remove_scratch(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(kept.inputFiles()[0])
