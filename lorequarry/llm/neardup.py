@@ -38,21 +38,55 @@ BANDS, ROWS = 33, 5
 _BATCH_CHARS = 1 << 18
 
 
+def _grams(codes: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of three code points as numbers of ``bits`` bits a code point, and the text of each."""
+    wide = codes.astype(np.uint64)
+    grams = wide[:-2] << np.uint64(2 * bits) | wide[1:-1] << np.uint64(bits) | wide[2:]
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:-2]
+    inside = np.arange(len(grams)) + 3 <= offsets[owner + 1]
+    return grams[inside], owner[inside]
+
+
+def packed_grams(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray | None:
+    """Sorted distinct (text, gram) as one 64-bit number each; None where they do not fit."""
+    if len(offsets) > 1 << 16 or len(codes) < 3 or codes.max() >> 16:
+        return None
+    grams, owner = _grams(codes, offsets, 16)
+    keys = np.sort(grams | owner.astype(np.uint64) << np.uint64(48))
+    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+
+
 def gram_sets(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct three-character substrings of each text as exact 63-bit numbers, sorted, and their offsets."""
     n = len(offsets) - 1
-    wide = codes.astype(np.uint64)
-    if len(wide) < 3:
+    if len(codes) < 3:
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    grams = wide[:-2] << np.uint64(42) | wide[1:-1] << np.uint64(21) | wide[2:]
-    owner = np.repeat(np.arange(n), np.diff(offsets))[:-2]
-    inside = np.arange(len(grams)) + 3 <= offsets[owner + 1]
-    grams, owner = grams[inside], owner[inside]
-    order = np.lexsort((grams, owner))
-    grams, owner = grams[order], owner[order]
-    new = np.r_[True, (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])] if len(grams) else np.zeros(0, bool)
-    sizes = np.bincount(owner[new], minlength=n)
-    return grams[new], np.r_[0, np.cumsum(sizes)]
+    keys = packed_grams(codes, offsets)
+    if keys is not None:
+        low = np.uint64(0xFFFF)
+        grams = (keys >> np.uint64(32) & low) << np.uint64(42) | (keys >> np.uint64(16) & low) << np.uint64(21) | keys & low
+        owner = (keys >> np.uint64(48)).astype(np.int64)
+    else:
+        grams, owner = _grams(codes, offsets, 21)
+        order = np.lexsort((grams, owner))
+        grams, owner = grams[order], owner[order]
+        new = np.r_[True, (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])] if len(grams) else np.zeros(0, bool)
+        grams, owner = grams[new], owner[new]
+    return grams, np.r_[0, np.cumsum(np.bincount(owner, minlength=n))]
+
+
+def shared_grams(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of the gram sets of two columns of texts, and of their intersections, row by row."""
+    left, right = code_points(a), code_points(b)
+    x, y = packed_grams(*left), packed_grams(*right)
+    if x is not None and y is not None:
+        owners = [(k >> np.uint64(48)).astype(np.int64) for k in (x, y, np.intersect1d(x, y, assume_unique=True))]
+        return tuple(np.bincount(o, minlength=len(a)) for o in owners)
+    (ga, oa), (gb, ob) = gram_sets(*left), gram_sets(*right)
+    shared = [
+        len(np.intersect1d(ga[oa[i] : oa[i + 1]], gb[ob[i] : ob[i + 1]], assume_unique=True)) for i in range(len(a))
+    ]
+    return np.diff(oa), np.diff(ob), np.array(shared, np.int64)
 
 
 def pivot_table(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -144,15 +178,8 @@ def _verify(threshold: float):
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2, _BATCH_CHARS):
-            (ga, oa), (gb, ob) = (gram_sets(*code_points(batch.column(c))) for c in (2, 3))
-            shared = np.array(
-                [
-                    len(np.intersect1d(ga[oa[i] : oa[i + 1]], gb[ob[i] : ob[i + 1]], assume_unique=True))
-                    for i in range(batch.num_rows)
-                ],
-                np.int64,
-            )
-            union = np.diff(oa) + np.diff(ob) - shared
+            size_a, size_b, shared = shared_grams(batch.column(2), batch.column(3))
+            union = size_a + size_b - shared
             good = (union > 0) & (shared * bottom >= union * top)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(shared / np.maximum(union, 1))], names=["a", "b", "similarity"]
