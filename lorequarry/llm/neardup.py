@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from lorequarry.llm.codepoints import code_points, mix, pieces
 from lorequarry.shared import materialize
 
-BLOCKS = 64
+BLOCKS = 128
 #: A pair at a similarity of 0.8 misses all bands with (1 - 0.8**ROWS)**BANDS = 2e-6.
 BANDS, ROWS = 33, 5
 _BATCH_CHARS = 1 << 18
@@ -93,7 +93,7 @@ def pivot_table(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Hamming distances of each gram set to the zero reference of each block (texts x BLOCKS)."""
     n = len(offsets) - 1
     owner = np.repeat(np.arange(n), np.diff(offsets))
-    block = (mix(grams) >> np.uint64(58)).astype(np.int64)
+    block = (mix(grams) >> np.uint64(57)).astype(np.int64)
     return np.bincount(owner * BLOCKS + block, minlength=n * BLOCKS).reshape(n, BLOCKS)
 
 
@@ -103,15 +103,15 @@ def band_keys(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     low = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     high = (h >> np.uint64(32)).astype(np.uint32)
     rng = np.random.default_rng(20240607)
-    factors = rng.integers(1 << 20, 1 << 32, (BANDS, ROWS), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+    factors = rng.integers(1 << 20, 1 << 32, (BANDS, ROWS, 2), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
     starts = offsets[:-1]
     keys = np.zeros((len(starts), BANDS), np.uint64)
     for band in range(BANDS):
         key = np.full(len(starts), band, np.uint64)
-        for row in range(ROWS):
-            values = (low ^ (high * factors[band, row])) * np.uint32(0x9E3779B1)
-            values ^= values >> np.uint32(15)
-            values *= factors[band, ROWS - 1 - row]
+        for x, y in factors[band]:
+            # both words of the hash are random, so a pair of products is a new random order
+            values = low * x
+            values += high * y
             key = mix(key * np.uint64(0x100000001B3) ^ np.minimum.reduceat(values, starts).astype(np.uint64))
         keys[:, band] = key
     return keys
@@ -131,8 +131,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         offsets = np.r_[offsets[some], offsets[-1]]
         table = pivot_table(grams, offsets)
-        # one byte a coordinate where all fit; coordinates of long texts take four
-        packed = [(t.astype(np.uint8) if t.max() < 256 else t.astype("<u4")).tobytes() for t in table]
+        packed = _pack(table)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(band_keys(grams, offsets).reshape(-1).view(np.int64)),
@@ -144,14 +143,28 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _pack(table: np.ndarray) -> list[bytes]:
+    """A row of the table as bytes: half a byte a coordinate where all fit, else one, else four."""
+    top = table.max(axis=1)
+    half = (table[:, 0::2] << 4 | table[:, 1::2] & 15).astype(np.uint8)
+    return [
+        half[i].tobytes() if most < 16 else (row.astype(np.uint8) if most < 256 else row.astype("<u4")).tobytes()
+        for i, (row, most) in enumerate(zip(table, top))
+    ]
+
+
 def _unpack(column: pa.Array) -> np.ndarray:
     values = column.to_pylist()
-    out = np.zeros((len(values), BLOCKS), np.int32)
-    short = np.array([len(v) == BLOCKS for v in values], bool)
-    if short.any():
-        out[short] = np.frombuffer(b"".join(v for v in values if len(v) == BLOCKS), np.uint8).reshape(-1, BLOCKS)
-    if not short.all():
-        out[~short] = np.frombuffer(b"".join(v for v in values if len(v) != BLOCKS), "<u4").reshape(-1, BLOCKS)
+    width = np.array([len(v) for v in values], np.int64)
+    out = np.zeros((len(values), BLOCKS), np.int32 if (width > BLOCKS).any() else np.int16)
+
+    def rows(size: int, kind: str) -> np.ndarray:
+        return np.frombuffer(b"".join(v for v in values if len(v) == size), kind).reshape(-1, size // np.dtype(kind).itemsize)
+
+    short = rows(BLOCKS // 2, "u1")
+    out[width == BLOCKS // 2, 0::2], out[width == BLOCKS // 2, 1::2] = short >> 4, short & 15
+    out[width == BLOCKS] = rows(BLOCKS, "u1")
+    out[width == 4 * BLOCKS] = rows(4 * BLOCKS, "<u4")
     return out
 
 
