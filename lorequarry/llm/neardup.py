@@ -220,7 +220,7 @@ def near_duplicate_classes(
     Null, blank and letterless texts belong to no class; texts of fewer than
     three characters have no grams and are linked to nothing but their copies.
     """
-    texts = text_classes(rows, text_col, id_col)
+    texts = materialize(text_classes(rows, text_col, id_col), "texts")
     classes = texts.groupBy("digest").agg(F.min("id").alias("class_id"))
     members = materialize(texts.select("id", "digest").join(classes, "digest").select("id", "class_id"), "members")
     own = members.where("id = class_id").select("id")
