@@ -24,6 +24,17 @@ def questions(spark, folder) -> DataFrame:
     return vectors.select(F.col("vec_id").alias("query_id"), "embedding", "label").join(asked, "query_id", "left")
 
 
+def all_documents(spark, folder) -> DataFrame:
+    """Every document, indexed or not: lexical search needs no vector."""
+    return table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+
+
+def all_questions(spark, folder) -> DataFrame:
+    """Every test item whose id is divisible by 20, with a vector or not."""
+    asked = table(spark, folder, "test_set").where("item_id % 20 = 0")
+    return asked.groupBy(F.col("item_id").alias("query_id")).agg(F.min("question").alias("text"))
+
+
 def _dist(df: DataFrame) -> DataFrame:
     return df.withColumn("dist", F.round("dist", 6))
 
@@ -65,6 +76,15 @@ def bm25_topk(spark, folder):
     return _score(lexical.bm25_top(corpus(spark, folder), questions(spark, folder), 60, True))
 
 
+def bm25_scores_all(spark, folder):
+    return _score(lexical.bm25_scores(all_documents(spark, folder), all_questions(spark, folder)))
+
+
+def bm25_topk_all(spark, folder):
+    # item ids and document ids are not of one kind, so no document is a query's own
+    return _score(lexical.bm25_top(all_documents(spark, folder), all_questions(spark, folder), 60))
+
+
 def rrf_fuse(spark, folder):
     c, q = corpus(spark, folder), questions(spark, folder)
     return fusion.fuse_ranks(vector.nearest(c, q, 60), lexical.bm25_top(c, q, 60, True))
@@ -96,8 +116,8 @@ def hybrid_rerank(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        knn_l2, knn_cosine, best_distance, distance_gate, mmr, mmr_diverse, bm25_scores, bm25_topk, rrf_fuse,
-        dedup_content, hybrid_search, hybrid_no_dedup, rerank, hybrid_rerank,
+        knn_l2, knn_cosine, best_distance, distance_gate, mmr, mmr_diverse, bm25_scores, bm25_topk, bm25_scores_all,
+        bm25_topk_all, rrf_fuse, dedup_content, hybrid_search, hybrid_no_dedup, rerank, hybrid_rerank,
     )
 }
 
@@ -138,6 +158,10 @@ allscores AS (SELECT query_id, c.chunk_id, coalesce(score, 0.0) AS score
 lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM allscores)
 """
 )
+_BM25_ALL = """
+WITH corpus AS (SELECT doc_id AS chunk_id, text FROM documents),
+queries AS (SELECT item_id AS query_id, min(question) AS text FROM test_set WHERE item_id % 20 = 0 GROUP BY 1)
+""" + _BM25.removeprefix(_DIST).replace(" WHERE query_id <> c.chunk_id", "")
 _FUSED = (
     _BM25
     + """, fused AS (
@@ -204,6 +228,8 @@ ORACLE_SQL = {
       WHERE rank < 3""",
     "bm25_scores": _BM25 + "SELECT query_id, chunk_id, round(score, 6) AS score FROM scores",
     "bm25_topk": _BM25 + "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM lex WHERE rank < 60",
+    "bm25_scores_all": _BM25_ALL + "SELECT query_id, chunk_id, round(score, 6) AS score FROM scores",
+    "bm25_topk_all": _BM25_ALL + "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM lex WHERE rank < 60",
     "rrf_fuse": _FUSED + "SELECT query_id, chunk_id, score, rank FROM fused",
     "dedup_content": _DIST
     + ", top AS (SELECT query_id, chunk_id, round(-dist, 6) AS score, rank FROM near WHERE rank < 60) " + _DEDUPED.replace("{}", "top"),
