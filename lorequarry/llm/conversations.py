@@ -1,17 +1,18 @@
 """Conversations rebuilt from message rows (problem 3).
 
 Method: keyed streaming state with event-time watermarks.  Messages stream in,
-late and redelivered ones included, and wait in state under the key (owner,
-thread, time segment) until the watermark closes the segment.  A closed segment
-is emitted as its ordered, deduplicated messages; the segments of a thread are
-then validated together.  State holds ids, times, roles and content digests,
-never contents.
-
-Scale.  A thread is never gathered: a segment is a bounded stretch of its time,
-and what a segment tells the next one is its first and last speaker, so a thread
-that holds a third of all rows is spread over as many keys as it has segments.
-The state store and the emitted segments live in the cluster's shared folder and
-are replayed exactly once after a lost executor.
+late and redelivered ones included, and each distinct one waits in state under
+its own key (owner, thread, time segment, time, digests) until the watermark
+closes the segment.  The closed messages are cut into slices of their order
+(owner, thread, time, id); slices are validated on their own and then chained.
+State holds ids, times, roles and content digests, never contents.
+
+Scale.  A thread is never gathered, nor is a stretch of its time: a state row is
+one message, a slice is bounded in rows whatever thread or day they are of, and
+what a slice tells the next one is its first and last speaker and its count.  A
+thread that holds a third of all rows, on one day or many, is spread like any
+other rows.  The state store and the closed messages live in the cluster's shared
+folder and are replayed exactly once after a lost executor.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from lorequarry.shared import scratch_path
+from lorequarry.shared import materialize, scratch_path
 
 MESSAGE_SCHEMA = T.StructType(
     [
@@ -62,26 +63,26 @@ def _slim(messages: DataFrame) -> DataFrame:
     )
 
 
-def segments_of(messages: DataFrame, lateness: str = "3 days", segment: str = "1 day") -> DataFrame:
-    """Closed segments of a stream (or a table) of messages, in append mode.
+_KEYS = ["owner", "no_owner", "thread_id", "no_thread"]
 
-    ``(owner, no_owner, thread_id, no_thread, segment, messages)``, ``messages``
-    being unordered structs.  Messages up to ``lateness`` behind the newest are
-    waited for.  Messages without a time belong to no segment and pass at once.
+
+def closed_messages(messages: DataFrame, lateness: str = "3 days", segment: str = "1 day") -> DataFrame:
+    """Distinct messages of the closed segments of a stream (or a table), in append mode.
+
+    ``(owner, no_owner, thread_id, no_thread, at, id, who, visible)``; rows equal
+    in thread, role, content and time are one, of the smallest id.  Messages up
+    to ``lateness`` behind the newest are waited for.  Messages without a time
+    belong to no segment and pass at once.
     """
     slim = _slim(messages)
-    keys = ["owner", "no_owner", "thread_id", "no_thread"]
-    one = F.struct("at", "id", "who", "visible", "digest", "digest2")
     timed = (
         slim.where("at is not null")
         .withWatermark("at", lateness)
-        .groupBy(F.window("at", segment), *keys)
-        .agg(F.collect_list(one).alias("messages"))
-        .select(*keys, F.col("window.start").alias("segment"), "messages")
-    )
-    untimed = slim.where("at is null").select(
-        *keys, F.lit(None).cast("timestamp").alias("segment"), F.array(one).alias("messages")
+        .groupBy(F.window("at", segment), *_KEYS, F.unix_micros("at").alias("micros"), "digest", "digest2", "who", "visible")
+        .agg(F.min("id").alias("id"))
+        .select(*_KEYS, F.timestamp_micros("micros").alias("at"), "id", "who", "visible")
     )
+    untimed = slim.where("at is null").select(*_KEYS, F.lit(None).cast("timestamp").alias("at"), "id", "who", "visible")
     return timed.unionByName(untimed)
 
 
@@ -101,7 +102,7 @@ def _stream_path(spark: SparkSession, path: str) -> str:
 
 
 def replay(spark: SparkSession, path: str, lateness: str = "3 days", segment: str = "1 day") -> DataFrame:
-    """Run the stream over all messages stored under ``path`` until they are used up; the segments it emitted.
+    """Run the stream over all messages stored under ``path`` until they are used up; the messages it emitted.
 
     All files there are of one batch, so nothing in them is late; a message after
     them would be.  The stream ends by itself, and every segment is closed.
@@ -110,79 +111,83 @@ def replay(spark: SparkSession, path: str, lateness: str = "3 days", segment: st
         return spark.readStream.schema(MESSAGE_SCHEMA).parquet(place)
 
     messages = source(_stream_path(spark, path)).unionByName(source(_closing_marker(spark)))
-    out = scratch_path(spark, "segments")
+    out = scratch_path(spark, "messages")
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
     try:
         query = (
-            segments_of(messages, lateness, segment)
+            closed_messages(messages, lateness, segment)
             .writeStream.format("parquet")
             .outputMode("append")
             .option("path", out)
-            .option("checkpointLocation", scratch_path(spark, "segments-state"))
+            .option("checkpointLocation", scratch_path(spark, "messages-state"))
             .trigger(availableNow=True)
             .start()
         )
         query.awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return spark.read.parquet(out).where("segment is null or segment < timestamp '9000-01-01'")
+    return spark.read.parquet(out).where("at is null or at < timestamp '9000-01-01'")
 
 
-def ordered_segments(segments: DataFrame) -> DataFrame:
-    """``(owner, thread_id, segment, messages)`` with visible messages only, deduplicated, by time and id."""
-    same = F.array_sort(
-        F.transform("messages", lambda m: F.struct(m.at, m.digest, m.digest2, m.who, m.id, m.visible))
-    )
-    first = F.filter(
-        "same",
-        lambda m, i: (i == 0) | ~(
-            m.at.eqNullSafe(F.get("same", i - 1).at)
-            & (m.digest == F.get("same", i - 1).digest)
-            & (m.digest2 == F.get("same", i - 1).digest2)
-        ),
-    )
-    shown = F.filter("first", lambda m: m.visible)
-    return (
-        segments.withColumn("same", same)
-        .withColumn("first", first)
-        .select(
-            F.when(~F.col("no_owner"), F.col("owner")).alias("owner"),
-            F.when(~F.col("no_thread"), F.col("thread_id")).alias("thread_id"),
-            "segment",
-            F.array_sort(F.transform(shown, lambda m: F.struct(m.at, m.id, m.who))).alias("messages"),
-        )
+def sliced_messages(messages: DataFrame, slices: int | None = None) -> DataFrame:
+    """``messages`` with ``slice``, a range of their order by thread, time and id that holds a bounded share of all rows."""
+    n = slices or int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = messages.repartitionByRange(n, *_KEYS, "at", "id", "who")
+    # written once, as the bounds are sampled
+    return materialize(ranges.withColumn("slice", F.spark_partition_id()), "slices")
+
+
+def _turns(sliced: DataFrame) -> DataFrame:
+    """Visible messages of users and assistants, with their place in the slice and the speaker before."""
+    inside = W.partitionBy(*_KEYS, "slice").orderBy("at", "id", "who")
+    # a message without a time has no place among the turns
+    return sliced.where(F.col("visible") & F.col("who").isin("u", "a") & F.col("at").isNotNull()).select(
+        *_KEYS, "slice", "at", "id", "who", (F.row_number().over(inside) - 1).alias("place"), F.lag("who").over(inside).alias("before")
     )
 
 
-def validated_threads(ordered: DataFrame) -> DataFrame:
-    """``(owner, thread_id, defect)`` of all threads; ``defect`` is null for a sound one."""
-    speakers = F.array_join(F.transform("messages", lambda m: m.who), "")
-    parts = ordered.select("owner", "thread_id", "segment", speakers.alias("all")).select(
-        "owner", "thread_id", "segment",
-        # a message without a time has no place among the turns, but counts as left
-        F.when(F.col("segment").isNotNull(), F.regexp_replace("all", "[^ua]", "")).otherwise("").alias("turns"),
-        F.col("all").rlike("[ua]").alias("speaks"),
-        (F.col("all").contains("x") | (F.col("segment").isNull() & (F.col("all") != ""))).alias("odd"),
+def _chained(turns: DataFrame) -> DataFrame:
+    """``(thread, slice, offset, broken, waiting)``: one row for each slice of a thread, linked to the slice before."""
+    twice = lambda who: (F.col("who") == who) & (F.col("before") == who)
+    order = F.struct("at", "id", "who")
+    parts = turns.groupBy(*_KEYS, "slice").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("who", order).alias("first"), F.max_by("who", order).alias("last"),
+        F.coalesce(F.max(twice("a")), F.lit(False)).alias("broken"), F.coalesce(F.max(twice("u")), F.lit(False)).alias("waiting"),
     )
-    # only segments with turns pass a speaker on
-    chain = W.partitionBy("owner", "thread_id", F.col("turns") != "").orderBy("segment")
-    linked = parts.select(
-        "*", F.lag(F.right("turns", F.lit(1))).over(chain).alias("before"), F.lead("segment").over(chain).isNull().alias("is_last")
+    chain = W.partitionBy(*_KEYS).orderBy("slice")
+    before, is_last = F.lag("last").over(chain), F.lead("slice").over(chain).isNull()
+    opening = F.coalesce(before, F.lit("a"))  # who opens a thread speaks as after an assistant
+    return parts.select(
+        *_KEYS, "slice", F.coalesce(F.sum("n").over(chain.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"),
+        (F.col("broken") | ((F.col("first") == "a") & (opening == "a"))).alias("broken"),
+        (F.col("waiting") | ((F.col("first") == "u") & (opening == "u")) | (is_last & (F.col("last") == "u"))).alias("waiting"),
+    )
+
+
+def validated_threads(sliced: DataFrame, chained: DataFrame) -> DataFrame:
+    """``(owner, no_owner, thread_id, no_thread, defect)`` of all threads; ``defect`` is null for a sound one."""
+    no = F.lit(False)
+    seen = sliced.select(
+        *_KEYS,
+        (F.col("visible") & F.col("who").isin("u", "a")).alias("speaks"),
+        # a message without a time counts as left
+        (F.col("visible") & ((F.col("who") == "x") | F.col("at").isNull())).alias("broken"),
+        no.alias("waiting"),
     )
-    talks = F.col("turns") != ""
-    opening = F.concat(F.coalesce("before", F.lit("")), "turns")
-    broken = talks & (opening.contains("aa") | (F.col("before").isNull() & opening.startswith("a")))
-    waiting = talks & (opening.contains("uu") | (F.col("is_last") & opening.endswith("u")))
-    return linked.groupBy("owner", "thread_id").agg(
-        F.max("speaks").alias("speaks"), F.max(F.col("odd") | broken).alias("broken"), F.max(waiting).alias("waiting")
+    linked = chained.select(*_KEYS, no.alias("speaks"), "broken", "waiting")
+    return seen.unionByName(linked).groupBy(*_KEYS).agg(
+        F.max("speaks").alias("speaks"), F.max("broken").alias("broken"), F.max("waiting").alias("waiting")
     ).select(
-        "owner", "thread_id",
-        F.when(~F.col("speaks"), "empty").when(F.col("broken"), "broken").when(F.col("waiting"), "no_reply").alias("defect"),
-    )
+        *_KEYS, F.when(~F.col("speaks"), "empty").when(F.col("broken"), "broken").when(F.col("waiting"), "no_reply").alias("defect")
+    )
+
 
+def _named() -> list[Column]:
+    return [F.when(~F.col("no_owner"), F.col("owner")).alias("owner"), F.when(~F.col("no_thread"), F.col("thread_id")).alias("thread_id")]
 
-def dropped_threads(spark: SparkSession, path: str) -> DataFrame:
+
+def dropped_threads(spark: SparkSession, path: str, slices: int | None = None) -> DataFrame:
     """``(owner, thread_id, defect)`` of the threads that are dropped, one row each.
 
     The first that holds: ``empty``, no message of a user or an assistant is left
@@ -193,23 +198,19 @@ def dropped_threads(spark: SparkSession, path: str) -> DataFrame:
     message (of the smallest id).  A null owner or thread id is a value of its
     own.  A stream without messages drops nothing.
     """
-    return validated_threads(ordered_segments(replay(spark, path))).where("defect is not null")
+    sliced = sliced_messages(replay(spark, path), slices)
+    return validated_threads(sliced, _chained(_turns(sliced))).where("defect is not null").select(*_named(), "defect")
 
 
-def sound_turns(spark: SparkSession, path: str) -> DataFrame:
+def sound_turns(spark: SparkSession, path: str, slices: int | None = None) -> DataFrame:
     """``(owner, thread_id, turn, role, content, created_at, id)``: the sound threads as numbered turns."""
-    ordered = ordered_segments(replay(spark, path))
-    sound = validated_threads(ordered).where("defect is null").select("owner", "thread_id")
-    turns = F.filter("messages", lambda m: m.who.isin("u", "a"))
-    kept = ordered.select("owner", "thread_id", "segment", turns.alias("turns"))
-    before = W.partitionBy("owner", "thread_id").orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
-    placed = kept.withColumn("offset", F.coalesce(F.sum(F.size("turns")).over(before), F.lit(0)))
-    lines = placed.select("owner", "thread_id", "offset", F.posexplode("turns").alias("place", "m")).select(
-        "owner", "thread_id", (F.col("offset") + F.col("place")).alias("turn"),
-        F.when(F.col("m.who") == "u", "user").otherwise("assistant").alias("role"), F.col("m.id").alias("id"), F.col("m.at").alias("created_at"),
+    sliced = sliced_messages(replay(spark, path), slices)
+    turns = _turns(sliced)
+    chained = materialize(_chained(turns), "chained")
+    sound = validated_threads(sliced, chained).where("defect is null").select(*_KEYS)
+    lines = turns.join(chained.join(sound, _KEYS, "left_semi"), [*_KEYS, "slice"]).select(
+        *_named(), (F.col("offset") + F.col("place")).alias("turn"),
+        F.when(F.col("who") == "u", "user").otherwise("assistant").alias("role"), "id", F.col("at").alias("created_at"),
     )
-    same = [lines["owner"].eqNullSafe(sound["owner"]), lines["thread_id"].eqNullSafe(sound["thread_id"])]
     contents = spark.read.parquet(path).select("id", "content")
-    return lines.join(sound, same, "left_semi").join(contents, "id").select(
-        "owner", "thread_id", "turn", "role", "content", "created_at", "id"
-    )
+    return lines.join(contents, "id").select("owner", "thread_id", "turn", "role", "content", "created_at", "id")
