@@ -61,7 +61,7 @@ _WIKI_CODE = re.compile(r"<(nowiki|syntaxhighlight|source)\b[^<>]*>(.*?)</\1\s*>
 _TEX_CODE = re.compile(rf"\\begin\{{({_VERBATIM.replace(' ', '|')})\*?\}}(.*?)\\end\{{\1\*?\}}", re.DOTALL | re.IGNORECASE)
 _TEX_ENV = re.compile(rf"\\begin\s*\{{\s*((?:{_FORMULAS.replace(' ', '|')})\*?)\s*\}}(.*?)\\end\s*\{{\s*\1\s*\}}", re.DOTALL | re.IGNORECASE)
 _TEX_MATH = re.compile(r"\$\$(?=\s*\S)(.+?)\$\$|\\\[((?:(?!\\\[).)+?)\\\]|\\\(((?:(?!\\\().)+?)\\\)", re.DOTALL)
-_DOLLAR = re.compile(r"(?<![\\$\w])\$(?=[^\s$\d]|\d+[^\s\d.,]*[\\^_=+])([^$\n]{1,200}?)(?<![\s\\])\$(?![\d$])")
+_DOLLAR = re.compile(r"(?<![\\$\w])\$(?=[^\s$\d]|\d+[^\s\d.,]*[\\^_=+])([^$\n]+?)(?<![\s\\])\$(?![\d$])")
 _MATH_SIGN = re.compile(r"\\[A-Za-z]+|[\^_=<>+*/{}|]|^[A-Za-z]$")
 _TEX_COMMAND = re.compile(
     rf"(?<![\w:\\])\\(?:begin|end)\s*\{{[^{{}}\n]*\}}|(?<![\w:\\])\\(?:{_BARE_COMMANDS.replace(' ', '|')})(?![A-Za-z_\\])"
@@ -71,9 +71,8 @@ _TEX_COMMAND = re.compile(
 
 _WIKI = {
     "heading": re.compile(r"^[ \t]*(={2,6})[ \t]*([^=\n](?:[^\n]*?[^=\s])?)[ \t]*\1[ \t]*$", re.MULTILINE),
-    "link": re.compile(r"\[\[(?![\s\d\[])([^\[\]|\n]{1,200})(?:\|([^\[\]\n]*))?\]\]"),
+    "link": re.compile(r"\[\[(?![\s\d\[])([^\[\]|\n]+)(?:\|([^\[\]\n]*))?\]\]"),
     "external": re.compile(r"(?<!\[)\[\s?(?:https?|ftp)\s?:\s?//[^\s\]]+(?:[ \t]+([^\[\]\n]+))?\](?!\()", re.IGNORECASE),
-    "template": re.compile(r"\{\{(?=\s*[#A-Za-z一-鿿])[^{}]{1,2000}\}\}"),
     "table": re.compile(r"^\{\|.*?(?:^\|\}|\Z)", re.DOTALL | re.MULTILINE),
     "bold": re.compile(r"(?<!['\w])('{2,3}|'{5})(?=[^\s'])([^'\n]+(?:'[^'\n]+)*?)(?<!\s)\1(?!')"),
 }
@@ -91,6 +90,9 @@ _MD = {
     "quote": re.compile(r"^[ ]{0,3}>[ \t]+(?=\S)", re.MULTILINE),
     "task": re.compile(r"^([ \t]*)[-*+][ \t]+\[[ xX]\][ \t]+", re.MULTILINE),
 }
+_TEMPLATE_NAME = re.compile(r"\s*[#A-Za-z一-鿿]")
+_TEX_HEAD = r"(?<![\w:])\\[A-Za-z]{2,}\*?\s?(?:\[[^\[\]\n]*\])?\{"
+_TEX_BRACE, _TEX_UNWRAP = re.compile(_TEX_HEAD + "|[{}]"), re.compile(_TEX_HEAD + r"([^{}\n]*)\}")
 _BULLET = re.compile(r"^[ \t]*([-*+])[ \t]+(?=\S)", re.MULTILINE)
 _NUMBER = re.compile(r"^[ \t]*(\d{1,3})([.)])[ \t]+(?=\S)", re.MULTILINE)
 _MARK = "\x00"
@@ -228,6 +230,63 @@ def _strip_html(text: str) -> str:
     return _render(dom.root, content, threshold).strip("\n")
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """The braces of a text, and what stands between them."""
+    return (p for p in re.split(r"([{}])", text) if p)
+
+
+def _put(out: list[list[str]], piece: str) -> None:
+    """Append text to the last piece of ``out``, or as a new one after a brace."""
+    if out and out[-1][0] not in ("{", "}"):
+        out[-1].append(piece)
+    else:
+        out.append([piece])
+
+
+def unwrap_templates(text: str, made: Callable[[str], str]) -> tuple[str, bool]:
+    """``text`` with every ``{{template}}`` replaced by ``made``, the innermost first and at any depth, and whether there was one."""
+    out: list[list[str]] = []
+    found = False
+    for piece in _pieces(text):
+        if piece not in ("{", "}"):
+            _put(out, piece)
+            continue
+        out.append([piece])
+        if piece == "}" and len(out) > 4 and [p[0] for p in out[-5:-3] + out[-2:]] == ["{", "{", "}", "}"] and out[-3][0] not in ("{", "}"):
+            body = "".join(out[-3])
+            if _TEMPLATE_NAME.match(body):
+                del out[-5:]
+                _put(out, made("{{" + body + "}}"))
+                found = True
+    return "".join(s for p in out for s in p), found
+
+
+def unwrap_commands(text: str) -> str:
+    """``text`` with every LaTeX ``\\command{content}`` on one line replaced by its content, at any depth."""
+    out: list[str] = []
+    open_: list[list] = []  # of each open brace: its piece, whether a command's, whether its content stays as it is
+    at = 0
+    for m in _TEX_BRACE.finditer(text):
+        out.append(text[at : m.start()])
+        if open_ and "\n" in out[-1]:
+            open_[-1][2] = True
+        at = m.end()
+        out.append(m[0])
+        if m[0] != "}":
+            open_.append([len(out) - 1, m[0] != "{", False])
+        elif open_:
+            head, command, stays = open_.pop()
+            if command and not stays:
+                out[head] = out[-1] = ""
+            elif open_:
+                open_[-1][2] = True
+    text = "".join(out) + text[at:]
+    # what is left stood in the option of a command that stays
+    while (made := _TEX_UNWRAP.sub(r"\1", text)) != text:
+        text = made
+    return text
+
+
 class Scan:
     """One pass over a text: the kinds of markup in use, and the rewritten text."""
 
@@ -284,11 +343,9 @@ class Scan:
     def _wiki(self) -> None:
         sub = self._sub
         sub(_WIKI["table"], "wiki", lambda m: self._wiki_table(m[0]))
-        for _ in range(4):  # nested templates, innermost first
-            before = self.text
-            sub(_WIKI["template"], "wiki", lambda m: self._template(m[0]))
-            if self.text == before:
-                break
+        self.text, found = unwrap_templates(self.text, self._template)
+        if found:
+            self.kinds.add("wiki")
         sub(_WIKI["link"], "wiki", lambda m: "" if re.match(r"(?i)(category|分类|kategorie|file|image):", m[1]) and not m[2] else m[2] or m[1])
         sub(_WIKI["external"], "wiki", lambda m: m[1] or "")
         sub(_WIKI["heading"], "wiki", lambda m: "#" * len(m[1]) + " " + m[2].strip())
@@ -338,11 +395,7 @@ class Scan:
         t = re.sub(r"\\(?:begin|end)\s*\{[^{}\n]*\}(?:\[[^\]\n]*\])?\n?", "", t, flags=re.IGNORECASE)
         t = re.sub(r"~?\\(?:label|vspace|hspace)\*?\s?\{[^{}\n]*\}", "", t, flags=re.IGNORECASE)
         t = re.sub(r"~(?=\\)", " ", t)
-        for _ in range(4):
-            made = re.sub(r"(?<![\w:])\\[A-Za-z]{2,}\*?\s?(?:\[[^\[\]\n]*\])?\{([^{}\n]*)\}", r"\1", t)
-            if made == t:
-                break
-            t = made
+        t = unwrap_commands(t)
         self.text = re.sub(rf"(?<![\w:\\])\\(?:{_BARE_COMMANDS.replace(' ', '|')})(?![A-Za-z_\\])[ \t]?", "", t, flags=re.IGNORECASE)
 
     def _html(self) -> None:
