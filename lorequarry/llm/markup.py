@@ -96,6 +96,8 @@ _TEX_BRACE, _TEX_UNWRAP = re.compile(_TEX_HEAD + "|[{}]"), re.compile(_TEX_HEAD
 _BULLET = re.compile(r"^[ \t]*([-*+])[ \t]+(?=\S)", re.MULTILINE)
 _NUMBER = re.compile(r"^[ \t]*(\d{1,3})([.)])[ \t]+(?=\S)", re.MULTILINE)
 _MARK = "\x00"
+#: What may stand for the mark in a text that holds it: characters reserved for no text, then private ones.
+_STAND_INS = [*range(0xFDD0, 0xFDF0), *(p << 16 | n for p in range(17) for n in (0xFFFE, 0xFFFF)), *range(0xF0000, 0xFFFFE), *range(0x100000, 0x10FFFE)]
 
 
 class _Node:
@@ -409,18 +411,28 @@ class Scan:
             self.text = _ENTITY.sub(lambda m: html.unescape(m[0]), self.text)
 
 
+def scan_any(text: str) -> Scan:
+    """The scan of a text; one with the mark is scanned with a character in its place that is absent from the text."""
+    if _MARK not in text:
+        return Scan(text)
+    known = text + html.unescape(text)  # a reference must not turn into it either
+    stand_in = next(c for c in map(chr, _STAND_INS) if c not in known)
+    scan = Scan(text.replace(_MARK, stand_in))
+    scan.text = scan.text.replace(stand_in, _MARK)
+    return scan
+
+
 def clean_markup(rows: DataFrame, text_col: str = "page_content", id_col: str = "row_id") -> DataFrame:
     """``(row_id, markups, clean_text)``: the kinds of markup of each text, sorted, and its clean text.
 
     Kinds are ``html``, ``latex``, ``markdown`` and ``wiki``.  Records (JSON
-    objects, ``key: value`` lines) have no markup and stay as they are, as do
-    texts with a NUL character.  Null and empty texts give no kinds and are
+    objects, ``key: value`` lines) have no markup and stay as they are.  Null and empty texts give no kinds and are
     returned as they are.  Repeated rows are cleaned each on their own.
     """
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scans = [Scan(t) if t else None for t in batch.column(1).to_pylist()]
+            scans = [scan_any(t) if t else None for t in batch.column(1).to_pylist()]
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
