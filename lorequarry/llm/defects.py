@@ -71,6 +71,11 @@ _CITATION = re.compile(r"(?<!\s)(?:\s*(?:\[\d+(?:\s*[,，]\s*\d+)*\]|【\d+】|\
 _TOKEN = re.compile(r"[㐀-鿿぀-ヿ가-힯]|[^\W_㐀-鿿぀-ヿ가-힯]+(?:_[^\W_㐀-鿿぀-ヿ가-힯]+)*")
 _PLAIN_VALUE = re.compile(r"\W{0,3}(?:`[^`\n]+`|[\w./:-]+(?:\([^()\n]*\))?)(?:\s*[:=]\s*`?[\w./:-]+`?)?\W{0,2}")
 _CODE_END = re.compile(r"(?:^|[.!?。！？:：]\s*)(?:`[^`\n]+`[\s,，、]*)+$")
+#: Words no answer ends with; in lower case only, as values such as AND are names.
+_OPEN_END = re.compile(
+    r"(?<![\w'’-])(?:the|and|or|of|with|from|because|is|are|was|were|its|their|than|der|das|dem|ein|eine|einen|und|oder|mit|von|weil|ist|sind|"
+    r"une|avec|sont|parce que|los|una|del|con|porque)[ \t]*$|(?:因为|以及|并且|或者)$"
+)
 _INVISIBLE = re.compile(r"[\s\x00-\x20­​-‏⁠-⁤﻿　]+")
 
 
@@ -146,7 +151,7 @@ def is_refusal(answer: str) -> bool:
     for sentence in _SENTENCE.split(_CITATION.sub("", answer)):
         if not any(c.isalnum() for c in sentence):
             continue
-        if len(sentence) < 260 and (m := _DECLINES.search(sentence)) and not _CAVEAT.search(sentence, m.end()):
+        if (m := _DECLINES.search(sentence)) and not _CAVEAT.search(sentence, m.end()):
             declined = True
         elif not _POLITE.search(sentence) or _CAVEAT.search(sentence) and not declined:
             return False
@@ -164,7 +169,8 @@ def is_truncated(answer: str) -> bool:
     if _CODE_END.search(body) or ends_sentence(body):
         return False
     found = tokens(body)
-    return len(found) > (8 if any("㐀" <= t <= "鿿" for t in found) else 3)
+    # a short answer is taken for a value, unless its last word calls for another
+    return len(found) > (8 if any("㐀" <= t <= "鿿" for t in found) else 3) or _OPEN_END.search(body) is not None
 
 
 def in_other_language(question: str, answer: str) -> bool:
