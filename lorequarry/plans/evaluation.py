@@ -8,7 +8,7 @@ from lorequarry.operators import calibration as cal, labels as lb, metrics as mt
 from lorequarry.plans import retrieval as rt
 from lorequarry.sources.tables import table
 
-REPS = 200
+REPS, FULL_REPS = 200, 2000
 
 
 def items(spark, folder) -> DataFrame:
@@ -62,6 +62,11 @@ def bootstrap_ci(spark, folder):
     return b.select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
+def bootstrap_ci_full(spark, folder):
+    b = mt.bootstrap_interval(_values(spark, folder), FULL_REPS)
+    return b.select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+
+
 def _paired(spark, folder) -> DataFrame:
     """Share of hits with the query's label, of plain similarity (a) and of marginal relevance (b)."""
     c, q = rt.corpus(spark, folder), rt.questions(spark, folder)
@@ -83,6 +88,10 @@ def paired_bootstrap(spark, folder):
     return mt.paired_bootstrap(_paired(spark, folder).withColumnRenamed("query_id", "key"), REPS)
 
 
+def paired_bootstrap_full(spark, folder):
+    return mt.paired_bootstrap(_paired(spark, folder).withColumnRenamed("query_id", "key"), FULL_REPS)
+
+
 def random_baseline(spark, folder):
     return mt.random_baseline(items(spark, folder), table(spark, folder, "chunk"))
 
@@ -142,8 +151,8 @@ def distance_histogram(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        retrieval_metrics, strategy_summary, strategy_means, wilson_ci, bootstrap_ci, paired_diff, paired_bootstrap, random_baseline,
-        random_baseline_chunk, jaccard_pairs, expand_gold, label_stats, missing_evidence, distance_stats, threshold_metrics,
+        retrieval_metrics, strategy_summary, strategy_means, wilson_ci, bootstrap_ci, bootstrap_ci_full, paired_diff, paired_bootstrap,
+        paired_bootstrap_full, random_baseline, random_baseline_chunk, jaccard_pairs, expand_gold, label_stats, missing_evidence, distance_stats, threshold_metrics,
         threshold_sweep, best_f1_threshold, distance_histogram,
     )
 }
