@@ -17,7 +17,9 @@ are verified on their exact gram sets.
 Pairs are first brought together by bands of min-hash values (an equi-join;
 see BANDS and ROWS for the chance to miss a pair at the threshold), never by a
 product of all texts.  Equal texts collapse into one class beforehand, so a
-group of copies of any size is one row in the bands.
+group of copies of any size is one row in the bands.  A band row is a key, an id
+and a size; pivot tables and texts are joined once to each distinct pair, never
+carried through the bands.
 """
 
 from __future__ import annotations
@@ -32,10 +34,10 @@ from pyspark.sql import DataFrame, functions as F
 from lorequarry.llm.codepoints import code_points, mix, pieces
 from lorequarry.shared import materialize
 
-BLOCKS = 128
+BLOCKS = 256
 #: A pair at a similarity of 0.8 misses all bands with (1 - 0.8**ROWS)**BANDS = 2e-6.
 BANDS, ROWS = 33, 5
-_BATCH_CHARS = 1 << 18
+_BATCH_CHARS = 1 << 16
 
 
 def _grams(codes: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,53 +95,43 @@ def pivot_table(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Hamming distances of each gram set to the zero reference of each block (texts x BLOCKS)."""
     n = len(offsets) - 1
     owner = np.repeat(np.arange(n), np.diff(offsets))
-    block = (mix(grams) >> np.uint64(57)).astype(np.int64)
+    block = (mix(grams) >> np.uint64(56)).astype(np.int64)
     return np.bincount(owner * BLOCKS + block, minlength=n * BLOCKS).reshape(n, BLOCKS)
 
 
 def band_keys(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Band keys of each non-empty gram set (texts x BANDS), from ROWS min-hash values each."""
-    h = mix(grams ^ np.uint64(0x5BF03635DA2B4C1F))
-    low = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    high = (h >> np.uint64(32)).astype(np.uint32)
+    low = mix(grams ^ np.uint64(0x5BF03635DA2B4C1F)).astype(np.uint32)
     rng = np.random.default_rng(20240607)
-    factors = rng.integers(1 << 20, 1 << 32, (BANDS, ROWS, 2), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+    factors = rng.integers(1 << 20, 1 << 32, (BANDS, ROWS), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
     starts = offsets[:-1]
-    keys = np.zeros((len(starts), BANDS), np.uint64)
+    keys = np.zeros((len(starts), BANDS), np.uint32)
+    values = np.empty_like(low)
     for band in range(BANDS):
         key = np.full(len(starts), band, np.uint64)
-        for x, y in factors[band]:
-            # both words of the hash are random, so a pair of products is a new random order
-            values = low * x
-            values += high * y
+        for factor in factors[band]:
+            # the hash is random, so its product with an odd number is a new random order
+            np.multiply(low, factor, out=values)
             key = mix(key * np.uint64(0x100000001B3) ^ np.minimum.reduceat(values, starts).astype(np.uint64))
-        keys[:, band] = key
+        keys[:, band] = key.astype(np.uint32)
     return keys
 
 
-def _parts(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    from lorequarry.llm.codepoints import pieces
-
-    return pieces(batches, column, limit)
-
-
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, 1, _BATCH_CHARS):
-        grams, offsets = gram_sets(*code_points(batch.column(1)))
-        some = np.flatnonzero(np.diff(offsets))
-        if not len(some):
-            continue
-        offsets = np.r_[offsets[some], offsets[-1]]
-        table = pivot_table(grams, offsets)
-        packed = _pack(table)
+    """Of ``(id, digest, text)``: size of the gram set, its band keys and its pivot table; both empty without grams."""
+    for batch in pieces(batches, 2, _BATCH_CHARS):
+        grams, offsets = gram_sets(*code_points(batch.column(2)))
+        sizes = np.diff(offsets)
+        some = np.flatnonzero(sizes)
+        packed, bands = np.full(len(sizes), b"", object), np.zeros(0, np.int32)
+        if len(some):
+            inner = np.r_[offsets[some], offsets[-1]]
+            packed[some] = _pack(pivot_table(grams, inner))
+            bands = band_keys(grams, inner).reshape(-1).view(np.int32)
+        ends = np.r_[0, np.cumsum(np.where(sizes > 0, BANDS, 0))].astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(band_keys(grams, offsets).reshape(-1).view(np.int64)),
-                batch.column(0).take(pa.array(np.repeat(some, BANDS))),
-                pa.array(np.repeat(np.diff(offsets), BANDS).astype(np.int32)),
-                pa.array(np.repeat(np.array(packed, object), BANDS), pa.binary()),
-            ],
-            names=["band", "id", "size", "pivots"],
+            [batch.column(0), batch.column(1), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands)), pa.array(packed, pa.binary())],
+            names=["id", "digest", "size", "bands", "pivots"],
         )
 
 
@@ -206,7 +198,7 @@ def text_classes(rows: DataFrame, text_col: str = "page_content", id_col: str =
     bare = F.regexp_replace(F.col(text_col), r"(?U)[\s\x1c-\x1f]+", "")
     texts = rows.select(F.col(id_col).cast("long").alias("id"), bare.alias("bare"))
     return texts.where("id is not null").where(F.col("bare").rlike(r"[\p{L}\p{N}]")).select(
-        "id", F.md5("bare").alias("digest"), "bare"
+        "id", F.unhex(F.md5("bare")).alias("digest"), "bare"
     )
 
 
@@ -220,30 +212,32 @@ def near_duplicate_classes(
     Null, blank and letterless texts belong to no class; texts of fewer than
     three characters have no grams and are linked to nothing but their copies.
     """
-    texts = materialize(text_classes(rows, text_col, id_col), "texts")
-    classes = texts.groupBy("digest").agg(F.min("id").alias("class_id"))
-    members = materialize(texts.select("id", "digest").join(classes, "digest").select("id", "class_id"), "members")
-    own = members.where("id = class_id").select("id")
-    heads = materialize(texts.select("id", "bare").join(own, "id"), "heads")
+    texts = text_classes(rows, text_col, id_col)
     signs = materialize(
-        heads.mapInArrow(_signatures, "band long, id long, size int, pivots binary"), "signatures"
+        texts.mapInArrow(_signatures, "id long, digest binary, size int, bands array<int>, pivots binary"), "signatures"
+    )
+    # one row a text: copies are dropped map-side
+    heads = signs.groupBy("digest").agg(F.min("id").alias("id"), F.min_by(F.struct("size", "bands", "pivots"), "id").alias("s"))
+    classes = signs.groupBy("digest").agg(F.min("id").alias("class_id"))
+    members = signs.select("id", "digest").join(classes, "digest").select("id", "class_id")
+    banded = heads.select("id", F.col("s.size").alias("size"), F.posexplode("s.bands").alias("band", "key")).select(
+        (F.shiftleft(F.col("band").cast("long"), 32) + F.col("key")).alias("key"), "id", "size"
     )
-    left = signs.select("band", *(F.col(c).alias(f"{c}_a") for c in ("id", "size", "pivots")))
-    right = signs.select("band", *(F.col(c).alias(f"{c}_b") for c in ("id", "size", "pivots")))
+    tables = heads.select("id", F.col("s.size").alias("size"), F.col("s.pivots").alias("pivots"))
+    side = lambda df, name: df.select(*(F.col(c) if c == "key" else F.col(c).alias(f"{c}_{name}") for c in df.columns))
     within = (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * threshold - 1e-6) & F.expr("id_a < id_b")
+    met = side(banded, "a").join(side(banded, "b"), "key").where(within).select("id_a", "id_b").distinct()
     pairs = (
-        left.join(right, "band")
-        .where(within)
+        met.join(side(tables, "a"), "id_a")
+        .join(side(tables, "b"), "id_b")
         .select("id_a", "id_b", "size_a", "size_b", "pivots_a", "pivots_b")
         .mapInArrow(_discard_far(threshold), "id_a long, id_b long")
-        .distinct()
     )
-    texts_a = heads.select(F.col("id").alias("id_a"), F.col("bare").alias("text_a"))
-    texts_b = heads.select(F.col("id").alias("id_b"), F.col("bare").alias("text_b"))
+    heads_texts = texts.select("id", "bare")
     links = (
-        pairs.join(texts_a, "id_a")
-        .join(texts_b, "id_b")
-        .select("id_a", "id_b", "text_a", "text_b")
+        pairs.join(side(heads_texts, "a"), "id_a")
+        .join(side(heads_texts, "b"), "id_b")
+        .select("id_a", "id_b", "bare_a", "bare_b")
         .mapInArrow(_verify(threshold), "a long, b long, similarity double")
     )
     return members, links
