@@ -17,9 +17,11 @@ are verified on their exact gram sets.
 Pairs are first brought together by bands of min-hash values (an equi-join;
 see BANDS and ROWS for the chance to miss a pair at the threshold), never by a
 product of all texts.  Equal texts collapse into one class beforehand, so a
-group of copies of any size is one row in the bands.  A band row is a key, an id
-and a size; pivot tables and texts are joined once to each distinct pair, never
-carried through the bands.
+group of copies of any size is one row in the bands.  A band row carries, beside
+its key, the parities of the table's coordinates: coordinates of unlike parity
+differ by one at least, so the bits that differ are a lower bound of the same
+maximum, tested inside the join.  Whole tables, and then texts, are joined once
+to each distinct pair that is left.
 """
 
 from __future__ import annotations
@@ -35,6 +37,9 @@ from lorequarry.llm.codepoints import code_points, mix, pieces
 from lorequarry.shared import materialize
 
 BLOCKS = 256
+_WORDS = BLOCKS // 64
+_PARITIES = [f"odd{n}" for n in range(_WORDS)]
+_SIGNATURE = "id long, digest binary, size int, bands array<int>, pivots binary, " + ", ".join(f"{p} long" for p in _PARITIES)
 #: A pair at a similarity of 0.8 misses all bands with (1 - 0.8**ROWS)**BANDS = 2e-6.
 BANDS, ROWS = 33, 5
 _BATCH_CHARS = 1 << 16
@@ -124,14 +129,17 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(offsets)
         some = np.flatnonzero(sizes)
         packed, bands = np.full(len(sizes), b"", object), np.zeros(0, np.int32)
+        odd = np.zeros((len(sizes), _WORDS), np.int64)
         if len(some):
             inner = np.r_[offsets[some], offsets[-1]]
-            packed[some] = _pack(pivot_table(grams, inner))
+            table = pivot_table(grams, inner)
+            packed[some] = _pack(table)
+            odd[some] = np.packbits((table & 1).astype(np.uint8), axis=1).view(np.int64)
             bands = band_keys(grams, inner).reshape(-1).view(np.int32)
         ends = np.r_[0, np.cumsum(np.where(sizes > 0, BANDS, 0))].astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands)), pa.array(packed, pa.binary())],
-            names=["id", "digest", "size", "bands", "pivots"],
+            [batch.column(0), batch.column(1), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands)), pa.array(packed, pa.binary()), *(pa.array(odd[:, n]) for n in range(_WORDS))],
+            names=["id", "digest", "size", "bands", "pivots", *_PARITIES],
         )
 
 
@@ -213,19 +221,20 @@ def near_duplicate_classes(
     three characters have no grams and are linked to nothing but their copies.
     """
     texts = text_classes(rows, text_col, id_col)
-    signs = materialize(
-        texts.mapInArrow(_signatures, "id long, digest binary, size int, bands array<int>, pivots binary"), "signatures"
-    )
+    signs = materialize(texts.mapInArrow(_signatures, _SIGNATURE), "signatures")
     # one row a text: copies are dropped map-side
-    heads = signs.groupBy("digest").agg(F.min("id").alias("id"), F.min_by(F.struct("size", "bands", "pivots"), "id").alias("s"))
+    heads = signs.groupBy("digest").agg(F.min("id").alias("id"), F.min_by(F.struct("size", "bands", "pivots", *_PARITIES), "id").alias("s"))
     classes = signs.groupBy("digest").agg(F.min("id").alias("class_id"))
     members = signs.select("id", "digest").join(classes, "digest").select("id", "class_id")
-    banded = heads.select("id", F.col("s.size").alias("size"), F.posexplode("s.bands").alias("band", "key")).select(
-        (F.shiftleft(F.col("band").cast("long"), 32) + F.col("key")).alias("key"), "id", "size"
+    banded = heads.select("id", "s.size", *(f"s.{p}" for p in _PARITIES), F.posexplode("s.bands").alias("band", "key")).select(
+        (F.shiftleft(F.col("band").cast("long"), 32) + F.col("key")).alias("key"), "id", "size", *_PARITIES
     )
     tables = heads.select("id", F.col("s.size").alias("size"), F.col("s.pivots").alias("pivots"))
     side = lambda df, name: df.select(*(F.col(c) if c == "key" else F.col(c).alias(f"{c}_{name}") for c in df.columns))
-    within = (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * threshold - 1e-6) & F.expr("id_a < id_b")
+    apart = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in _PARITIES), F.lit(0))
+    reach = (1 - threshold) / (1 + threshold) * (F.col("size_a") + F.col("size_b")) + 1e-6
+    near_size = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * threshold - 1e-6
+    within = F.expr("id_a < id_b") & near_size & (apart <= reach)
     met = side(banded, "a").join(side(banded, "b"), "key").where(within).select("id_a", "id_b").distinct()
     pairs = (
         met.join(side(tables, "a"), "id_a")
