@@ -5,7 +5,7 @@ import pytest
 from lorequarry.llm.conversations import dropped_threads, sound_turns
 from lorequarry.llm.defects import defect, defective_pairs
 from lorequarry.llm.language import language, requested_language
-from lorequarry.llm.markup import Scan, clean_markup, content_node, markup_found, _Dom, _measure
+from lorequarry.llm.markup import Scan, clean_markup, content_node, markup_found, parse, _measure
 from lorequarry.llm.truncation import examine, truncated_documents, truncation_report
 
 
@@ -56,10 +56,9 @@ def test_density_drops_navigation_but_not_content():
     page = f"<div>{links}</div><div><p>{body}</p><p>{body}</p></div>"
     clean = Scan(page).text
     assert "Menu 3" not in clean and "real prose" in clean
-    dom = _Dom()
-    dom.feed(page)
-    _measure(dom.root)
-    content, threshold = content_node(dom.root)
+    root = parse(page)
+    _measure(root)
+    content, threshold = content_node(root)
     assert content.chars >= 2 * len(body.strip()) and threshold > 0
 
 
