@@ -6,10 +6,12 @@ sorted), a list an ordered one; plain text is a single leaf.  Records are groupe
 by root digest, and every copy is confirmed by comparing its full canonical
 structure with that of a row of the same digest.
 
-Scale: a row travels as two 16-byte digests.  Groups are counted with map-side
-aggregation and never gathered: a group's only state is its smallest id and its
-count.  Copies look up their group with a salted join, so a group that holds a
-third of all rows is spread over all tasks.
+Scale: a row travels as two 16-byte digests, made once and written.  Groups are
+counted with map-side aggregation and never gathered: a group's only state is its
+smallest id and its count.  Rows look their group up in two parts: the groups that
+hold more than one row in ``HEAVY`` are at most ``HEAVY`` and are broadcast, all
+other groups are too small to weigh on a task.  The text that copies are compared
+with is repeated for every ``SPREAD`` copies.
 """
 
 from __future__ import annotations
@@ -24,7 +26,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from lorequarry.shared import materialize
 
-_FIELD = re.compile(r"\s*[\"'`*-]*\s*([^\W\d](?:[\w./-]| (?! )){0,47}?)\s*[\"'`*]*\s*[:=：＝](?!//)\s*(.*?)\s*,?\s*", re.DOTALL)
+#: A group is broadcast if it holds more than a share of 1 / HEAVY of all rows.
+HEAVY = 1024
+#: Copies of one content that are compared in one place.
+SPREAD = 20_000
+
+_SEPARATOR = re.compile(r"[:=：＝]")
+_KEY = re.compile(r"[^\W\d](?:[\w./-]| (?! ))*+")
 _SEMICOLON = re.compile(r"[;；]")
 _BLANKS = "\ufeff\u3000\u00a0 \t\r\n"
 _NO_LETTER = re.compile(r"[\W_]+")
@@ -48,14 +56,28 @@ def _json_record(text: str):
         return None
 
 
+def _field(part: str) -> tuple[str, str] | None:
+    """Key and value of ``key: value`` or ``key=value``; the key may be quoted or stand behind a list mark."""
+    sign = _SEPARATOR.search(part)
+    if not sign or part.startswith("//", sign.end()):
+        return None
+    key = part[: sign.start()].lstrip().lstrip("\"'`*-").strip().rstrip("\"'`*").rstrip()
+    value = part[sign.end() :].strip()
+    return (key, value.removesuffix(",").rstrip()) if _KEY.fullmatch(key) else None
+
+
 def _fields(text: str) -> list[tuple[str, str]] | None:
     """Fields written ``key: value`` or ``key=value``, one a line or between semicolons."""
     lines = [x for x in text.splitlines() if x.strip()]
     for parts in (lines, [x for x in _SEMICOLON.split(text) if x.strip()]):
         if len(parts) > 1:
-            found = [_FIELD.fullmatch(x.strip()) for x in parts]
-            if all(found):
-                return [(m[1], m[2]) for m in found]
+            found = []
+            for part in parts:
+                if (field := _field(part)) is None:
+                    break
+                found.append(field)
+            else:
+                return found
     return None
 
 
@@ -132,15 +154,20 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array([same_content(x, y) for x, y in zip(a, b)], pa.bool_()))
 
 
-def content_groups(rows: DataFrame, text_col: str = "page_content", id_col: str = "row_id") -> DataFrame:
-    """``(root, flat, keep_id, copies, witness_id)``: each digest pair with the smallest id and the size of its group.
+def digest_rows(rows: DataFrame, text_col: str = "page_content", id_col: str = "row_id") -> DataFrame:
+    """``(id, root, flat)`` of every row with letters or digits, written once."""
+    texts = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    made = texts.where("text is not null and id is not null").mapInArrow(_digests, "id long, root binary, flat binary")
+    return materialize(made, "digests")
+
+
+def content_groups(digests: DataFrame) -> DataFrame:
+    """``(root, flat, keep_id, n, copies, witness_id)``: each digest pair with its rows, and the smallest id and the size of its group.
 
     Plain texts whose letters and digits equal those of a record join the
     record's group.  ``witness_id`` is a row that shares the pair's content by
-    itself, not through another member.  Null texts and texts without letters and
-    digits are left out.
+    itself, not through another member.
     """
-    digests = _digest_rows(rows, text_col, id_col)
     classes = materialize(
         digests.groupBy("root", "flat").agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("n")), "contents"
     )
@@ -154,44 +181,64 @@ def content_groups(rows: DataFrame, text_col: str = "page_content", id_col: str
         .withColumn("witness_id", F.when(plain, F.coalesce("near", "own")).otherwise(F.col("own")))
     )
     groups = labelled.groupBy("label").agg(F.min("keep").alias("keep_id"), F.sum("n").alias("copies"))
-    return labelled.join(groups, "label").select("root", "flat", "keep_id", "copies", "witness_id")
+    return labelled.join(groups, "label").select("root", "flat", "keep_id", "n", "copies", "witness_id")
 
 
-def _digest_rows(rows: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    texts = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return texts.where("text is not null and id is not null").mapInArrow(_digests, "id long, root binary, flat binary")
+def _with_group(digests: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows with their group: those of the heaviest digest pairs by broadcast, the others by an even join."""
+    total = digests.agg(F.count(F.lit(1)).alias("total"))  # one row
+    weighed = groups.crossJoin(F.broadcast(total)).withColumn("heavy", F.col("n") * HEAVY > F.col("total")).drop("total")
+    heavy = F.broadcast(weighed.where("heavy"))  # fewer than HEAVY rows, as their shares sum up to 1 at most
+    keys = ["root", "flat"]
+    light = digests.join(heavy.select(*keys), keys, "left_anti").join(weighed.where("not heavy"), keys)
+    return digests.join(heavy, keys).unionByName(light)
 
 
-def dressed_copies(
-    rows: DataFrame, text_col: str = "page_content", id_col: str = "row_id", salts: int = 16
-) -> DataFrame:
-    """``(keep_id, copy_id)``: the smallest id of each content with every other row of that content."""
-    groups = content_groups(rows, text_col, id_col).where("copies > 1")
-    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+def _confirmed_copies(digests: DataFrame, rows: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    groups = materialize(content_groups(digests).where("copies > 1"), "groups")
+    places = F.floor(F.col("copies") / SPREAD).cast("int") + 1
     pairs = (
-        _digest_rows(rows, text_col, id_col)
-        .withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-        .join(salted, ["root", "flat", "salt"])
+        _with_group(digests, groups)
         .where("id <> keep_id")
-        .select("keep_id", F.col("id").alias("copy_id"), "witness_id")
+        .select("keep_id", F.col("id").alias("copy_id"), "witness_id", F.pmod(F.xxhash64("id"), places).cast("int").alias("place"))
     )
     texts = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     with_copy = pairs.join(texts.select(F.col("id").alias("copy_id"), F.col("text").alias("copy_text")), "copy_id")
-    witnesses = texts.select(F.col("id").alias("witness_id"), F.col("text").alias("witness_text"))
+    asked = groups.groupBy("witness_id").agg(F.max(places).alias("places"))
+    witnesses = texts.select(F.col("id").alias("witness_id"), F.col("text").alias("witness_text")).join(asked, "witness_id")
+    spread = witnesses.select("witness_id", "witness_text", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"))
     return (
-        with_copy.join(witnesses, "witness_id")
+        with_copy.join(spread, ["witness_id", "place"])
         .select("keep_id", "copy_id", "witness_text", "copy_text")
         .mapInArrow(_confirm, "keep_id long, copy_id long")
     )
 
 
+def dressed_copies(rows: DataFrame, text_col: str = "page_content", id_col: str = "row_id") -> DataFrame:
+    """``(keep_id, copy_id)``: the smallest id of each content with every other row of that content.
+
+    Null texts and texts without letters and digits are left out.
+    """
+    return _confirmed_copies(digest_rows(rows, text_col, id_col), rows, text_col, id_col)
+
+
 def distinct_contents(rows: DataFrame, text_col: str = "page_content", id_col: str = "row_id") -> DataFrame:
     """``(keep_id, copies, content)``: one row for each distinct content, with its number of rows.
 
-    Ties of the smallest id (repeated ids) keep one of the equal contents.
+    Only confirmed copies are counted; a row that shares a digest but not the
+    structure would be a content of its own.  Ties of the smallest id (repeated
+    ids) keep one of the equal contents.  Null texts and texts without letters
+    and digits are left out.
     """
-    groups = content_groups(rows, text_col, id_col).select("keep_id", "copies").distinct()
+    digests = digest_rows(rows, text_col, id_col)
+    copies = _confirmed_copies(digests, rows, text_col, id_col).distinct().withColumnRenamed("copy_id", "id")
+    counted = (
+        digests.select("id")
+        .join(copies, "id", "left")
+        .groupBy(F.coalesce("keep_id", "id").alias("keep_id"))
+        .agg(F.count(F.lit(1)).alias("copies"))
+    )
     texts = rows.select(F.col(id_col).cast("long").alias("keep_id"), F.col(text_col).alias("content"))
-    return groups.join(texts.where("content is not null"), "keep_id").groupBy("keep_id", "copies").agg(
+    return counted.join(texts.where("content is not null"), "keep_id").groupBy("keep_id", "copies").agg(
         F.min("content").alias("content")
     )
