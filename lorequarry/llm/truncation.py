@@ -9,8 +9,9 @@ not make a cut text whole.  What is left must end in nothing open, no broken
 character or escape, and a terminator, unless its own block or its source goes
 without terminators.
 
-Whole texts are read, in one Arrow pass; the baselines are counts over all
-texts, aggregated map-side to one row a source.
+Whole texts are read, in one Arrow pass whose narrow result is written once; the
+baselines are counts over all texts, aggregated map-side to one row a source.
+Only texts whose one fault is a missing terminator look the baseline up.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from lorequarry.shared import materialize
+
 _CLOSERS = "\"'”’»」』）)］】〉》*_`~>]}"
 _TERMINATORS = ".!?。！？｡؟।"
 _TRAILING = " \t\r\n\f\v\x00​‌‍⁠﻿　 "
@@ -52,7 +55,9 @@ _TOKEN = re.compile(
     re.MULTILINE,
 )
 _PAIRS = {")": "(", "]": "[", "}": "{", "）": "（", "】": "【", "」": "「", "』": "『", "》": "《", "”": "“"}
-_BRACKET = re.compile(r"[()\[\]{}（）【】「」『』《》“”`]")
+#: Quotes that open and close alike, or either way round by language; those of one value are a pair.
+_EITHER_WAY = {"«": "«", "»": "«", '"': '"'}
+_BRACKET = re.compile(r"[()\[\]{}（）【】「」『』《》“”„`«»]|(?<![\d\\])\"|(?<=\d)\"(?=[\s.,;:!?)]|$)")
 
 
 class Ending(NamedTuple):
@@ -150,6 +155,13 @@ def open_bracket(paragraph: str) -> bool:
             _close(stack, held, c)
         elif in_code:
             continue
+        elif (either := _EITHER_WAY.get(c)) is not None:
+            if held[either]:
+                _close(stack, held, either)
+            elif c != '"' or m.start() == 0 or not paragraph[m.start() - 1].isdigit():  # no inches
+                _open(stack, held, either)
+        elif c == "“" and held["„"]:
+            _close(stack, held, "„")
         elif c in _PAIRS:
             _close(stack, held, _PAIRS[c])
         else:
@@ -257,16 +269,17 @@ def truncated_documents(
     judged like the whole table.  A null source is a source of its own.  Null and
     blank texts are left out; repeated rows are judged each on their own.
     """
-    seen = examine_documents(documents, text_col, id_col, source_col)
+    seen = materialize(examine_documents(documents, text_col, id_col, source_col), "endings")
     rates = seen.groupBy("source").agg(F.sum("paragraphs").alias("p"), F.sum("terminated").alias("t"))
     overall = rates.agg((F.sum("t") / F.sum("p")).alias("overall"))  # one row
     strict = rates.crossJoin(F.broadcast(overall)).select(
         F.col("source").alias("of"),
         (F.coalesce(F.col("t") / F.when(F.col("p") > 0, F.col("p")), "overall", F.lit(1.0)) >= baseline).alias("strict"),
     )
-    missing = F.col("reason") == "no_terminator"
-    return seen.join(strict, seen["source"].eqNullSafe(strict["of"])).select(
-        "doc_id", "source", "reason", (F.col("reason").isNotNull() & (~missing | F.col("strict"))).alias("cut")
+    asked = seen.where("reason = 'no_terminator'").join(strict, seen["source"].eqNullSafe(strict["of"]))
+    sure = seen.where("reason is null or reason <> 'no_terminator'")
+    return sure.select("doc_id", "source", "reason", F.col("reason").isNotNull().alias("cut")).unionByName(
+        asked.select("doc_id", "source", "reason", F.col("strict").alias("cut"))
     )
 
 
