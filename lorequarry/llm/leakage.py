@@ -9,96 +9,108 @@ rarest shingle of each window; every other shingle of the passages is left out.
 Survivors keep to length and positional bounds (the overlap on the aligned
 diagonal must fit a window) and are verified character by character.
 
-The passages are the query set: they are held in blocks of at most
-``block_chars`` characters, and each block is matched against all documents.
-Nothing is sampled, cut or capped; the corpus counts cover all documents.
+Scale.  Both sides are tables and meet in an equi-join; neither reaches the
+driver.  The corpus is read once, past a bit table of the passages' shingles
+whose size has a bound (``MOST_BITS``): only hits that stand in as long a row as
+the shortest window are written, with the bare text of their documents.  A full
+bit table lets more hits pass, never fewer.  Nothing is sampled, cut or capped;
+rarity is counted over the hits of all documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lorequarry.llm.codepoints import letters_and_digits, pieces, window_hashes
+from lorequarry.shared import materialize
 
 DOUBLINGS = 4
 SHINGLE = 1 << DOUBLINGS
-_LOOKUP_BITS = 22
-
-
-@dataclass(frozen=True)
-class Passages:
-    """A block of normalised passages: code points, offsets, ids and the run each needs."""
-
-    codes: np.ndarray
-    offsets: np.ndarray
-    ids: np.ndarray
-    runs: np.ndarray
-
-    def shingles(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, passage number and position of every shingle of passages that reach their run."""
-        hashes, owner, place = [], [], []
-        for n in range(len(self.ids)):
-            own = self.codes[self.offsets[n] : self.offsets[n + 1]]
-            if len(own) >= self.runs[n]:
-                h = window_hashes(own, DOUBLINGS)
-                hashes.append(h)
-                owner.append(np.full(len(h), n, np.int64))
-                place.append(np.arange(len(h), dtype=np.int64))
-        if not hashes:
-            none = np.zeros(0, np.int64)
-            return none.astype(np.uint64), none, none
-        return np.concatenate(hashes), np.concatenate(owner), np.concatenate(place)
-
-
-class Lookup:
-    """Sorted distinct hashes behind a bit table, so that most probes cost one load."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.sorted = np.unique(hashes)
-        self.seen = np.zeros(1 << _LOOKUP_BITS, bool)
-        self.seen[self._slot(self.sorted)] = True
-
-    @staticmethod
-    def _slot(h: np.ndarray) -> np.ndarray:
-        return (h >> np.uint64(64 - _LOOKUP_BITS)).astype(np.int64)
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in ``h`` that are among the hashes, and their places in ``sorted``."""
-        maybe = np.flatnonzero(self.seen[self._slot(h)])
-        at = np.searchsorted(self.sorted, h[maybe])
-        at[at == len(self.sorted)] = 0
-        hit = self.sorted[at] == h[maybe] if len(self.sorted) else np.zeros(0, bool)
-        return maybe[hit], at[hit]
-
-
-def _document_hits(texts: pa.Array, lookup: Lookup):
+#: Bits of the table a shingle, and in all (128 MB, broadcast once).
+BITS_EACH, MOST_BITS = 16, 1 << 30
+
+
+def _texts(codes: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> pa.Array:
+    return pa.array([codes[offsets[r] : offsets[r + 1]].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass") for r in rows], pa.string())
+
+
+def _bare_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of ``(item_id, passage, run)``: the bare passages that reach their run."""
+    for batch in pieces(batches, 1):
+        codes, offsets = letters_and_digits(batch.column(1))
+        rows = np.flatnonzero(np.diff(offsets) >= batch.column(2).to_numpy(zero_copy_only=False))
+        kept = batch.take(pa.array(rows))
+        yield pa.RecordBatch.from_arrays([kept.column(0), _texts(codes, offsets, rows), kept.column(2)], names=["item_id", "item", "run"])
+
+
+def _inner_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points and offsets of bare texts; hash, text and place of each shingle that ends in its text."""
     codes, offsets = letters_and_digits(texts)
     h = window_hashes(codes, DOUBLINGS)
-    at, token = lookup.find(h)
-    doc = np.searchsorted(offsets, at, side="right") - 1
-    inside = at + SHINGLE <= offsets[doc + 1]
-    return codes, offsets, at[inside], token[inside], doc[inside]
-
-
-def _count_tokens(lookup_of: np.ndarray):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup(lookup_of)
-        total = np.zeros(len(lookup.sorted), np.int64)
-        for batch in pieces(batches, 0):
-            _, _, _, token, doc = _document_hits(batch.column(0), lookup)
-            pairs = np.unique(doc * len(total) + token)
-            total += np.bincount(pairs % len(total), minlength=len(total))
-        some = np.flatnonzero(total)
+    owner = np.repeat(np.arange(len(texts)), np.diff(offsets))[: len(h)]
+    inside = np.flatnonzero(np.arange(len(h)) + SHINGLE <= offsets[owner + 1])
+    return codes, offsets, h[inside], owner[inside], inside - offsets[owner[inside]]
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, 1):
+        _, _, h, owner, place = _inner_shingles(batch.column(1))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["token", "docs"]
+            [pa.array(h.view(np.int64)), batch.column(0).take(pa.array(owner)), pa.array(place.astype(np.int32))], names=["hash", "pid", "place"]
         )
 
-    return count
+
+def _bit_table(shingles: DataFrame, bits_each: int) -> tuple[np.ndarray, int]:
+    """Bits set at the top bits of every hash, as 64-bit words, and how many top bits; at most MOST_BITS in all."""
+    n = shingles.count()
+    top = min(max((bits_each * n - 1).bit_length(), 12), MOST_BITS.bit_length() - 1)
+    slot = F.shiftrightunsigned("hash", 64 - top)
+    words = shingles.groupBy(F.shiftrightunsigned(slot, 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("bits")
+    )
+    table = np.zeros(1 << (top - 6), np.uint64)
+    for batch in words.toArrow().to_batches():  # MOST_BITS / 64 rows at most
+        table[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
+    return table, top
+
+
+def _rows_of_hits(at: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:
+    """Mask of the hits that stand in a row of at least ``least`` neighbouring places of one text."""
+    new = np.r_[True, (np.diff(at) != 1) | (doc[1:] != doc[:-1])] if len(at) else np.zeros(0, bool)
+    size = np.bincount(np.cumsum(new) - 1) if len(at) else np.zeros(0, np.int64)
+    return size[np.cumsum(new) - 1] >= least
+
+
+def _hits(table, top: int, least: int):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = table.value
+        for batch in pieces(batches, 1):
+            codes, offsets = letters_and_digits(batch.column(1))
+            h = window_hashes(codes, DOUBLINGS)
+            slot = h >> np.uint64(64 - top)
+            at = np.flatnonzero(words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
+            doc = np.searchsorted(offsets, at, side="right") - 1
+            inside = at + SHINGLE <= offsets[doc + 1]
+            at, doc = at[inside], doc[inside]
+            good = _rows_of_hits(at, doc, least)
+            at, doc = at[good], doc[good]
+            rows, first = np.unique(doc, return_index=True)
+            ends = pa.array(np.r_[first, len(doc)].astype(np.int32))
+            place = (at - offsets[doc]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(rows)), _texts(codes, offsets, rows),
+                    pa.ListArray.from_arrays(ends, pa.array(h[at].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(place)),
+                ],
+                names=["doc_id", "text", "hashes", "places"],
+            )
+
+    return find
 
 
 def rarest_per_window(hashes, owner, place, runs, frequency) -> np.ndarray:
@@ -121,76 +133,36 @@ def longest_equal_run(equal: np.ndarray) -> int:
     return int((np.flatnonzero(edges == -1) - begins).max()) if len(begins) else 0
 
 
-def _match_documents(passages: Passages, hashes, owner, place):
-    order = np.argsort(hashes, kind="stable")
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup(hashes)
-        by_token, whose, where = hashes[order], owner[order], place[order]
-        first = np.searchsorted(by_token, lookup.sorted, side="left")
-        last = np.searchsorted(by_token, lookup.sorted, side="right")
-        for batch in pieces(batches, 1):
-            codes, offsets, at, token, doc = _document_hits(batch.column(1), lookup)
-            n = last[token] - first[token]
-            row = np.repeat(np.arange(len(token)), n)
-            entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[token][row]
-            diagonal = (at - offsets[doc])[row] - where[entry]
-            seen = np.unique(np.stack([doc[row], whose[entry], diagonal], axis=1), axis=0) if len(row) else []
-            best: dict[tuple[int, int], int] = {}
-            for d, p, shift in seen:
-                text = codes[offsets[d] : offsets[d + 1]]
-                item = passages.codes[passages.offsets[p] : passages.offsets[p + 1]]
-                begin, end = max(0, shift), min(len(text), shift + len(item))
-                if end - begin < passages.runs[p]:
-                    continue
-                run = longest_equal_run(text[begin:end] == item[begin - shift : end - shift])
-                if run >= passages.runs[p]:
-                    best[d, p] = max(run, best.get((d, p), 0))
-            ids = batch.column(0)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids.take(pa.array([d for d, _ in best], pa.int64())),
-                    pa.array([int(passages.ids[p]) for _, p in best], pa.int64()),
-                    pa.array(list(best.values()), pa.int32()),
-                ],
-                names=["doc_id", "item_id", "run"],
-            )
-
-    return match
-
-
-def _blocks(heldout: DataFrame, min_run: int, min_run_zh: int, block_chars: int) -> Iterator[Passages]:
-    """Passages in blocks of bounded size, in order of id."""
-    need = F.when(F.lower(F.trim("lang")).startswith("zh"), min_run_zh).otherwise(min_run)
-    rows = (
-        heldout.where("passage is not null and item_id is not null")
-        .select(F.col("item_id").cast("long"), "passage", need.cast("int").alias("run"))
-        .distinct()
-        .orderBy("item_id", "passage")
+def _prefixes(passage: pd.DataFrame) -> pd.DataFrame:
+    """The shingles of one passage that are the rarest of a window and occur at all."""
+    rows = passage.sort_values("place")
+    docs = rows["docs"].to_numpy()
+    chosen = rarest_per_window(
+        rows["hash"].to_numpy(), np.zeros(len(rows), np.int64), rows["place"].to_numpy(), rows["run"].to_numpy(), docs
     )
-    ids, texts, runs, size = [], [], [], 0
-
-    def block() -> Passages:
-        return Passages(*letters_and_digits(pa.array(texts, pa.string())), np.array(ids), np.array(runs))
-
-    for row in rows.toLocalIterator():
-        ids.append(row[0])
-        texts.append(row[1])
-        runs.append(row[2])
-        size += len(row[1])
-        if size >= block_chars:
-            yield block()
-            ids, texts, runs, size = [], [], [], 0
-    if ids:
-        yield block()
+    # a window whose rarest shingle occurs nowhere cannot be contained
+    return rows.loc[chosen & (docs > 0), ["hash", "pid", "place"]]
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of ``(doc_id, item_id, run, shift, text, item)``: the longest equal run on the diagonal, where it is long enough."""
+    for batch in pieces(batches, 4):
+        need, shifts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        found = np.zeros(batch.num_rows, np.int32)
+        for row, (text, item) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+            shift = shifts[row]
+            begin, end = max(0, shift), min(len(text), shift + len(item))
+            if end - begin >= need[row]:
+                a, b = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (text[begin:end], item[begin - shift : end - shift]))
+                found[row] = longest_equal_run(a == b)
+        good = np.flatnonzero(found >= np.array(need, np.int64)) if len(need) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(good)), batch.column(1).take(pa.array(good)), pa.array(found[good])], names=["doc_id", "item_id", "run"]
+        )
 
 
 def leaked_passages(
-    documents: DataFrame,
-    heldout: DataFrame,
-    min_run: int = 60,
-    min_run_zh: int = 24,
-    block_chars: int = 4_000_000,
+    documents: DataFrame, heldout: DataFrame, min_run: int = 60, min_run_zh: int = 24, bits_each: int = BITS_EACH
 ) -> DataFrame:
     """``(doc_id, item_id, run)``: documents that share a run of enough characters with a passage.
 
@@ -202,26 +174,28 @@ def leaked_passages(
     """
     if min(min_run, min_run_zh) < SHINGLE:
         raise ValueError(f"a run must be at least {SHINGLE} characters")
-    spark = documents.sparkSession
+    need = F.when(F.lower(F.trim("lang")).startswith("zh"), min_run_zh).otherwise(min_run)
+    rows = heldout.where("passage is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "passage", need.cast("int").alias("run"))
+    bare = rows.distinct().mapInArrow(_bare_passages, "item_id long, item string, run int").distinct()
+    passages = materialize(bare.select(F.monotonically_increasing_id().alias("pid"), "*"), "passages")
+    shingles = materialize(passages.select("pid", "item").mapInArrow(_shingle_rows, "hash long, pid long, place int"), "shingles")
+
+    words, top = _bit_table(shingles, bits_each)
+    table = documents.sparkSession.sparkContext.broadcast(words)
     texts = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = spark.createDataFrame([], "doc_id long, item_id long, run int")
-    for passages in _blocks(heldout, min_run, min_run_zh, block_chars):
-        hashes, owner, place = passages.shingles()
-        if not len(hashes):
-            continue
-        tokens = np.unique(hashes)
-        counted = (
-            texts.select("text")
-            .mapInArrow(_count_tokens(tokens), "token long, docs long")
-            .groupBy("token")
-            .agg(F.sum("docs").alias("docs"))
-            .toPandas()
-        )
-        docs = np.zeros(len(tokens), np.int64)
-        docs[counted["token"].to_numpy(np.int64)] = counted["docs"].to_numpy(np.int64)
-        frequency = docs[np.searchsorted(tokens, hashes)]
-        # a window whose rarest shingle occurs nowhere cannot be contained
-        chosen = rarest_per_window(hashes, owner, place, passages.runs, frequency) & (frequency > 0)
-        matcher = _match_documents(passages, hashes[chosen], owner[chosen], place[chosen])
-        found = found.unionByName(texts.mapInArrow(matcher, "doc_id long, item_id long, run int"))
-    return found.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"))
+    find = _hits(table, top, min(min_run, min_run_zh) - SHINGLE + 1)
+    found = materialize(texts.mapInArrow(find, "doc_id long, text string, hashes array<long>, places array<int>"), "hits")
+    hits = found.select("doc_id", F.explode(F.arrays_zip("hashes", "places")).alias("h")).select("doc_id", F.col("h.hashes").alias("hash"), F.col("h.places").alias("at"))
+
+    rarity = hits.select("doc_id", "hash").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("docs"))
+    known = shingles.join(rarity, "hash", "left").join(passages.select("pid", "run"), "pid")
+    prefixes = known.withColumn("docs", F.coalesce("docs", F.lit(0).cast("long"))).groupBy("pid").applyInPandas(_prefixes, "hash long, pid long, place int")
+    aligned = hits.join(prefixes, "hash").select("doc_id", "pid", (F.col("at") - F.col("place")).alias("shift")).distinct()
+    return (
+        aligned.join(passages, "pid")
+        .join(found.select("doc_id", "text"), "doc_id")
+        .select("doc_id", "item_id", "run", "shift", "text", "item")
+        .mapInArrow(_verify, "doc_id long, item_id long, run int")
+        .groupBy("doc_id", "item_id")
+        .agg(F.max("run").alias("run"))
+    )
