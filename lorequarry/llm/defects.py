@@ -2,7 +2,9 @@
 
 Method: question and answer are aligned by shingle containment and by their
 longest common subsequence to find copies; sentences of an answer are aligned
-with refusal templates to find refusals.  Truncation uses the completeness
+with refusal templates to find refusals: a template is a sequence of phrase
+classes, and its score in a sentence is the share of its classes that stand there
+in order, less what the gaps between them cost.  Truncation uses the completeness
 automaton of ``truncation``, language the function words of ``language``.
 Each pair is judged on its own in one Arrow pass; nothing is shuffled.
 """
@@ -24,37 +26,80 @@ NO_VALUE = frozenset(
     "novalue keine keineantwort keineangabe leer nichts aucun aucune aucunereponse neant vide ninguno ninguna vacio nada "
     "sinrespuesta 无 暂无 空 没有 无内容 无回答 无答案 未提供 不适用 placeholder xxx".split()
 )
-#: Refusal templates; a sentence that holds all parts of one, in order, declines.
+#: Phrase classes of each language.
+PHRASES = {
+    "en": {
+        "CANNOT": r"can(?:no|')?t|can ?not|could(?: not|n't)|unable to|not able to|won't|will not|would rather not|not (?:possible|permitted|allowed) to|decline to|refuse to|(?:must|have to) decline",
+        "SAY": r"\b(?:answer|help|assist|respond|reply|comment|say|tell|discuss|provide|share|determine|give|offer|support|address)",
+        "NOT": r"\b(?:does|do|did) not\b",
+        "HOLD": r"\b(?:allow|permit|support|contain|include|provide|cover|mention|give)",
+        "ANSWER": r"\b(?:answer|information|details?|enough|anything)",
+        "NO": r"\bno\b",
+        "NOTHING": r"\bnothing\b",
+        "SOURCE": r"\b(?:information|answers?|context|passages?|evidence|data|documents?|results?|notes|sources?|material)\b",
+        "TOPIC": r"\b(?:in|about|on) (?:the |this |these |my )?(?:context|passages?|material|documents?|sources|notes|question|topic|this)\b",
+        "FOUND": r"\b(?:found|available|given|retrieved|provided|exists?|possible)",
+        "IS": r"\b(?:found|have|is|was|are)\b",
+        "LITTLE": r"\b(?:not enough|insufficient)\b",
+        "IGNORE": r"\bi (?:do not|don't) (?:know|have)\b",
+        "OUTSIDE": r"\b(?:outside|beyond)\b",
+        "SCOPE": r"\b(?:scope|what i can|my)",
+        "DECLINE": r"\bi must decline\b",
+    },
+    "zh": {
+        "CANNOT": r"无法|不能|没办法|没法|无从|难以|不便|不方便|不予|恕不|恕难|拒绝|暂不|暂时不",
+        "SAY": r"回答|作答|答复|解答|提供|给出|讨论|判断|确定|处理|评论|透露|协助|帮助|回应|说明|奉告",
+        "WITHOUT": r"给不出|没有|找不到|未找到|未能找到|得不出",
+        "RESULT": r"答案|相关内容|相关信息|相关资料|结论|依据",
+        "SOURCE": r"资料|信息|片段|内容|证据|上下文",
+        "LITTLE": r"(?:不足|不够|有限)(?!.*(?:但|不过))",
+        "UNRELATED": r"(?:与|和)(?:这个|该|您的)?问题无关",
+        "OUTSIDE": r"超出",
+        "SCOPE": r"范围|能力",
+        "IGNORE": r"我不(?:知道|清楚|了解)|无可奉告|恕不回答",
+    },
+    "de": {
+        "CAN": r"\b(?:kann|können|könnte|darf|möchte|will|werde)\b",
+        "NOT": r"\b(?:nicht|nichts|keine)\b",
+        "SAY": r"\b(?:sagen|antworten|beantworten|helfen|geben|äußern|beurteilen|mitteilen|beantwortet)\b",
+        "ANSWER": r"\b(?:beantworten|beantwortet|antworten|helfen|sagen|äußern|antwort)\b",
+        "LITTLE": r"\b(?:keine|nicht genug|zu wenig|unzureichende)\b",
+        "SOURCE": r"\b(?:angaben|informationen|unterlagen|antwort|daten)",
+        "MUST": r"\b(?:muss|müssen)\b",
+        "DECLINE": r"\b(?:ablehnen|passen)",
+        "IGNORE": r"\bweiß (?:ich )?(?:es )?nicht\b",
+        "ALLOW": r"\b(?:lassen|lässt|erlauben|erlaubt)\b",
+        "NONE": r"\bkeine antwort",
+    },
+    "fr": {
+        "CANNOT": r"\b(?:ne (?:peux|puis|peut|pouvons|saurais|souhaite)|n'est pas possible|impossible de|incapable de|refuse de|dois refuser|dois décliner)\b",
+        "SAY": r"\b(?:répond|aid|dire|fournir|donner|commenter|comment|pas|discuter)",
+        "HOLD": r"\b(?:ne|n')\s?(?:contient|contiennent|permet|permettent|fournit|donne|trouve)\w*\b",
+        "ANSWER": r"\b(?:réponse|répondre|information|rien)",
+        "LITTLE": r"\b(?:aucune|pas de|pas assez d|insuffisan)\w*\b",
+        "SOURCE": r"\b(?:réponse|information|élément|contexte|passage)",
+        "IGNORE": r"\bje ne sais pas\b",
+    },
+    "es": {
+        "CANNOT": r"\bno (?:puedo|podemos|puede|es posible|me es posible|soy capaz de|quiero|debo)\b",
+        "SAY": r"\b(?:respond|contest|ayud|decir|ofrecer|dar|coment|proporcion|hablar)",
+        "HOLD": r"\bno (?:contiene|contienen|permite|permiten|hay|existe|encuentro|se encontr)\w*\b",
+        "ANSWER": r"\b(?:respuesta|responder|información|datos|nada)",
+        "LITTLE": r"\b(?:información|datos|contexto) insuficiente",
+        "IGNORE": r"\bno (?:lo )?sé\b",
+        "DECLINE": r"\b(?:debo|tengo que) (?:declinar|rechazar)",
+    },
+}
+#: Refusal templates, and the characters a gap between two of their classes may have.
 REFUSALS = {
-    "en": (
-        r"(?:can(?:no|')?t|can ?not|could(?: not|n't)|unable to|not able to|won't|will not|would rather not|must decline|have to decline|decline to|refuse to|not (?:possible|permitted|allowed) to)"
-        r".{0,60}\b(?:answer|help|assist|respond|reply|comment|say|tell|discuss|provide|share|determine|give|offer|support|address)",
-        r"\b(?:does|do|did) not (?:allow|permit|support|contain|include|provide|cover|mention|give).{0,30}\b(?:answer|information|details?|enough|anything)",
-        r"\bno (?:\w+ ){0,2}?(?:information|answers?|context|passages?|evidence|data|documents?|results?|notes|sources?|material)\b.{0,40}\b(?:found|available|given|retrieved|provided|exists?|possible)",
-        r"\b(?:found|have|is|was|are) no (?:\w+ ){0,2}?(?:information|answers?|passages?|evidence|data|documents?|results?)\b",
-        r"\bnothing (?:\w+ ){0,3}?(?:in|about|on) (?:the |this |these |my )?(?:context|passages?|material|documents?|sources|notes|question|topic|this)\b",
-        r"\b(?:not enough|insufficient) (?:information|context|evidence|data)",
-        r"\bi (?:do not|don't) (?:know|have)\b.{0,40}", r"\b(?:outside|beyond)\b.{0,20}\b(?:scope|what i can|my)", r"\bi must decline\b",
-    ),
-    "zh": (
-        r"(?:无法|不能|没办法|没法|无从|难以|不便|不方便|不予|恕不|恕难|拒绝|暂不|暂时不).{0,12}(?:回答|作答|答复|解答|提供|给出|讨论|判断|确定|处理|评论|透露|协助|帮助|回应|说明|奉告)",
-        r"(?:给不出|没有|找不到|未找到|未能找到|得不出).{0,10}(?:答案|相关内容|相关信息|相关资料|结论|依据)", r"(?:资料|信息|片段|内容|证据|上下文).{0,10}(?:不足|不够|有限)(?:以)?(?!.*(?:但|不过))",
-        r"(?:与|和)(?:这个|该|您的)?问题无关", r"超出.{0,14}(?:范围|能力)", r"我不(?:知道|清楚|了解)", r"(?:无可奉告|恕不回答)",
-    ),
-    "de": (
-        r"\b(?:kann|können|könnte|darf|möchte|will|werde)\b.{0,60}\b(?:nicht|nichts|keine)\b.{0,50}\b(?:sagen|antworten|beantworten|helfen|geben|äußern|beurteilen|mitteilen|beantwortet)",
-        r"\b(?:nicht|nichts|keine)\b.{0,60}\b(?:beantworten|beantwortet|antworten|helfen|sagen|äußern|antwort)", r"\b(?:keine|nicht genug|zu wenig|unzureichende)\b.{0,20}\b(?:angaben|informationen|unterlagen|antwort|daten)",
-        r"\b(?:muss|müssen)\b.{0,30}\b(?:ablehnen|passen)", r"\bweiß (?:ich )?(?:es )?nicht\b", r"\b(?:lassen|lässt|erlauben|erlaubt)\b.{0,30}\bkeine antwort",
-    ),
-    "fr": (
-        r"\b(?:ne (?:peux|puis|peut|pouvons|saurais|souhaite)|n'est pas possible|impossible de|incapable de|refuse de|dois refuser|dois décliner)\b.{0,60}\b(?:répond|aid|dire|fournir|donner|commenter|comment|pas|discuter)",
-        r"\b(?:ne|n')\s?(?:contient|contiennent|permet|permettent|fournit|donne|trouve)\w*\b.{0,40}\b(?:réponse|répondre|information|rien)", r"\b(?:aucune|pas de|pas assez d|insuffisan)\w*\b.{0,24}\b(?:réponse|information|élément|contexte|passage)", r"\bje ne sais pas\b",
-    ),
-    "es": (
-        r"\bno (?:puedo|podemos|puede|es posible|me es posible|soy capaz de|quiero|debo)\b.{0,60}\b(?:respond|contest|ayud|decir|ofrecer|dar|coment|proporcion|hablar)",
-        r"\bno (?:contiene|contienen|permite|permiten|hay|existe|encuentro|se encontr)\w*\b.{0,40}\b(?:respuesta|responder|información|datos|nada)", r"\b(?:información|datos|contexto) insuficiente", r"\bno (?:lo )?sé\b", r"\b(?:debo|tengo que) (?:declinar|rechazar)",
-    ),
+    "en": (60, "CANNOT SAY", "NOT HOLD ANSWER", "NO SOURCE FOUND", "IS NO SOURCE", "NOTHING TOPIC", "LITTLE SOURCE", "IGNORE", "OUTSIDE SCOPE", "DECLINE"),
+    "zh": (14, "CANNOT SAY", "WITHOUT RESULT", "SOURCE LITTLE", "UNRELATED", "OUTSIDE SCOPE", "IGNORE"),
+    "de": (60, "CAN NOT SAY", "NOT ANSWER", "LITTLE SOURCE", "MUST DECLINE", "IGNORE", "ALLOW NONE"),
+    "fr": (60, "CANNOT SAY", "HOLD ANSWER", "LITTLE SOURCE", "IGNORE"),
+    "es": (60, "CANNOT SAY", "HOLD ANSWER", "LITTLE", "IGNORE", "DECLINE"),
 }
+#: A sentence declines from this score on; a gap of full length costs half a class.
+REFUSAL_SCORE, GAP_COST = 0.75, 0.5
 #: How a sentence that only comes along with a refusal begins or what it holds.
 _POLITE = re.compile(
     r"^\W*(?:thank|thanks|sorry|unfortunately|apolog|as an? (?:ai|assistant|language)|i(?:'m| am) (?:sorry|afraid)|i apologi|danke|vielen dank|leider|entschuldig|es tut mir|tut mir|"
@@ -142,7 +187,40 @@ def without_question(question: str, answer: str) -> str:
     return answer
 
 
-_DECLINES = re.compile("|".join(t for templates in REFUSALS.values() for t in templates), re.IGNORECASE)
+_PHRASES = {lang: {name: re.compile(p, re.IGNORECASE) for name, p in classes.items()} for lang, classes in PHRASES.items()}
+_TEMPLATES = {lang: (gap, [t.split() for t in templates]) for lang, (gap, *templates) in REFUSALS.items()}
+#: A sentence without a phrase that a template needs cannot reach the score.
+_ANY_PHRASE = {
+    lang: re.compile("|".join({classes[name].pattern for t in _TEMPLATES[lang][1] for name in t[: 1 + len(t) // 4]}), re.IGNORECASE)
+    for lang, classes in _PHRASES.items()
+}
+
+
+def aligned(template: list[str], found: dict[str, list[tuple[int, int]]], gap: int) -> tuple[float, int]:
+    """Best score of a template over the phrases of a sentence, in order and with bounded gaps, and where it ends."""
+    chains: list[tuple[float, int]] = []  # score and end of every chain so far
+    for name in template:
+        longer = []
+        for begin, end in found[name]:
+            before = max((score - GAP_COST * (begin - at) / gap for score, at in chains if 0 <= begin - at <= gap), default=0.0)
+            longer.append((1 + max(before, 0.0), end))
+        chains += longer
+    score, at = max(chains, default=(0.0, 0))
+    return score / len(template), at
+
+
+def declines(sentence: str) -> int | None:
+    """Where the best aligned refusal template ends in a sentence; None where none reaches the score."""
+    best: tuple[float, int] | None = None
+    for lang, (gap, templates) in _TEMPLATES.items():
+        if not _ANY_PHRASE[lang].search(sentence):
+            continue
+        found = {name: [m.span() for m in p.finditer(sentence)] for name, p in _PHRASES[lang].items()}
+        for template in templates:
+            score, at = aligned(template, found, gap)
+            if score >= REFUSAL_SCORE and (best is None or score > best[0]):
+                best = score, at
+    return best and best[1]
 
 
 def is_refusal(answer: str) -> bool:
@@ -151,7 +229,7 @@ def is_refusal(answer: str) -> bool:
     for sentence in _SENTENCE.split(_CITATION.sub("", answer)):
         if not any(c.isalnum() for c in sentence):
             continue
-        if (m := _DECLINES.search(sentence)) and not _CAVEAT.search(sentence, m.end()):
+        if (end := declines(sentence)) is not None and not _CAVEAT.search(sentence, end):
             declined = True
         elif not _POLITE.search(sentence) or _CAVEAT.search(sentence) and not declined:
             return False
