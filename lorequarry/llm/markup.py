@@ -106,7 +106,10 @@ _NUMBER = re.compile(r"^[ \t]*(\d{1,3})([.)])[ \t]+(?=\S)", re.MULTILINE)
 _MARK = "\x00"
 _SET_ASIDE = re.compile(_MARK + r"(\d+)" + _MARK)
 #: What a text must hold to be scanned; all others have no markup and stay as they are.
-_SIGN = r"[<&#`*_~\[\]{}\\$|>]|==|''|---|\n\n\n|[ \t]\n|(?m)^[ \t]*(?:[-+]|\d{1,3}[.)])[ \t]+\S"
+_SIGN = (
+    r"(?im)[<&`*\\$]|__|~~|==|''|--|\[\[|\]\(|\[\s?(?:http|ftp)|\{\{|\{\||\n\n\n|[ \t]\n"
+    r"|^[ \t]*(?:#{1,6}|>|[-+]|\d{1,3}[.)])[ \t]+\S"
+)
 #: What may stand for the mark in a text that holds it: characters reserved for no text, then private ones.
 _STAND_INS = [*range(0xFDD0, 0xFDF0), *(p << 16 | n for p in range(17) for n in (0xFFFE, 0xFFFF)), *range(0xF0000, 0xFFFFE), *range(0x100000, 0x10FFFE)]
 
@@ -333,8 +336,10 @@ class Scan:
         self.aside.append(content)
         return f"{_MARK}{len(self.aside) - 1}{_MARK}"
 
-    def _sub(self, pattern: re.Pattern, kind: str, new: Callable[[re.Match], str | None]) -> None:
-        """Replace each match; ``None`` leaves it and does not count."""
+    def _sub(self, pattern: re.Pattern, kind: str, new: Callable[[re.Match], str | None], *signs: str) -> None:
+        """Replace each match; ``None`` leaves it and does not count.  Without one of the ``signs`` there is no match."""
+        if signs and not any(sign in self.text for sign in signs):
+            return
 
         def one(m: re.Match) -> str:
             made = new(m)
@@ -348,6 +353,8 @@ class Scan:
     def _sub_blocks(self, opening: re.Pattern, closing: Callable[[str], str], kind: str, new: Callable[[str, str], str]) -> None:
         """Replace each block from an opening sign to the next closing sign of its name; an open block stays."""
         text, out, done = self.text, [], 0
+        if ("<" if kind != "latex" else "\\") not in text:
+            return
         ends: dict[str, tuple[list[int], list[int]]] = {}
         for m in opening.finditer(text):
             if m.start() < done:
@@ -367,6 +374,8 @@ class Scan:
     def _sub_comments(self) -> None:
         """Comments and document types go; of a comment that is left open, the opening sign."""
         text, out, done, open_ended = self.text, [], 0, False
+        if "<!" not in text:
+            return
         for m in _COMMENT.finditer(text):
             if m.start() < done:
                 continue
@@ -430,6 +439,8 @@ class Scan:
         """The text with everything that was set aside; a piece holds only earlier ones."""
         whole: list[str] = []
         back = lambda m: whole[int(m[1])]
+        if not self.aside:
+            return self.text
         for piece in self.aside:
             whole.append(_SET_ASIDE.sub(back, piece))
         return _SET_ASIDE.sub(back, self.text)
@@ -437,18 +448,18 @@ class Scan:
     def _run(self) -> None:
         keep, sub, blocks = self._keep, self._sub, self._sub_blocks
         tag_end = lambda name: rf"</{name}\s*+>"
-        sub(_FENCED, "markdown", lambda m: keep(f"```{m[2].strip()}\n{m[3].rstrip()}\n```"))
+        sub(_FENCED, "markdown", lambda m: keep(f"```{m[2].strip()}\n{m[3].rstrip()}\n```"), "```", "~~~")
         blocks(_TEX_CODE, lambda name: rf"\\end\{{{name}\*?\}}", "latex", lambda _, x: keep(f"```\n{x.strip()}\n```"))
         blocks(_WIKI_CODE, tag_end, "wiki", lambda _, x: keep(x))
         blocks(_HTML_CODE, tag_end, "html", self._html_code)
-        sub(_CODE_SPAN, "markdown", lambda m: keep(f"`{m[2]}`"))
+        sub(_CODE_SPAN, "markdown", lambda m: keep(f"`{m[2]}`"), "`")
         blocks(_TEX_ENV, lambda name: rf"\\end\s*+\{{\s*+{name}\s*+\}}", "latex", lambda _, x: keep(f"$$ {x.strip()} $$"))
         self._sub_dollars()
-        sub(_TEX_MATH, "latex", lambda m: keep(f"$$ {next(g for g in m.groups() if g is not None).strip()} $$"))
-        sub(_DOLLAR, "latex", lambda m: keep(m[0]) if _MATH_SIGN.search(m[1]) else None)
+        sub(_TEX_MATH, "latex", lambda m: keep(f"$$ {next(g for g in m.groups() if g is not None).strip()} $$"), "\\[", "\\(")
+        sub(_DOLLAR, "latex", lambda m: keep(m[0]) if _MATH_SIGN.search(m[1]) else None, "$")
         self._sub_comments()
         # before the headings of other kinds are rewritten to the same form
-        sub(_MD["heading"], "markdown", lambda m: f"{m[1]} {m[2].rstrip(' \t').rstrip('#').rstrip(' \t') or m[2][0]}")
+        sub(_MD["heading"], "markdown", lambda m: f"{m[1]} {m[2].rstrip(' \t').rstrip('#').rstrip(' \t') or m[2][0]}", "#")
         self._wiki()
         self._markdown()
         self._latex()
@@ -467,14 +478,15 @@ class Scan:
 
     def _wiki(self) -> None:
         sub = self._sub
-        sub(_WIKI["table"], "wiki", lambda m: self._wiki_table(m[0]))
-        self.text, found = unwrap_templates(self.text, self._template)
-        if found:
-            self.kinds.add("wiki")
-        sub(_WIKI["link"], "wiki", lambda m: "" if re.match(r"(?i)(category|分类|kategorie|file|image):", m[1]) and not m[2] else m[2] or m[1])
-        sub(_WIKI["external"], "wiki", lambda m: m[1] or "")
-        sub(_WIKI["heading"], "wiki", self._wiki_heading)
-        sub(_WIKI["bold"], "wiki", lambda m: m[2])
+        sub(_WIKI["table"], "wiki", lambda m: self._wiki_table(m[0]), "{|")
+        if "{{" in self.text:
+            self.text, found = unwrap_templates(self.text, self._template)
+            if found:
+                self.kinds.add("wiki")
+        sub(_WIKI["link"], "wiki", lambda m: "" if re.match(r"(?i)(category|分类|kategorie|file|image):", m[1]) and not m[2] else m[2] or m[1], "[[")
+        sub(_WIKI["external"], "wiki", lambda m: m[1] or "", "//")
+        sub(_WIKI["heading"], "wiki", self._wiki_heading, "==")
+        sub(_WIKI["bold"], "wiki", lambda m: m[2], "''")
 
     @staticmethod
     def _wiki_heading(m: re.Match) -> str | None:
@@ -501,23 +513,23 @@ class Scan:
     def _markdown(self) -> None:
         sub = self._sub
         self._sub_tables()
-        sub(_MD["image"], "markdown", lambda m: m[1])
-        sub(_MD["link"], "markdown", lambda m: m[1])
-        sub(_MD["autolink"], "markdown", lambda m: m[1])
-        sub(_MD["setext"], "markdown", lambda m: None if _BULLET.match(m[1]) or "|" in m[1] else f"{'#' if m[2][0] == '=' else '##'} {m[1]}")
-        sub(_MD["bold"], "markdown", lambda m: m[2])
+        sub(_MD["image"], "markdown", lambda m: m[1], "![")
+        sub(_MD["link"], "markdown", lambda m: m[1], "](")
+        sub(_MD["autolink"], "markdown", lambda m: m[1], "<")
+        sub(_MD["setext"], "markdown", lambda m: None if _BULLET.match(m[1]) or "|" in m[1] else f"{'#' if m[2][0] == '=' else '##'} {m[1]}", "---", "===")
+        sub(_MD["bold"], "markdown", lambda m: m[2], "**")
         self._sub_underlined()
-        sub(_MD["strike"], "markdown", lambda m: m[1])
-        sub(_MD["italic"], "markdown", lambda m: m[1])
-        sub(_MD["quote"], "markdown", lambda m: "")
-        sub(_MD["task"], "markdown", lambda m: f"{m[1]}- ")
+        sub(_MD["strike"], "markdown", lambda m: m[1], "~~")
+        sub(_MD["italic"], "markdown", lambda m: m[1], "*")
+        sub(_MD["quote"], "markdown", lambda m: "", ">")
+        sub(_MD["task"], "markdown", lambda m: f"{m[1]}- ", "[ ]", "[x]", "[X]")
         for pattern in (_BULLET, _NUMBER):
             if len(pattern.findall(self.text)) > 1:
                 self.kinds.add("markdown")
         self.text = _BULLET.sub("- ", self.text)
 
     def _latex(self) -> None:
-        if not _TEX_COMMAND.search(self.text):
+        if "\\" not in self.text or not _TEX_COMMAND.search(self.text):
             return
         self.kinds.add("latex")
         t = re.sub(r"\\(part|chapter|(?:sub)*section|paragraph)\*?\s*\{([^{}\n]*)\}", lambda m: "#" * (1 + m[1].lower().count("sub")) + " " + m[2], self.text, flags=re.IGNORECASE)
@@ -529,12 +541,10 @@ class Scan:
         self.text = re.sub(rf"(?<![\w:\\])\\(?:{_BARE_COMMANDS.replace(' ', '|')})(?![A-Za-z_\\])[ \t]?", "", t, flags=re.IGNORECASE)
 
     def _html(self) -> None:
-        tags = [m for m in _TAG.finditer(self.text) if m[2].lower() in _ELEMENTS]
-        if tags:
+        if "<" in self.text and any(m[2].lower() in _ELEMENTS for m in _TAG.finditer(self.text)):
             self.kinds.add("html")
             self.text = _strip_html(self.text)
-        entities = [m[0] for m in _ENTITY.finditer(self.text) if html.unescape(m[0]) != m[0]]
-        if entities:
+        if "&" in self.text and any(html.unescape(m[0]) != m[0] for m in _ENTITY.finditer(self.text)):
             self.kinds.add("html")
             self.text = _ENTITY.sub(lambda m: html.unescape(m[0]), self.text)
 
