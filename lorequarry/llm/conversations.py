@@ -1,27 +1,37 @@
 """Conversations rebuilt from message rows (problem 3).
 
-Method: keyed streaming state with event-time watermarks.  Messages stream in,
-late and redelivered ones included, and each distinct one waits in state under
-its own key (owner, thread, time segment, time, digests) until the watermark
-closes the segment.  The closed messages are cut into slices of their order
-(owner, thread, time, id); slices are validated on their own and then chained.
-State holds ids, times, roles and content digests, never contents.
-
-Scale.  A thread is never gathered, nor is a stretch of its time: a state row is
-one message, a slice is bounded in rows whatever thread or day they are of, and
-what a slice tells the next one is its first and last speaker and its count.  A
-thread that holds a third of all rows, on one day or many, is spread like any
-other rows.  The state store and the closed messages live in the cluster's shared
-folder and are replayed exactly once after a lost executor.
+Method: keyed streaming state with event-time watermarks, in two streams.
+
+The first buffers messages.  Each distinct one, late and redelivered ones
+included, waits in state under its own key (owner, thread, time segment, time,
+digests) until the watermark closes the segment.  What a batch closes is cut into
+slices of its order (owner, thread, time, id); a slice of a thread is reduced to
+one part: its number of turns, first and last speaker, and what is wrong inside.
+
+The second keeps the conversations.  Its state is keyed by thread, a session that
+holds the parts seen so far; it is closed when the watermark has passed its last
+message by ``idle``, or by the end of the stream, and only then validated and
+emitted.  A thread that speaks again after it was closed opens a new session; the
+verdict of the thread is that of its sessions in order.
+
+State holds ids, times, roles and digests, never contents.  Messages behind the
+watermark are dropped and counted (``late_messages``).  A stream is ended by an
+explicit record of its own column, not by a message.
+
+Scale.  A thread is never gathered, nor is a stretch of its time: a row of the
+first state is one message, a slice is bounded in rows whatever thread or day they
+are of, and a thread has at most as many parts as there are slices.  A thread that
+holds a third of all rows, on one day or many, is spread like any other rows.
+State, slices and verdicts live in the cluster's shared folder and are replayed
+exactly once after a lost executor; a later run on the same place goes on where
+the last one stopped.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from lorequarry.shared import materialize, scratch_path
+from lorequarry.shared import scratch_path
 
 MESSAGE_SCHEMA = T.StructType(
     [
@@ -37,6 +47,9 @@ MESSAGE_SCHEMA = T.StructType(
 _SPEAKERS = {"user": "u", "human": "u", "assistant": "a", "ai": "a", "system": "s", "tool": "s"}
 _EDGES = r"(?U)^[\s\x00-\x1f\p{Cf}]+|[\s\x00-\x1f\p{Cf}]+$"
 _VISIBLE = r"[^\s\p{Z}\p{C}\x{115F}\x{1160}\x{3164}\x{2800}\p{M}]"
+#: The time of the record that ends a stream, in microseconds; a message from a day before it on counts as one without a time.
+_END = 9_200_000_000_000_000_000
+_DAY = 86_400_000_000
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -48,12 +61,13 @@ def speaker(role: Column) -> Column:
 
 
 def _slim(messages: DataFrame) -> DataFrame:
+    ended = F.col("ended") if "ended" in messages.columns else F.lit(False)
     return messages.select(
         F.coalesce("owner", F.lit("")).alias("owner"),
         F.col("owner").isNull().alias("no_owner"),
         F.coalesce("thread_id", F.lit("")).alias("thread_id"),
         F.col("thread_id").isNull().alias("no_thread"),
-        F.col("created_at").alias("at"),
+        F.when(ended | (F.unix_micros("created_at") < _END - _DAY), F.col("created_at")).alias("at"),
         F.col("id").cast("long").alias("id"),
         speaker(F.col("role")).alias("who"),
         F.coalesce(F.col("content").rlike(_VISIBLE), F.lit(False)).alias("visible"),
@@ -86,101 +100,210 @@ def closed_messages(messages: DataFrame, lateness: str = "3 days", segment: str
     return timed.unionByName(untimed)
 
 
-def _closing_marker(spark: SparkSession) -> str:
-    """A folder with one message far in the future: once read, the watermark closes every real segment."""
-    path = scratch_path(spark, "closing")
-    row = (None, None, None, None, None, dt.datetime(9000, 1, 1))
-    spark.createDataFrame([row], MESSAGE_SCHEMA).coalesce(1).write.parquet(path)
+def _conversation_session(spark: SparkSession) -> SparkSession:
+    """A session with the settings of ``spark`` and state on disk."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    return own
+
+
+def _folder(spark: SparkSession, path: str) -> str:
+    """``path``, made where it is missing."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
     return path
 
 
-def _stream_path(spark: SparkSession, path: str) -> str:
-    """A folder as it is; a single file as a pattern, the only way a file source takes one."""
+def _files(spark: SparkSession, path: str, files_each: int | None) -> DataFrame:
+    """A stream of the Parquet files of a folder, or of one file."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     status = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place)
-    return f"{path}*" if status.isFile() else path
+    reader = spark.readStream.schema(MESSAGE_SCHEMA)
+    if files_each is not None:
+        reader = reader.option("maxFilesPerTrigger", files_each)
+    if status.isFile():
+        return reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
+    return reader.parquet(path)
 
 
-def replay(spark: SparkSession, path: str, lateness: str = "3 days", segment: str = "1 day") -> DataFrame:
-    """Run the stream over all messages stored under ``path`` until they are used up; the messages it emitted.
+def _with_end(stream: DataFrame, place: str, time: str) -> DataFrame:
+    """``stream`` with ``ended``, true for the record that ``_end_stream`` puts into ``place``."""
+    end = stream.sparkSession.readStream.schema(f"{time} timestamp").parquet(_folder(stream.sparkSession, place))
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != time else F.col(time) for f in stream.schema]
+    return stream.withColumn("ended", F.lit(False)).unionByName(end.select(*rest, F.lit(True).alias("ended")))
 
-    All files there are of one batch, so nothing in them is late; a message after
-    them would be.  The stream ends by itself, and every segment is closed.
-    """
-    def source(place: str) -> DataFrame:
-        return spark.readStream.schema(MESSAGE_SCHEMA).parquet(place)
-
-    messages = source(_stream_path(spark, path)).unionByName(source(_closing_marker(spark)))
-    out = scratch_path(spark, "messages")
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
-    try:
-        query = (
-            closed_messages(messages, lateness, segment)
-            .writeStream.format("parquet")
-            .outputMode("append")
-            .option("path", out)
-            .option("checkpointLocation", scratch_path(spark, "messages-state"))
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return spark.read.parquet(out).where("at is null or at < timestamp '9000-01-01'")
+
+def _end_stream(spark: SparkSession, place: str, time: str) -> None:
+    spark.range(1).select(F.timestamp_micros(F.lit(_END)).alias(time)).coalesce(1).write.mode("append").parquet(place)
 
 
 def sliced_messages(messages: DataFrame, slices: int | None = None) -> DataFrame:
     """``messages`` with ``slice``, a range of their order by thread, time and id that holds a bounded share of all rows."""
     n = slices or int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = messages.repartitionByRange(n, *_KEYS, "at", "id", "who")
-    # written once, as the bounds are sampled
-    return materialize(ranges.withColumn("slice", F.spark_partition_id()), "slices")
+    return ranges.withColumn("slice", F.spark_partition_id())
 
 
 def _turns(sliced: DataFrame) -> DataFrame:
     """Visible messages of users and assistants, with their place in the slice and the speaker before."""
-    inside = W.partitionBy(*_KEYS, "slice").orderBy("at", "id", "who")
+    inside = W.partitionBy(*_KEYS, "batch", "slice").orderBy("at", "id", "who")
     # a message without a time has no place among the turns
     return sliced.where(F.col("visible") & F.col("who").isin("u", "a") & F.col("at").isNotNull()).select(
-        *_KEYS, "slice", "at", "id", "who", (F.row_number().over(inside) - 1).alias("place"), F.lag("who").over(inside).alias("before")
+        *_KEYS, "batch", "slice", "at", "id", "who", (F.row_number().over(inside) - 1).alias("place"), F.lag("who").over(inside).alias("before")
     )
 
 
-def _chained(turns: DataFrame) -> DataFrame:
-    """``(thread, slice, offset, broken, waiting)``: one row for each slice of a thread, linked to the slice before."""
-    twice = lambda who: (F.col("who") == who) & (F.col("before") == who)
+_THREAD = "owner string, no_owner boolean, thread_id string, no_thread boolean"
+_SLICED = _THREAD + ", at timestamp, id bigint, who string, visible boolean, slice int, batch bigint"
+_PART = "turns bigint, first string, last string, speaks boolean, broken boolean, waiting boolean"
+
+
+_PARTS = f"{_THREAD}, batch bigint, slice int, at timestamp, {_PART}"
+_VERDICTS = f"{_THREAD}, order struct<batch: bigint, slice: int>, part struct<{_PART}>, defect string"
+
+
+def _parts(sliced: DataFrame) -> DataFrame:
+    """One row for each slice of a thread: its place in the order, its time, and what it tells the next slice."""
+    inside = W.partitionBy(*_KEYS, "batch", "slice").orderBy("at", "id", "who")
+    turn = F.col("visible") & F.col("who").isin("u", "a")
+    # the speaker before among the turns of the slice; other messages are passed over
+    timed = turn & F.col("at").isNotNull()
+    seen = sliced.withColumn("turn", F.when(timed, F.col("who"))).withColumn(
+        "before", F.last("turn", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, -1))
+    )
+    twice = lambda who: F.coalesce(F.max((F.col("turn") == who) & (F.col("before") == who)), F.lit(False))
     order = F.struct("at", "id", "who")
-    parts = turns.groupBy(*_KEYS, "slice").agg(
-        F.count(F.lit(1)).alias("n"), F.min_by("who", order).alias("first"), F.max_by("who", order).alias("last"),
-        F.coalesce(F.max(twice("a")), F.lit(False)).alias("broken"), F.coalesce(F.max(twice("u")), F.lit(False)).alias("waiting"),
-    )
-    chain = W.partitionBy(*_KEYS).orderBy("slice")
-    before, is_last = F.lag("last").over(chain), F.lead("slice").over(chain).isNull()
-    opening = F.coalesce(before, F.lit("a"))  # who opens a thread speaks as after an assistant
-    return parts.select(
-        *_KEYS, "slice", F.coalesce(F.sum("n").over(chain.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"),
-        (F.col("broken") | ((F.col("first") == "a") & (opening == "a"))).alias("broken"),
-        (F.col("waiting") | ((F.col("first") == "u") & (opening == "u")) | (is_last & (F.col("last") == "u"))).alias("waiting"),
+    odd = F.max(F.col("visible") & ((F.col("who") == "x") | F.col("at").isNull()))
+    return seen.groupBy(*_KEYS, "batch", "slice").agg(
+        F.max("at").alias("at"), F.count("turn").alias("turns"),
+        F.min_by("turn", F.when(timed, order)).alias("first"), F.max_by("turn", F.when(timed, order)).alias("last"),
+        F.max(turn).alias("speaks"), (odd | twice("a")).alias("broken"), twice("u").alias("waiting"),
     )
 
 
-def validated_threads(sliced: DataFrame, chained: DataFrame) -> DataFrame:
-    """``(owner, no_owner, thread_id, no_thread, defect)`` of all threads; ``defect`` is null for a sound one."""
-    no = F.lit(False)
-    seen = sliced.select(
-        *_KEYS,
-        (F.col("visible") & F.col("who").isin("u", "a")).alias("speaks"),
-        # a message without a time counts as left
-        (F.col("visible") & ((F.col("who") == "x") | F.col("at").isNull())).alias("broken"),
-        no.alias("waiting"),
-    )
-    linked = chained.select(*_KEYS, no.alias("speaks"), "broken", "waiting")
-    return seen.unionByName(linked).groupBy(*_KEYS).agg(
-        F.max("speaks").alias("speaks"), F.max("broken").alias("broken"), F.max("waiting").alias("waiting")
-    ).select(
-        *_KEYS, F.when(~F.col("speaks"), "empty").when(F.col("broken"), "broken").when(F.col("waiting"), "no_reply").alias("defect")
+def _merged(parts: Column) -> Column:
+    """Parts of a thread in order as one: neighbours that speak alike are at fault."""
+    none = F.lit(None).cast(T.StructType.fromDDL(_PART))
+    fields = [f.name for f in T.StructType.fromDDL(_PART)]
+    alike = lambda a, b, who: F.coalesce((a["last"] == who) & (b["first"] == who), F.lit(False))
+
+    def add(a: Column, b: Column) -> Column:
+        both = F.struct(
+            (a["turns"] + b["turns"]).alias("turns"), F.coalesce(a["first"], b["first"]).alias("first"), F.coalesce(b["last"], a["last"]).alias("last"),
+            (a["speaks"] | b["speaks"]).alias("speaks"), (a["broken"] | b["broken"] | alike(a, b, "a")).alias("broken"),
+            (a["waiting"] | b["waiting"] | alike(a, b, "u")).alias("waiting"),
+        )
+        only = F.struct(*(b[f].alias(f) for f in fields))
+        return F.when(a.isNull(), only).otherwise(both)
+
+    return F.aggregate(F.array_sort(parts), none, add)
+
+
+def _defect(part: Column) -> Column:
+    """What is wrong with a whole conversation; null for a sound one."""
+    broken = part["broken"] | F.coalesce(part["first"] == "a", F.lit(False))
+    waiting = part["waiting"] | F.coalesce(part["last"] == "u", F.lit(False))
+    return F.when(~part["speaks"], "empty").when(broken, "broken").when(waiting, "no_reply")
+
+
+def closed_conversations(parts: DataFrame, idle: str = "3650 days") -> DataFrame:
+    """``(thread, order, part, defect)`` of the conversations of a stream (or a table) of parts that were closed, in append mode.
+
+    Parts come in the order of their threads' times, as the first stream closes them.
+    """
+    fields = [f.name for f in T.StructType.fromDDL(_PART)]
+    entry = F.struct("batch", "slice", *fields)
+    sessions = (
+        parts.withWatermark("at", "0 seconds")
+        .groupBy(F.session_window("at", idle).alias("open"), *_KEYS)
+        .agg(F.collect_list(entry).alias("parts"), F.max("ended").alias("ended"))
     )
+    made = sessions.where("not ended").select(*_KEYS, F.array_min("parts").alias("order"), _merged(F.col("parts")).alias("part"))
+    order = F.struct(F.col("order.batch").alias("batch"), F.col("order.slice").alias("slice")).alias("order")
+    return made.select(*_KEYS, order, "part", _defect(F.col("part")).alias("defect"))
+
+
+class Replay:
+    """Both streams over all messages stored under ``path``, run until they are used up.
+
+    ``place`` keeps state and results; a second run on it reads only new files.
+    With ``final`` the stream is ended and every conversation closed; without,
+    those that may still go on stay in state.  All new files are one batch unless
+    ``files_each`` cuts them; a message later than ``lateness`` behind the newest
+    of an earlier batch is dropped and counted.
+    """
+
+    def __init__(
+        self, spark: SparkSession, path: str, place: str | None = None, slices: int | None = None, lateness: str = "3 days",
+        segment: str = "1 day", idle: str = "3650 days", final: bool = True, files_each: int | None = None,
+    ):
+        self.spark = spark
+        self.place = place or scratch_path(spark, "conversations")
+        own = _conversation_session(spark)
+        closed_place, sliced, parts = (_folder(spark, f"{self.place}/{x}") for x in ("closed", "sliced", "parts"))
+
+        def write(batch: DataFrame, number: int) -> None:
+            # once, as every action on a batch runs its state again
+            batch.write.mode("overwrite").parquet(f"{closed_place}/n={number}")
+            once = batch.sparkSession.read.schema(batch.schema).parquet(f"{closed_place}/n={number}")
+            cut = sliced_messages(once, slices).withColumn("batch", F.lit(number).cast("long"))
+            cut.write.mode("overwrite").parquet(f"{sliced}/n={number}")
+            own_slices = batch.sparkSession.read.schema(_SLICED).parquet(f"{sliced}/n={number}")
+            made = _parts(own_slices)
+            # a part without a time goes with the newest so far
+            earlier = batch.sparkSession.read.schema(_PARTS).option("recursiveFileLookup", True).parquet(parts).where(F.col("batch") < number)
+            newest = own_slices.select("at").unionByName(earlier.select("at")).agg(F.coalesce(F.max("at"), F.timestamp_micros(F.lit(0))).alias("newest"))  # one row
+            timed = made.crossJoin(F.broadcast(newest)).withColumn("at", F.coalesce("at", "newest"))
+            timed.select(*T.StructType.fromDDL(_PARTS).fieldNames()).write.mode("overwrite").parquet(f"{parts}/n={number}")
+
+        end = f"{self.place}/end-of-messages"
+        messages = _with_end(_files(own, path, files_each), end, "created_at")
+        closed = closed_messages(messages, lateness, segment).writeStream.foreachBatch(write).outputMode("append")
+        closed = closed.option("checkpointLocation", f"{self.place}/messages-state").trigger(availableNow=True)
+        self.late = 0
+        if files_each is not None:  # the end must not overtake the files
+            self._run(closed)
+        if final:
+            _end_stream(own, end, "created_at")
+        if final or files_each is None:
+            self._run(closed)
+
+        end = f"{self.place}/end-of-parts"
+        stream = _with_end(own.readStream.schema(_PARTS).option("recursiveFileLookup", True).parquet(parts), end, "at")
+        if final:
+            _end_stream(own, end, "at")
+        judged = closed_conversations(stream, idle).writeStream.format("parquet").outputMode("append").option("path", f"{self.place}/verdicts")
+        judged.option("checkpointLocation", f"{self.place}/conversations-state").trigger(availableNow=True).start().awaitTermination()
+
+    def _run(self, stream) -> None:
+        query = stream.start()
+        query.awaitTermination()
+        for progress in query.recentProgress:
+            self.late += sum(o.numRowsDroppedByWatermark for o in progress.stateOperators)
+
+    def late_messages(self) -> DataFrame:
+        """``(late)``, one row: messages of this run that came behind the watermark and were left out."""
+        return self.spark.createDataFrame([(self.late,)], "late long")
+
+    def _read(self, what: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{self.place}/{what}")
+
+    def sliced(self) -> DataFrame:
+        """The closed messages with their ``batch`` and ``slice``."""
+        return self._read("sliced", _SLICED)
+
+    def parts(self) -> DataFrame:
+        """One row for each slice of a thread."""
+        return self._read("parts", _PARTS)
+
+    def threads(self) -> DataFrame:
+        """``(thread, defect)``: the verdict of each thread, over its closed conversations in order."""
+        closed = self.spark.read.schema(_VERDICTS).parquet(f"{self.place}/verdicts")
+        listed = closed.groupBy(*_KEYS).agg(F.collect_list(F.struct("order.*", "part.*")).alias("parts"))
+        return listed.select(*_KEYS, _defect(_merged(F.col("parts"))).alias("defect"))
 
 
 def _named() -> list[Column]:
@@ -198,17 +321,16 @@ def dropped_threads(spark: SparkSession, path: str, slices: int | None = None) -
     message (of the smallest id).  A null owner or thread id is a value of its
     own.  A stream without messages drops nothing.
     """
-    sliced = sliced_messages(replay(spark, path), slices)
-    return validated_threads(sliced, _chained(_turns(sliced))).where("defect is not null").select(*_named(), "defect")
+    return Replay(spark, path, slices=slices).threads().where("defect is not null").select(*_named(), "defect")
 
 
 def sound_turns(spark: SparkSession, path: str, slices: int | None = None) -> DataFrame:
     """``(owner, thread_id, turn, role, content, created_at, id)``: the sound threads as numbered turns."""
-    sliced = sliced_messages(replay(spark, path), slices)
-    turns = _turns(sliced)
-    chained = materialize(_chained(turns), "chained")
-    sound = validated_threads(sliced, chained).where("defect is null").select(*_KEYS)
-    lines = turns.join(chained.join(sound, _KEYS, "left_semi"), [*_KEYS, "slice"]).select(
+    run = Replay(spark, path, slices=slices)
+    chain = W.partitionBy(*_KEYS).orderBy("batch", "slice").rowsBetween(W.unboundedPreceding, -1)
+    offsets = run.parts().select(*_KEYS, "batch", "slice", F.coalesce(F.sum("turns").over(chain), F.lit(0)).alias("offset"))
+    sound = run.threads().where("defect is null").select(*_KEYS)
+    lines = _turns(run.sliced()).join(offsets.join(sound, _KEYS, "left_semi"), [*_KEYS, "batch", "slice"]).select(
         *_named(), (F.col("offset") + F.col("place")).alias("turn"),
         F.when(F.col("who") == "u", "user").otherwise("assistant").alias("role"), "id", F.col("at").alias("created_at"),
     )

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from lorequarry.llm.conversations import MESSAGE_SCHEMA, dropped_threads, replay, sliced_messages, sound_turns
+from lorequarry.llm.conversations import MESSAGE_SCHEMA, Replay, dropped_threads, sound_turns
 
 
 def test_one_day_of_one_thread_is_sliced(spark, tmp_path):
@@ -18,7 +18,7 @@ def test_one_day_of_one_thread_is_sliced(spark, tmp_path):
     rows += [(5000 + i, "o", "twice", said[i % 2] if i != 301 else "user", f"m{i}", at(i)) for i in range(n)]
     path = str(tmp_path / "conversations.parquet")
     spark.createDataFrame(rows, MESSAGE_SCHEMA).write.parquet(path)
-    sizes = sliced_messages(replay(spark, path), 8).groupBy("owner", "thread_id", "slice").agg(F.count(F.lit(1)).alias("n")).collect()
+    sizes = Replay(spark, path, slices=8).sliced().groupBy("owner", "thread_id", "slice").agg(F.count(F.lit(1)).alias("n")).collect()
     assert sum(r.n for r in sizes) == 2 * n and max(r.n for r in sizes) < n / 2
     for slices in (1, 8, 97):
         # two users in a row leave two assistants apart
