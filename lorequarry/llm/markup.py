@@ -578,6 +578,8 @@ def clean_markup(rows: DataFrame, text_col: str = "page_content", id_col: str =
         return pa.StructArray.from_arrays([pa.array(kinds, pa.list_(pa.string())), pa.array(clean, pa.string())], ["markups", "clean_text"])
 
     texts = rows.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).cast("string").alias("text"))
+    # else the filter that explode infers would scan every text a second time
+    scanned = scanned.asNondeterministic()
     signed = F.when(F.col("text").rlike(_SIGN), F.col("text"))
     none = F.array().cast("array<string>")
     return texts.withColumn("s", scanned(signed)).select(
