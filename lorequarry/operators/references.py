@@ -6,12 +6,12 @@ before its key; a key beyond that run's end belongs to no parent.  References
 that hit a run are then judged in time by a second as-of match: among the
 parent's rows indexed up to the reference's time, the latest end of life decides.
 
-Scale.  Both sides are reduced to distinct keys (and distinct key/time pairs)
-with map-side aggregation before anything is ordered, so a key that is used by a
-third of all references costs one row.  Ordered passes run inside slices: slices
-of equal width in key space for the runs, calendar slices for the times of one
-key, each with the carry of the slices before it (a two-level prefix scan), so
-neither a dense key range nor one hot key ends in a single task.
+Scale.  Parent rows, keys and references are reduced by map-side aggregation
+before anything is ordered.  Ordered passes run inside slices: ranges of the order
+itself that hold about as many rows each (sampled by ``repartitionByRange``),
+whatever the spread of the keys and however often one of them is used.  A run ends
+with its slice; of the times of one key that lie in several slices, what an earlier
+slice tells a later one is a single row.
 """
 
 from __future__ import annotations
@@ -20,6 +20,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lorequarry.operators.scans import carry_of_slices, range_slices
+from lorequarry.shared import materialize
+
 _HEX_KEY = "^[0-9a-f]{16}$"
 _FOREVER = "9999-12-31 00:00:00"
 
@@ -37,50 +40,41 @@ def integer_key(col: Column) -> Column:
     return F.when(col.rlike(_HEX_KEY), F.shiftleft(high, 32) + low)
 
 
-def _slice_width(keys: DataFrame, slices: int) -> tuple[int, int]:
-    """Smallest key and slice width; one row reaches the driver."""
-    low, high = keys.agg(F.min("key"), F.max("key")).first()
-    if low is None:
-        return 0, 1
-    return low, max(1, -(-(high - low + 1) // slices))
+def _runs_of(sliced: DataFrame) -> DataFrame:
+    """Contiguous runs ``(slice, run_start, run_end)`` of distinct integer keys in slices."""
+    w = W.partitionBy("slice").orderBy("key")
+    island = F.col("key").cast("decimal(20,0)") - F.row_number().over(w)
+    runs = sliced.select("slice", "key", island.alias("island")).groupBy("slice", "island")
+    return runs.agg(F.min("key").alias("run_start"), F.max("key").alias("run_end")).drop("island")
 
 
-def contiguous_runs(keys: DataFrame, slices: int = 64) -> tuple[DataFrame, int, int]:
+def contiguous_runs(keys: DataFrame, slices: int | None = None) -> DataFrame:
     """Compress distinct integer keys (column ``key``) into runs ``(slice, run_start, run_end)``.
 
-    Runs end at slice borders, so each slice is ordered on its own.  Also
-    returns the smallest key and the slice width, which place any key.
-    An empty table gives no runs; null keys are ignored; repeats are one key.
+    Runs end at slice borders, so each slice is ordered on its own.  An empty
+    table gives no runs; null keys are ignored; repeats are one key.
     """
-    distinct = keys.where("key is not null").select("key").distinct()
-    low, width = _slice_width(distinct, slices)
-    w = W.partitionBy("slice").orderBy("key")
-    numbered = distinct.withColumn("slice", _slice_of(F.col("key"), low, width)).withColumn(
-        "island", F.col("key").cast("decimal(20,0)") - F.row_number().over(w)
-    )
-    runs = numbered.groupBy("slice", "island").agg(F.min("key").alias("run_start"), F.max("key").alias("run_end"))
-    return runs.drop("island"), low, width
-
+    return _runs_of(range_slices(keys.where("key is not null").select("key").distinct(), ["key"], slices))
 
-def _slice_of(key: Column, low: int, width: int) -> Column:
-    # decimal: the distance of two 64-bit keys may not fit 64 bits
-    whole = lambda n: F.lit(str(n)).cast("decimal(20,0)")
-    return F.floor((key.cast("decimal(20,0)") - whole(low)) / whole(width)).cast("long")
 
-
-def match_runs(keys: DataFrame, parents: DataFrame, slices: int = 64) -> DataFrame:
+def match_runs(keys: DataFrame, parents: DataFrame, slices: int | None = None) -> DataFrame:
     """Distinct ``key`` of ``keys`` with ``known``: whether a parent key equals it (as-of run match)."""
-    runs, low, width = contiguous_runs(parents, slices)
-    probes = keys.where("key is not null").select("key").distinct()
-    probes = probes.withColumn("slice", _slice_of(F.col("key"), low, width))
-    both = runs.select("slice", F.col("run_start").alias("key"), "run_end", F.lit(0).alias("is_probe")).unionByName(
-        probes.select("slice", "key", F.lit(None).cast("long").alias("run_end"), F.lit(1).alias("is_probe"))
+    sides = parents.select("key", F.lit(True).alias("parent"), F.lit(False).alias("probe")).unionByName(
+        keys.select("key", F.lit(False).alias("parent"), F.lit(True).alias("probe"))
     )
+    distinct = sides.where("key is not null").groupBy("key").agg(F.max("parent").alias("parent"), F.max("probe").alias("probe"))
+    return _match_sliced(range_slices(distinct, ["key"], slices)).select("key", "known")
+
+
+def _match_sliced(sliced: DataFrame) -> DataFrame:
+    """The probes of ``(slice, key, parent, probe, ...)`` with ``known``: within the run that starts at or before them."""
+    runs = _runs_of(sliced.where("parent")).select("slice", F.col("run_start").alias("key"), "run_end", F.lit(0).alias("is_probe"))
+    both = runs.unionByName(sliced.where("probe").withColumn("is_probe", F.lit(1)), allowMissingColumns=True)
     preceding = W.partitionBy("slice").orderBy("key", "is_probe").rowsBetween(W.unboundedPreceding, 0)
     return (
         both.withColumn("last_end", F.last("run_end", ignorenulls=True).over(preceding))
         .where("is_probe = 1")
-        .select("key", F.coalesce(F.col("last_end") >= F.col("key"), F.lit(False)).alias("known"))
+        .withColumn("known", F.coalesce(F.col("last_end") >= F.col("key"), F.lit(False)))
     )
 
 
@@ -98,32 +92,28 @@ def explode_references(
     )
 
 
-def _life_asof(pairs: DataFrame, versions: DataFrame) -> DataFrame:
-    """For each distinct (chunk_id, at): the latest end among versions indexed up to ``at``, and the first indexing.
+def _known_ids(refs: DataFrame, versions: DataFrame, slices: int | None) -> DataFrame:
+    """``(chunk_id, known)`` of every id that is referred to; ids that are no integers are matched by equality."""
+    sides = versions.select("chunk_id", F.lit(True).alias("parent"), F.lit(False).alias("probe")).unionByName(
+        refs.select("chunk_id", F.lit(False).alias("parent"), F.lit(True).alias("probe"))
+    )
+    ids = sides.groupBy("chunk_id").agg(F.max("parent").alias("parent"), F.max("probe").alias("probe"))
+    keyed = materialize(ids.withColumn("key", integer_key(F.col("chunk_id"))), "ids")
+    hexed = _match_sliced(range_slices(keyed.where("key is not null"), ["key"], slices)).select("chunk_id", "known")
+    return hexed.unionByName(keyed.where("key is null and probe").select("chunk_id", F.col("parent").alias("known")))
+
 
-    Two-level prefix scan: within (key, year-month) slices, with the carry of
-    earlier slices from a small table of slice totals.
-    """
-    far = F.lit(_FOREVER).cast("timestamp_ntz")
-    events = versions.select(
-        "chunk_id", F.coalesce(F.col("indexed_at").cast("timestamp_ntz"), far).alias("t"), F.lit(0).alias("is_ref"),
-        F.coalesce(F.col("deleted_at").cast("timestamp_ntz"), far).alias("ends"),
-    ).groupBy("chunk_id", "t", "is_ref").agg(F.max("ends").alias("ends")).unionByName(
-        pairs.select("chunk_id", F.coalesce("at", far).alias("t"), F.lit(1).alias("is_ref"),
-                     F.lit(None).cast("timestamp_ntz").alias("ends"))
-    ).withColumn("cut", F.year("t") * 12 + F.month("t"))
-    totals = events.where("is_ref = 0").groupBy("chunk_id", "cut").agg(F.max("ends").alias("top"))
-    # a slice needs a total row even when it holds references only
-    cuts = events.groupBy("chunk_id", "cut").agg(F.max(F.col("is_ref")).alias("refs")).join(totals, ["chunk_id", "cut"], "left")
-    before = W.partitionBy("chunk_id").orderBy("cut").rowsBetween(W.unboundedPreceding, -1)
-    carry = cuts.withColumn("carry", F.max("top").over(before)).where("refs = 1").select("chunk_id", "cut", "carry")
-    inside = W.partitionBy("chunk_id", "cut").orderBy("t", "is_ref").rowsBetween(W.unboundedPreceding, 0)
-    return (
-        events.withColumn("top", F.max("ends").over(inside))
-        .where("is_ref = 1")
-        .join(carry, ["chunk_id", "cut"], "left")
-        .select("chunk_id", F.col("t").alias("at"), F.greatest("top", "carry").alias("life_end"))
+def _lives(refs: DataFrame, versions: DataFrame, slices: int | None) -> DataFrame:
+    """References with ``life_end``: the latest end among the versions of their id indexed up to their time; null if there is none."""
+    none = F.lit(None).cast("timestamp_ntz")
+    events = versions.select("chunk_id", "t", F.lit(0).alias("is_ref"), "ends").unionByName(
+        refs.select("*", F.col("judged_at").alias("t"), F.lit(1).alias("is_ref"), none.alias("ends")), allowMissingColumns=True
     )
+    sliced = range_slices(events, ["chunk_id", "t", "is_ref", "item_id"], slices)
+    inside = W.partitionBy("slice", "chunk_id").orderBy("t", "is_ref").rowsBetween(W.unboundedPreceding, 0)
+    carry = carry_of_slices(sliced, "chunk_id", "ends")
+    here = sliced.withColumn("top", F.max("ends").over(inside)).where("is_ref = 1")
+    return here.join(F.broadcast(carry), ["slice", "chunk_id"], "left").withColumn("life_end", F.greatest("top", "carry"))
 
 
 def orphan_references(
@@ -132,7 +122,7 @@ def orphan_references(
     fields: Sequence[str] = ("evidence_chunk_ids", "gold_chunk_ids"),
     id_col: str = "item_id",
     time_col: str = "created_at",
-    slices: int = 64,
+    slices: int | None = None,
 ) -> DataFrame:
     """References of ``items`` that do not hold: ``(item_id, field_name, chunk_id, reason, at)``, distinct.
 
@@ -146,48 +136,24 @@ def orphan_references(
     Keys that are not 16 hex digits have no place among the integers and are
     matched by equality.
     """
-    versions = parents.select(clean_key(F.col("chunk_id")).alias("chunk_id"), "indexed_at", "deleted_at").where(
-        "chunk_id is not null"
-    )
-    refs = explode_references(items, id_col, time_col, fields).withColumn("at", F.col("at").cast("timestamp_ntz"))
-    names = versions.select("chunk_id").distinct()
-    wanted = refs.select("chunk_id").distinct()
-    matched = match_runs(
-        wanted.select(integer_key(F.col("chunk_id")).alias("key")),
-        names.select(integer_key(F.col("chunk_id")).alias("key")),
-        slices,
-    )
-    hexed = (
-        wanted.withColumn("key", integer_key(F.col("chunk_id")))
-        .where("key is not null")
-        .join(matched, "key")
-        .select("chunk_id", "known")
-    )
-    odd_names = names.where(~F.col("chunk_id").rlike(_HEX_KEY)).withColumn("known", F.lit(True))
-    odd = (
-        wanted.where(~F.col("chunk_id").rlike(_HEX_KEY))
-        .join(odd_names, "chunk_id", "left")
-        .select("chunk_id", F.coalesce("known", F.lit(False)).alias("known"))
-    )
-    known = hexed.unionByName(odd)
     far = F.lit(_FOREVER).cast("timestamp_ntz")
-    pairs = refs.select("chunk_id", F.coalesce("at", far).alias("at")).distinct()
-    pairs = pairs.join(known, "chunk_id")
-    life = _life_asof(pairs.where("known").select("chunk_id", "at"), versions)
-    judged = life.select(
-        "chunk_id",
-        "at",
+    rows = parents.select(
+        clean_key(F.col("chunk_id")).alias("chunk_id"),
+        F.coalesce(F.col("indexed_at").cast("timestamp_ntz"), far).alias("t"), F.coalesce(F.col("deleted_at").cast("timestamp_ntz"), far).alias("ends"),
+    )
+    versions = materialize(rows.where("chunk_id is not null").groupBy("chunk_id", "t").agg(F.max("ends").alias("ends")), "versions")
+    named = explode_references(items, id_col, time_col, fields).withColumn("at", F.col("at").cast("timestamp_ntz"))
+    refs = materialize(named.withColumn("judged_at", F.coalesce("at", far)), "references")
+    known = materialize(refs.join(_known_ids(refs, versions, slices), "chunk_id"), "known")
+    life = _lives(known.where("known"), versions, slices)
+    reason = (
         F.when(F.col("life_end").isNull(), "late")
-        .when((F.col("life_end") > F.col("at")) | (F.col("life_end") == far), "holds")
+        .when((F.col("life_end") > F.col("judged_at")) | (F.col("life_end") == far), "holds")
         .otherwise("deleted")
-        .alias("reason"),
-    ).unionByName(pairs.where("not known").select("chunk_id", "at", F.lit("missing").alias("reason")))
-    judged = judged.where("reason <> 'holds'").withColumnRenamed("at", "judged_at")
-    return (
-        refs.withColumn("judged_at", F.coalesce("at", far))
-        .join(judged, ["chunk_id", "judged_at"])
-        .select("item_id", "field_name", "chunk_id", "reason", "at")
     )
+    columns = ["item_id", "field_name", "chunk_id", "reason", "at"]
+    judged = life.withColumn("reason", reason).where("reason <> 'holds'").select(*columns)
+    return judged.unionByName(known.where("not known").withColumn("reason", F.lit("missing")).select(*columns))
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

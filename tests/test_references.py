@@ -52,7 +52,7 @@ def test_empty_tables(spark):
 def test_runs_compress_and_match(spark):
     keys = [*range(10, 30), 5, 31, 2**63 - 1, -(2**63), 12, 12]
     parents = spark.createDataFrame([(k,) for k in keys] + [(None,)], "key long")
-    runs, _, _ = contiguous_runs(parents, 1)
+    runs = contiguous_runs(parents, 1)
     assert {(r.run_start, r.run_end) for r in runs.collect()} == {(5, 5), (10, 29), (31, 31), (2**63 - 1, 2**63 - 1), (-(2**63), -(2**63))}
     rng = random.Random(3)
     probes = [rng.randrange(-5, 60) for _ in range(200)] + [2**63 - 1, -(2**63), 2**63 - 2]
@@ -69,3 +69,20 @@ def test_hot_key_and_report(spark):
     orphans = orphan_references(spark.createDataFrame(items, ITEMS), spark.createDataFrame(chunks, CHUNKS))
     report = orphan_report(orphans).collect()
     assert sum(r.references for r in report) == 200 and {r.reason for r in report} == {"deleted"}
+
+
+def test_an_outlier_leaves_the_keys_spread(spark):
+    parents = spark.range(100_000).unionAll(spark.createDataFrame([(2**62,)], "id long")).withColumnRenamed("id", "key")
+    runs = contiguous_runs(parents, 16).collect()
+    sizes = {}
+    for r in runs:
+        sizes[r.slice] = sizes.get(r.slice, 0) + r.run_end - r.run_start + 1
+    assert len(sizes) > 8 and max(sizes.values()) < 20_000 and sum(sizes.values()) == 100_001
+
+
+def test_a_hot_key_is_judged_over_slices(spark):
+    hot = "f" * 16
+    chunks = [(hot, day(n), day(n + 1), n) for n in range(0, 60, 2)]
+    items = [(n * 10 + i, [hot], None, day(n) + dt.timedelta(hours=1), "x") for n in range(60) for i in range(5)]
+    frame = orphan_references(spark.createDataFrame(items, ITEMS), spark.createDataFrame(chunks, CHUNKS), slices=13)
+    assert {r.item_id for r in frame.collect()} == {n * 10 + i for n in range(1, 60, 2) for i in range(5)}
