@@ -243,14 +243,14 @@ class Replay:
         self.spark = spark
         self.place = place or scratch_path(spark, "conversations")
         own = _conversation_session(spark)
-        closed_place, sliced, parts = (_folder(spark, f"{self.place}/{x}") for x in ("closed", "sliced", "parts"))
+        sliced, parts = (_folder(spark, f"{self.place}/{x}") for x in ("sliced", "parts"))
 
         def write(batch: DataFrame, number: int) -> None:
-            # once, as every action on a batch runs its state again
-            batch.write.mode("overwrite").parquet(f"{closed_place}/n={number}")
-            once = batch.sparkSession.read.schema(batch.schema).parquet(f"{closed_place}/n={number}")
+            # every action on a batch runs its state again
+            once = batch.persist()
             cut = sliced_messages(once, slices).withColumn("batch", F.lit(number).cast("long"))
             cut.write.mode("overwrite").parquet(f"{sliced}/n={number}")
+            once.unpersist()
             own_slices = batch.sparkSession.read.schema(_SLICED).parquet(f"{sliced}/n={number}")
             made = _parts(own_slices)
             # a part without a time goes with the newest so far
