@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +12,7 @@ from lorequarry.functions.text import normalize_bool, unfence
 from lorequarry.operators.metrics import wilson
 from lorequarry.operators.scans import pick_by_rank
 
+_BRACE = re.compile("[{}]")
 VERDICTS = ("context_sufficient", "faithful", "relevant", "refusal_appropriate")
 
 
@@ -19,17 +21,12 @@ def balanced_object(text: str | None) -> str | None:
     begin = text.find("{") if text else -1
     if begin < 0:
         return None
-    open_braces, at = 1, begin
-    while open_braces:
-        shut = text.find("}", at + 1)
-        if shut < 0:
-            return None
-        more = text.find("{", at + 1)
-        if 0 <= more < shut:
-            open_braces, at = open_braces + 1, more
-        else:
-            open_braces, at = open_braces - 1, shut
-    return text[begin : at + 1]
+    open_braces = 0
+    for brace in _BRACE.finditer(text, begin):
+        open_braces += 1 if brace[0] == "{" else -1
+        if not open_braces:
+            return text[begin : brace.end()]
+    return None
 
 
 def extract_json(rows: DataFrame, key: str, text: str) -> DataFrame:

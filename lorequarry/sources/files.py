@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+import time
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lorequarry.operators.judged import effective_refusal
+from lorequarry.operators.scans import start_offsets
 from lorequarry.operators.chunking import enrich, recursive_chunks, with_section_paths
 
 ITEM_SCHEMA = (
@@ -12,6 +16,10 @@ ITEM_SCHEMA = (
 )
 
 
+#: Field of a log line that holds the time of its append.
+APPENDED = "_appended"
+
+
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """``(doc_id, source, text)`` of all ``*.md`` files below a folder; ``source`` is the path within it.
 
@@ -22,7 +30,8 @@ def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     plain = folder.rstrip("/").removeprefix("file://").removeprefix("file:")
     path = F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), rf"^.*?\Q{plain}\E/", "")
     rows = files.select(path.alias("source"), F.col("value").alias("text"))
-    order = rows.select("source").distinct().select("source", (F.row_number().over(W.orderBy("source")) - 1).cast("long").alias("doc_id"))
+    paths = rows.select("source").distinct().withColumn("n", F.lit(1))
+    order = start_offsets(paths, "source", "n").select("source", F.col("offset").cast("long").alias("doc_id"))
     return rows.join(order, "source").select("doc_id", "source", "text")
 
 
@@ -45,15 +54,30 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_run_log(spark: SparkSession, path: str, schema: str, key: str = "item_id") -> DataFrame:
-    """A log of one JSON object a line: broken lines are skipped, the last line of each key wins."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
-    parsed = lines.select("line", F.from_json("value", schema).alias("r")).where(f"r is not null and r.{key} is not null")
-    return parsed.groupBy(f"r.{key}").agg(F.max_by("r", "line").alias("r")).select("r.*")
+    """A log of one JSON object a line: broken lines are skipped, the last line of each key wins.
+
+    Lines are in the order of the appends that wrote them; lines of other origin
+    in the order of their file's last change, its name and their place in it.
+    """
+    file = F.col("_metadata")
+    lines = spark.read.text(path).select(
+        "value", F.coalesce(F.get_json_object("value", f"$.{APPENDED}").cast("long"), F.unix_micros(file["file_modification_time"])).alias("at"),
+        # the splits of a file are read in any order; within one, the id rises
+        file["file_path"].alias("file"), file["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("line"),
+    )
+    parsed = lines.withColumn("r", F.from_json("value", schema)).where(f"r is not null and r.{key} is not null")
+    return parsed.groupBy(f"r.{key}").agg(F.max_by("r", F.struct("at", "file", "block", "line")).alias("r")).select("r.*")
+
+
+def resume_runs(spark: SparkSession, path: str, schema: str, key: str = "item_id") -> DataFrame:
+    """The last run of each item in a log, with ``abstained`` worked out again from its error, answer and verdict."""
+    runs = read_run_log(spark, path, schema, key)
+    return runs.withColumn("abstained", effective_refusal(F.col("generation_error"), F.col("answer"), F.col("judge")))
 
 
 def append_run_log(rows: DataFrame, path: str) -> None:
-    """Append rows to a log; a task's lines appear only once it is committed."""
-    rows.write.mode("append").json(path)
+    """Append rows to a log, marked with the time of the append in microseconds; a task's lines appear only once it is committed."""
+    rows.withColumn(APPENDED, F.lit(time.time_ns() // 1000)).write.mode("append").json(path)
 
 
 def write_report(rows: DataFrame, path: str) -> None:

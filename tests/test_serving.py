@@ -111,3 +111,36 @@ def test_scratch_tables_survive_and_can_be_removed(spark):
     remove_scratch(spark)
     with pytest.raises(Exception):
         spark.read.parquet(kept.inputFiles()[0])
+
+
+def test_the_last_append_wins(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    row = lambda n, size: spark.createDataFrame([("x", n, "y" * size)], "item_id string, n int, pad string")
+    for n, size in ((1, 10), (2, 200_000), (3, 5), (4, 50_000), (5, 1)):
+        files.append_run_log(row(n, size), path)
+        assert files.read_run_log(spark, path, "item_id string, n int").first().n == n
+
+
+def test_resumed_runs_know_whether_they_abstained(spark, tmp_path):
+    lines = [
+        {"item_id": "a", "answer": "yes", "judge": {"context_sufficient": True, "refusal_appropriate": False}},
+        {"item_id": "b", "answer": "  ", "judge": None}, {"item_id": "c", "answer": "no", "judge": {"context_sufficient": False, "refusal_appropriate": True}},
+        {"item_id": "d", "answer": "x", "generation_error": "timeout", "abstained": False},
+    ]
+    (tmp_path / "log.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    schema = "item_id string, answer string, generation_error string, judge struct<context_sufficient boolean, refusal_appropriate boolean>"
+    runs = files.resume_runs(spark, str(tmp_path / "log.jsonl"), schema).collect()
+    assert {r.item_id: r.abstained for r in runs} == {"a": False, "b": True, "c": True, "d": True}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from lorequarry.shared import shared_dir
+
+    def session(master, folder):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_dir(session("spark://host:7077", "file:///shared/")) == "file:///shared"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(session("local-cluster[3,2,1024]", None))
