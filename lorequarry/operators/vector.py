@@ -1,25 +1,62 @@
 """Exact nearest neighbours, maximal marginal relevance and the distance gate.
 
-Queries are held in blocks of bounded size; each block is compared with all rows
-in NumPy, batch by batch, and only the best k of a batch leave it.
+Queries and rows are packed into blocks, each block of queries meets each block of
+rows, and the best k of such a pair leave it: a block join of a stated query set
+with all rows.  Neither side reaches the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from lorequarry.shared import materialize
+
 #: Distances are ranked at this many decimals, so that engines agree on ties.
 DECIMALS = 9
 
 
+#: Rows and queries of a block: with them a pair of blocks takes some 70 MB.
+ROW_BLOCK, QUERY_BLOCK = 8192, 1024
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array([np.asarray(v, np.float64) for v in column.to_pylist()])
+    """Vectors of equal length as a matrix, from the flat values of the list array."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return flat.reshape(len(column), -1)
+
+
+def _packed(size: int):
+    """Rows ``(id, vector)`` as blocks ``(ids, values)`` of raw numbers; vectors of other lengths than the first are an error."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+
+        def block() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            ids = rows.column(0).to_numpy().astype(np.int64)
+            values = _matrix(rows.column(1).combine_chunks())
+            parts = range(0, len(ids), size)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([ids[a : a + size].tobytes() for a in parts], pa.binary()), pa.array([values[a : a + size].tobytes() for a in parts], pa.binary())],
+                names=["ids", "values"],
+            )
+
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= size:
+                yield block()
+                held, n = [], 0
+        if n:
+            yield block()
+
+    return pack
 
 
 def _distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
@@ -31,52 +68,38 @@ def _distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray
     return squared if metric == "l2sq" else np.sqrt(squared)
 
 
-def _search_block(ids: np.ndarray, vectors: np.ndarray, k: int, metric: str, exclude_self: bool):
+def _search(k: int, metric: str, exclude_self: bool):
+    """Of pairs of blocks ``(ids, values, asked, targets)``: the best k rows of each query, and ties with the last of them."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 2048):
-                part = batch.slice(start, 2048)
-                chunk = part.column(0).to_numpy(zero_copy_only=False)
-                far = np.round(_distances(vectors, _matrix(part.column(1)), metric), DECIMALS)
+            for ids, values, asked, targets in zip(*(c.to_pylist() for c in batch.columns)):
+                rows, queries = np.frombuffer(ids, np.int64), np.frombuffer(asked, np.int64)
+                far = np.round(_distances(np.frombuffer(targets).reshape(len(queries), -1), np.frombuffer(values).reshape(len(rows), -1), metric), DECIMALS)
                 if exclude_self:
-                    far[ids[:, None] == chunk[None, :]] = np.inf
-                edge = np.partition(far, min(k, far.shape[1]) - 1, axis=1)[:, min(k, far.shape[1]) - 1]
+                    far[queries[:, None] == rows[None, :]] = np.inf
+                last = min(k, len(rows)) - 1
+                edge = np.partition(far, last, axis=1)[:, last]
                 q, c = np.nonzero((far <= edge[:, None]) & np.isfinite(far))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[q]), pa.array(chunk[c]), pa.array(far[q, c])], names=["query_id", "chunk_id", "dist"]
+                    [pa.array(queries[q]), pa.array(rows[c]), pa.array(far[q, c])], names=["query_id", "chunk_id", "dist"]
                 )
 
     return search
 
 
-def nearest(
-    corpus: DataFrame, queries: DataFrame, k: int = 3, metric: str = "l2sq", exclude_self: bool = True, block: int = 4096
-) -> DataFrame:
+def nearest(corpus: DataFrame, queries: DataFrame, k: int = 3, metric: str = "l2sq", exclude_self: bool = True) -> DataFrame:
     """``(query_id, chunk_id, dist, rank)``: the k nearest rows of each query, rank from 0, ties by id.
 
     ``corpus`` has ``chunk_id, embedding`` and ``queries`` ``query_id, embedding``;
     rows without an embedding are left out.  ``metric`` is ``l2sq``, ``l2`` or ``cosine``.
     """
-    rows = corpus.where("embedding is not null").select(F.col("chunk_id").cast("long"), "embedding")
-    schema = "query_id long, chunk_id long, dist double"
-    found, ids, vectors = [], [], []
-
-    def flush() -> None:
-        if ids:
-            search = _search_block(np.array(ids, np.int64), np.array(vectors, np.float64), k, metric, exclude_self)
-            found.append(rows.mapInArrow(search, schema))
-            ids.clear()
-            vectors.clear()
-
-    for row in queries.where("embedding is not null").select(F.col("query_id").cast("long"), "embedding").toLocalIterator():
-        ids.append(row[0])
-        vectors.append(row[1])
-        if len(ids) == block:
-            flush()
-    flush()
-    if not found:
-        return corpus.sparkSession.createDataFrame([], schema + ", rank int")
-    hits = reduce(DataFrame.unionByName, found)
+    block = "ids binary, values binary"
+    rows = corpus.where("embedding is not null").select(F.col("chunk_id").cast("long"), "embedding").mapInArrow(_packed(ROW_BLOCK), block)
+    asked = queries.where("embedding is not null").select(F.col("query_id").cast("long"), "embedding").mapInArrow(_packed(QUERY_BLOCK), block)
+    # read again for every block of rows
+    asked = materialize(asked.toDF("asked", "targets"), "query-blocks")
+    hits = rows.crossJoin(asked).mapInArrow(_search(k, metric, exclude_self), "query_id long, chunk_id long, dist double")
     order = W.partitionBy("query_id").orderBy("dist", "chunk_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
