@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -101,22 +102,23 @@ def recursive_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start int, text string")
 
 
-_ATX = re.compile(r"(#{1,6})\s+(.*\S)")
-_CLOSING = re.compile(r"\s*#*\s*$")
+_BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+#: At the start of a line: an opening or closing fence, or a heading with its title.
+_SIGNS = re.compile(
+    rf"(?:\A|(?<=[{_BREAKS}]))(?:[^\S{_BREAKS}]*(?P<fence>```|~~~)|(?P<hashes>#{{1,6}})[^\S{_BREAKS}]+(?P<title>[^{_BREAKS}]*[^\s]))"
+)
+
+
+def _title(raw: str) -> str:
+    """A title without its closing hashes; one made of hashes alone keeps the first of them."""
+    return raw.rstrip("#").rstrip() or raw[:1]
 
 
 def heading_list(text: str) -> list[tuple[int, int, str]]:
     """Headings outside fenced code as (offset, level, title)."""
-    found, at, fenced = [], 0, False
-    for line in text.splitlines(keepends=True):
-        if line.lstrip()[:3] in ("```", "~~~"):
-            fenced = not fenced
-        elif not fenced and line.startswith("#") and (m := _ATX.match(line)):
-            title = _CLOSING.sub("", m[2])
-            # a heading made of hashes alone keeps the first of them as its title
-            found.append((at, len(m[1]), title or m[2][:1]))
-        at += len(line)
-    return found
+    signs = list(_SIGNS.finditer(text))
+    fences = accumulate((m["fence"] is not None for m in signs), initial=0)
+    return [(m.start(), len(m["hashes"]), _title(m["title"])) for m, before in zip(signs, fences) if m["hashes"] and before % 2 == 0]
 
 
 def path_list(headings: list[tuple[int, int, str]]) -> list[tuple[int, str]]:
@@ -163,11 +165,12 @@ def path_at(text: str, offset: int) -> str:
 
 def with_section_paths(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """Chunks with ``section_path``: an as-of match of each start to the document's headings."""
-    listed = section_list(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("offset", "path"))).alias("paths"))
-    below = F.filter("paths", lambda p: p["offset"] <= F.col("start"))
-    return chunks.join(listed, "doc_id", "left").withColumn(
-        "section_path", F.coalesce(F.get(below, F.size(below) - 1)["path"], F.lit(""))
-    ).drop("paths")
+    opened = section_list(docs).select("doc_id", F.col("offset").alias("_at"), F.col("path").alias("_path"), F.lit(0).alias("_is_chunk"))
+    both = chunks.withColumn("_at", F.col("start")).withColumn("_is_chunk", F.lit(1)).unionByName(opened, allowMissingColumns=True)
+    # a group is one document; its texts are shuffled once
+    before = W.partitionBy("doc_id").orderBy("_at", "_is_chunk").rowsBetween(W.unboundedPreceding, 0)
+    path = F.coalesce(F.last("_path", ignorenulls=True).over(before), F.lit(""))
+    return both.withColumn("section_path", path).where("_is_chunk = 1").drop("_at", "_path", "_is_chunk")
 
 
 def enrich(chunks: DataFrame) -> DataFrame:

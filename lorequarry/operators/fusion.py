@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lorequarry.functions.text import normalize_text, tokens
-from lorequarry.operators.lexical import bm25_top
+from lorequarry.operators.lexical import LexicalIndex, bm25_top
 from lorequarry.operators.vector import distance_gate, nearest
 from lorequarry.shared import materialize
 
@@ -43,16 +43,19 @@ def dedup_content(ranked: DataFrame, corpus: DataFrame) -> DataFrame:
 def hybrid_search(
     corpus: DataFrame, queries: DataFrame, k: int = 3, rrf_k: int = 60, vector_weight: float = 0.7,
     lexical_weight: float = 0.3, max_distance: float = 0.96, dedupe: bool = True, exclude_self: bool = True,
+    lexical_index: LexicalIndex | None = None,
 ) -> DataFrame:
     """``(query_id, chunk_id, score, rank)``: gate, two legs of 3k, fusion, content dedup, best k.
 
+    With ``lexical_index``, a stored index of the corpus, its texts are not tokenised again.
+
     The gate drops whole queries before the lexical leg runs.
     """
     # read three times below; at most 3k rows a query
     hits = materialize(nearest(corpus, queries, 3 * k, exclude_self=exclude_self), "hits")
     passed = distance_gate(hits, max_distance).select("query_id")
     let_in = queries.join(passed, "query_id", "left_semi")
-    lexical = bm25_top(corpus, let_in, 3 * k, exclude_self)
+    lexical = bm25_top(lexical_index or corpus, let_in, 3 * k, exclude_self)
     ranked = fuse_ranks(hits.join(passed, "query_id", "left_semi"), lexical, vector_weight, lexical_weight, rrf_k)
     if dedupe:
         ranked = dedup_content(ranked, corpus)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lorequarry.operators import fusion, lexical, vector
+from lorequarry.shared import scratch_path
+from lorequarry.sources import files
 from lorequarry.sources.tables import table
 
 GATE, POOL = 1.25, 20
@@ -100,6 +102,14 @@ def hybrid_search(spark, folder):
     return fusion.hybrid_search(corpus(spark, folder), questions(spark, folder), POOL, max_distance=GATE)
 
 
+def index_search(spark, folder):
+    """The hybrid strategy on an index that is stored and opened again."""
+    place = scratch_path(spark, "index")
+    files.store_index(corpus(spark, folder), place)
+    chunks, lexicon = files.open_index(spark, place)
+    return fusion.hybrid_search(chunks, questions(spark, folder), POOL, max_distance=GATE, lexical_index=lexicon)
+
+
 def hybrid_no_dedup(spark, folder):
     return fusion.hybrid_search(corpus(spark, folder), questions(spark, folder), POOL, max_distance=GATE, dedupe=False)
 
@@ -117,7 +127,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         knn_l2, knn_cosine, best_distance, distance_gate, mmr, mmr_diverse, bm25_scores, bm25_topk, bm25_scores_all,
-        bm25_topk_all, rrf_fuse, dedup_content, hybrid_search, hybrid_no_dedup, rerank, hybrid_rerank,
+        bm25_topk_all, rrf_fuse, dedup_content, hybrid_search, index_search, hybrid_no_dedup, rerank, hybrid_rerank,
     )
 }
 
@@ -234,6 +244,7 @@ ORACLE_SQL = {
     "dedup_content": _DIST
     + ", top AS (SELECT query_id, chunk_id, round(-dist, 6) AS score, rank FROM near WHERE rank < 60) " + _DEDUPED.replace("{}", "top"),
     "hybrid_search": _HYBRID + "SELECT query_id, chunk_id, score, rank FROM found",
+    "index_search": _HYBRID + "SELECT query_id, chunk_id, score, rank FROM found",
     "hybrid_no_dedup": _GATED
     + "SELECT query_id, chunk_id, score, rank FROM fused WHERE rank < 20 AND query_id IN (SELECT query_id FROM passed)",
     "rerank": _DIST + ", top AS (SELECT * FROM near WHERE rank < 20)" + _RERANK.format("top", _TK, _TK),

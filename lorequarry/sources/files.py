@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lorequarry.operators.chunking import enrich, recursive_chunks, with_section_paths
 from lorequarry.operators.judged import effective_refusal
+from lorequarry.operators.lexical import LexicalIndex, open_lexical_index, store_lexical_index
+from lorequarry.operators.models import Encoder, embed, hashed_bag
 from lorequarry.operators.scans import start_offsets
-from lorequarry.operators.chunking import enrich, recursive_chunks, with_section_paths
+from lorequarry.shared import materialize
 
 ITEM_SCHEMA = (
     "question string, expected_sources array<string>, evidence_chunk_ids array<string>, evidence_coverage_mode string, "
@@ -85,19 +89,48 @@ def write_report(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").json(path)
 
 
-def build_index(docs: DataFrame, path: str) -> None:
-    """Split, enrich and store documents ``(doc_id, source, text)`` as the chunk table of an index."""
+def build_index(docs: DataFrame, path: str, load: Callable[[], Encoder] = hashed_bag) -> None:
+    """Split, enrich, embed and store documents ``(doc_id, source, text)`` as an index: chunks with vectors, and postings.
+
+    Chunks are searched by ``chunk_index``, their number over all documents;
+    ``chunk_id`` is their stable name.  ``load`` makes the encoder.
+    """
     chunks = with_section_paths(recursive_chunks(docs), docs).join(docs.select("doc_id", "source"), "doc_id")
     ids = enrich(chunks)
-    chunks.select("doc_id", "piece", "source", "start", "text").join(ids, ["doc_id", "piece"]).write.mode("overwrite").parquet(path)
+    rows = materialize(chunks.select("doc_id", "piece", "source", "start", "text").join(ids, ["doc_id", "piece"]), "chunks")
+    vectors = embed(rows, "chunk_index", "text", load)
+    store_index(rows.join(vectors, "chunk_index"), path, "chunk_index")
+
+
+def store_index(chunks: DataFrame, path: str, ident: str = "chunk_id") -> None:
+    """Store chunks ``(ident, text, embedding, ...)`` and the postings of their texts; ``ident`` is an integer."""
+    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+    stored = chunks.sparkSession.read.parquet(f"{path}/chunks")
+    store_lexical_index(stored.select(F.col(ident).cast("long").alias("chunk_id"), "text"), f"{path}/lexical")
+
+
+def open_index(spark: SparkSession, path: str, ident: str = "chunk_id") -> tuple[DataFrame, LexicalIndex]:
+    """What ``hybrid_search`` takes of a stored index: its chunks, by ``ident`` as ``chunk_id``, and its postings."""
+    chunks = spark.read.parquet(f"{path}/chunks")
+    if ident != "chunk_id":
+        chunks = chunks.withColumnRenamed("chunk_id", "name").withColumnRenamed(ident, "chunk_id")
+    return chunks, open_lexical_index(spark, f"{path}/lexical")
+
+
+def index_check(chunks: DataFrame) -> DataFrame:
+    """``(chunks, without_id, without_vector, repeated_ids)`` of an index's chunks, one row."""
+    return chunks.agg(
+        F.count(F.lit(1)).alias("chunks"), F.count_if(F.coalesce("chunk_id", F.lit("")) == "").alias("without_id"),
+        F.count_if(F.col("embedding").isNull()).alias("without_vector"), (F.count("chunk_id") - F.count_distinct("chunk_id")).alias("repeated_ids"),
+    )
 
 
 def load_or_build_index(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     """The stored index, built first where there is none."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/lexical/totals/_SUCCESS")
     if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         build_index(docs, path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(f"{path}/chunks")
 
 
 CONVERSATION_SCHEMA = "id bigint, owner string, thread_id string, role string, content string, created_at timestamp"

@@ -41,3 +41,20 @@ def test_a_stored_index_answers_alike(spark, tmp_path):
     assert rows(bm25_top(stored, asked, 4)) == rows(bm25_top(corpus, asked, 4))
     none = spark.createDataFrame([], "chunk_id long, text string")
     assert bm25_top(none, asked, 3).count() == 0
+
+
+def test_documents_to_search_by_a_stored_index(spark, tmp_path):
+    from lorequarry.operators.fusion import hybrid_search
+    from lorequarry.operators.models import embed
+    from lorequarry.sources.files import build_index, index_check, load_or_build_index, open_index
+
+    docs = spark.createDataFrame([(0, "a.md", "# One\n\nred apples grow here"), (1, "b.md", "# Two\n\nblue boats sail there"), (2, "c.md", "plain words")], "doc_id long, source string, text string")
+    path = str(tmp_path / "index")
+    build_index(docs, path)
+    assert index_check(load_or_build_index(spark, docs, path)).first() == (3, 0, 0, 0)
+    chunks, lexicon = open_index(spark, path, "chunk_index")
+    asked = spark.createDataFrame([(100, "blue boats")], "query_id long, text string")
+    asked = asked.join(embed(asked, "query_id", "text"), "query_id")
+    found = hybrid_search(chunks, asked, 2, max_distance=9.0, exclude_self=False, lexical_index=lexicon)
+    best = found.join(chunks, "chunk_id").orderBy("rank").first()
+    assert (best.source, best.section_path) == ("b.md", "Two") and len(best.name) == 16
