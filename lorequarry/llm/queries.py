@@ -154,4 +154,31 @@ ORACLE_SQL: dict[str, str] = {
         WHERE in_both * 10 >= (x.size + y.size - in_both) * 8
         UNION
         SELECT a.row_id, b.row_id FROM kept a JOIN kept b ON a.t = b.t AND a.row_id < b.row_id""",
+    "p7_classes": r"""
+        WITH texts AS (
+          SELECT row_id, regexp_replace(page_content, '[\s\x0b\x1c-\x1f\x85\p{Z}]+', '', 'g') AS t FROM chunk
+        ), classes AS (
+          SELECT t, min(row_id) AS class_id, count(*) AS copies FROM texts WHERE regexp_matches(t, '[\p{L}\p{N}]') GROUP BY t
+        ), grams AS (
+          SELECT DISTINCT class_id, substr(t, i, 3) AS g FROM (SELECT class_id, t, unnest(range(1, length(t) - 1)) AS i FROM classes)
+        ), sizes AS (SELECT class_id, count(*) AS size FROM grams GROUP BY 1),
+        shared AS (
+          SELECT a.class_id AS x, b.class_id AS y, count(*) AS in_both FROM grams a JOIN grams b ON a.g = b.g AND a.class_id <> b.class_id GROUP BY 1, 2
+        ), degree AS (
+          SELECT x AS class_id, count(*) AS links FROM shared JOIN sizes p ON p.class_id = x JOIN sizes q ON q.class_id = y
+          WHERE in_both * 10 >= (p.size + q.size - in_both) * 8 GROUP BY 1
+        )
+        SELECT row_id, class_id, copies, coalesce(links, 0) AS links FROM texts JOIN classes USING (t) LEFT JOIN degree USING (class_id)""",
+    "p9_found": r"""
+        WITH docs AS (SELECT doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
+        items AS (
+          SELECT item_id, regexp_replace(lower(passage), '[^\p{L}\p{N}]+', '', 'g') AS t, CASE WHEN lang LIKE 'zh%' THEN 24 ELSE 60 END AS run
+          FROM heldout WHERE passage IS NOT NULL
+        ), windows AS (
+          SELECT DISTINCT item_id, run, substr(t, i, run) AS w FROM (SELECT *, unnest(range(1, length(t) - run + 2)) AS i FROM items)
+        ), parts AS (
+          SELECT DISTINCT doc_id, run, substr(t, i, run) AS w
+          FROM (SELECT doc_id, t, run, unnest(range(1, length(t) - run + 2)) AS i FROM docs CROSS JOIN (SELECT DISTINCT run FROM items))
+        )
+        SELECT DISTINCT doc_id, item_id FROM parts JOIN windows USING (run, w)""",
 }
