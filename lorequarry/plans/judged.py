@@ -182,6 +182,11 @@ ORACLE_SQL = {
         full_rows AS (SELECT DISTINCT row_id FROM (SELECT row_id, unnest(retrieved_ids) AS chunk_id FROM e2e WHERE retrieved_sources IS NOT NULL) JOIN texts USING (chunk_id))
         SELECT row_id, false AS context_sufficient, true AS faithful, true AS relevant, true AS refusal_appropriate
         FROM e2e WHERE kind = 'negative' AND row_id NOT IN (SELECT row_id FROM full_rows)""",
+    "extract_json": """WITH c AS (SELECT row_id, page_content AS t, instr(page_content, '{') AS b, string_split(page_content, '') AS x FROM chunk),
+        s AS (SELECT row_id, t, b, i, sum(CASE x[i] WHEN '{' THEN 1 WHEN '}' THEN -1 ELSE 0 END) OVER (PARTITION BY row_id ORDER BY i) AS open
+              FROM (SELECT *, unnest(range(b, len(x) + 1)) AS i FROM c WHERE b > 0)),
+        e AS (SELECT row_id, min(i) AS e FROM s WHERE open = 0 GROUP BY 1)
+        SELECT row_id, substr(t, b, e - b + 1) AS json FROM c LEFT JOIN e USING (row_id)""",
     "parse_judge": """SELECT row_id, judge.context_sufficient AS context_sufficient, judge.faithful AS faithful, judge.relevant AS relevant, judge.refusal_appropriate AS refusal_appropriate,
         coalesce(len(judge.unsupported_claims), 0)::int AS claims, coalesce(judge.reason, '') AS reason,
         judge.context_sufficient IS NOT NULL AND judge.faithful IS NOT NULL AND judge.relevant IS NOT NULL AND judge.refusal_appropriate IS NOT NULL AS valid
