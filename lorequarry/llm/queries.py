@@ -128,7 +128,41 @@ _THREADS = r"""
     )
 """
 
+# records are flat here; one within another is compared in the tests
+_CONTENTS = r"""
+    WITH texts AS (
+      SELECT row_id, page_content, trim(page_content, chr(65279) || chr(12288) || chr(160) || ' ' || chr(9) || chr(13) || chr(10)) AS t,
+             regexp_replace(lower(page_content), '[^\p{L}\p{N}]+', '', 'g') AS flat
+      FROM chunk WHERE page_content IS NOT NULL
+    ), kept AS (SELECT *, t LIKE '{%}' AND json_valid(t) AS is_json FROM texts WHERE flat <> ''),
+    objects AS (
+      SELECT row_id, k AS name, json_extract_string(t, '$."' || k || '"') AS value FROM (SELECT row_id, t, unnest(json_keys(t)) AS k FROM kept WHERE is_json)
+    ), cut AS (
+      SELECT row_id, 1 AS way, unnest(string_split(t, chr(10))) AS part FROM kept WHERE NOT is_json
+      UNION ALL SELECT row_id, 2, unnest(string_split_regex(t, '[;；]')) FROM kept WHERE NOT is_json
+    ), parts AS (
+      SELECT row_id, way, regexp_extract(trim(part, ' ' || chr(9) || chr(13) || chr(10)),
+        '(?s)^["''`*-]*\s*([\p{L}_][\p{L}\p{N}_./-]*(?: [\p{L}\p{N}_./-]+)*)\s*["''`*]*\s*[:=：＝](.*)$', ['k', 'v']) AS f
+      FROM cut WHERE regexp_matches(part, '\S')
+    ), ways AS (
+      SELECT row_id, min(way) AS way FROM (
+        SELECT row_id, way FROM parts GROUP BY ALL HAVING count(*) > 1 AND bool_and(f.k <> '' AND f.v NOT LIKE '//%')) GROUP BY 1
+    ), fields AS (
+      SELECT * FROM objects UNION ALL SELECT row_id, f.k, f.v FROM parts JOIN ways USING (row_id, way)
+    ), records AS (
+      SELECT row_id, chr(1) || array_to_string(list_sort(list(bare(name) || chr(2) || bare(value))), chr(3)) AS root FROM fields GROUP BY 1 HAVING count(*) > 1
+    ), rooted AS (SELECT row_id, page_content, flat, root FROM kept LEFT JOIN records USING (row_id)),
+    named AS (
+      SELECT r.row_id, page_content, coalesce(r.root, n.root, r.flat) AS label
+      FROM rooted r LEFT JOIN (SELECT flat, min(root) AS root FROM rooted WHERE root IS NOT NULL GROUP BY 1) n USING (flat)
+    ), grouped AS (SELECT row_id, page_content, min(row_id) OVER (PARTITION BY label) AS keep_id, count(*) OVER (PARTITION BY label) AS copies FROM named)
+""".replace("bare(name)", r"regexp_replace(lower(name), '[^\p{L}\p{N}]+', '', 'g')").replace(
+    "bare(value)", r"regexp_replace(lower(coalesce(value, '')), '[^\p{L}\p{N}]+', '', 'g')"
+)
+
 ORACLE_SQL: dict[str, str] = {
+    "p6_found": _CONTENTS + "SELECT keep_id, row_id AS copy_id FROM grouped WHERE row_id <> keep_id",
+    "p6_collapse": _CONTENTS + "SELECT keep_id, copies, page_content AS content FROM grouped WHERE row_id = keep_id",
     "p3_found": _THREADS + "SELECT owner, thread_id, defect FROM judged WHERE defect IS NOT NULL",
     "p3_turns": _THREADS
     + """SELECT t.owner, t.thread_id, row_number() OVER (PARTITION BY t.owner, t.thread_id ORDER BY created_at, id) - 1 AS turn,
