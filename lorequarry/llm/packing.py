@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from lorequarry.llm.codepoints import pieces as slices
 from lorequarry.shared import materialize
 
+#: Texts for each salt: a length that all of them share is ranked in parts of about as many.
+RANKED = 200_000
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Word pattern of the vocabulary (fixed value, published with it).
 DEFAULT_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -128,7 +130,7 @@ def pack_documents(
     pattern: str = DEFAULT_PATTERN,
     text_col: str = "text",
     id_col: str = "doc_id",
-    salts: int = 64,
+    salts: int | None = None,
 ) -> DataFrame:
     """``(doc_id, piece_no, start_token, n_tokens, container_id)``: every document's place.
 
@@ -137,8 +139,11 @@ def pack_documents(
     texts have no tokens and no container, but are listed.  Repeated documents
     are placed each; rows that repeat an id are placed each, too.  The result
     depends on ids and lengths only, not on how the table is partitioned.
+    ``salts`` parts the texts of one length; one for every ``RANKED`` texts where
+    it is not given.
     """
     counts = materialize(token_counts(documents, vocabulary, pattern, text_col, id_col), "token-counts")
+    salts = salts or 1 + counts.count() // RANKED
     last = F.greatest(F.floor((F.col("n_tokens") - 1) / capacity), F.lit(0))
     parts = counts.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece_no")).select(
         "doc_id",
