@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 _FENCE = re.compile(r"^[ \t]{0,3}(```|~~~)")
 _HEADING = re.compile(r"^(#{1,6})\s|^(={1,6})[^=\n].*\2\s*$|^\\(?:sub)*section\*?\{|^<h([1-6])\b", re.IGNORECASE)
@@ -151,34 +151,31 @@ def split_oversized(
     rows are split each on their own.
     """
     base = rows.select(id_col, *carry, F.col(text_col).alias("piece")).where("piece is not null")
-    types = base.schema
-    schema = T.StructType(
-        [types[c] for c in (id_col, *carry)]
-        + [T.StructField(c, T.IntegerType()) for c in ("piece_no", "start", "end")]
-        + [T.StructField("cut_kind", T.StringType()), T.StructField("piece", T.StringType())]
+    kind = "array<struct<piece_no: int, start: int, end: int, cut_kind: string, piece: string>>"
+
+    @F.arrow_udf(kind)
+    def cut(texts: pa.Array) -> pa.Array:
+        ends, rows_of = [0], []
+        for text in texts:
+            whole = text.as_py()
+            if whole is not None:
+                rows_of += [(n, a, b, how, whole[a:b]) for n, (a, b, how) in enumerate(split_text(whole, limit, overlap))]
+            ends.append(len(rows_of))
+        columns = list(zip(*rows_of)) or [()] * 5
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
+        names = ["piece_no", "start", "end", "cut_kind", "piece"]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names))
+
+    # one scan: texts that fit do not leave the JVM; deterministic, it would be run again for the filter that explode infers
+    long = cut.asNondeterministic()(F.when(F.length("piece") > limit, F.col("piece")))
+    nothing = F.lit(0)
+    short = F.array(
+        F.struct(
+            nothing.alias("piece_no"), nothing.alias("start"), F.length("piece").alias("end"), F.lit("end").alias("cut_kind"), F.col("piece").alias("piece")
+        )
     )
-    short = base.where(F.length("piece") <= limit).select(
-        id_col, *carry, F.lit(0).alias("piece_no"), F.lit(0).alias("start"),
-        F.length("piece").alias("end"), F.lit("end").alias("cut_kind"), "piece",
-    )
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, number, start, end, kind, piece = [], [], [], [], [], []
-            for row, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                for n, (a, b, how) in enumerate(split_text(text, limit, overlap)):
-                    kept.append(row)
-                    number.append(n)
-                    start.append(a)
-                    end.append(b)
-                    kind.append(how)
-                    piece.append(text[a:b])
-            rows_of = pa.array(kept, pa.int64())
-            columns = [c.take(rows_of) for c in batch.columns[:-1]]
-            columns += [pa.array(x, pa.int32()) for x in (number, start, end)] + [pa.array(x, pa.string()) for x in (kind, piece)]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    return short.unionByName(base.where(F.length("piece") > limit).mapInArrow(cut, schema))
+    pieces = base.withColumn("long", long).select(id_col, *carry, F.explode(F.when(F.length("piece") > limit, F.col("long")).otherwise(short)).alias("p"))
+    return pieces.select(id_col, *carry, "p.*")
 
 
 def oversized_rows(pieces: DataFrame, id_col: str = "row_id") -> DataFrame:
