@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable
+
 from pyspark.sql import Column, functions as F
 
 _BLANKS = r"(?U)[\s\x1c-\x1f]+"
@@ -85,6 +88,12 @@ def principal(key: Column) -> Column:
     return F.substring(F.sha2(key, 256), 1, 16)
 
 
+def known_key(key: Column, keys: Iterable[str]) -> Column:
+    """Whether a key is one of a list, exactly and by case; digests are compared, so no key stands in a plan."""
+    digests = [hashlib.sha256(k.encode()).hexdigest() for k in keys if k]
+    return F.coalesce(F.sha2(key, 256).isin(digests), F.lit(False))
+
+
 def thread_key(key: Column, thread: Column) -> Column:
     """Name of a tenant's conversation in a shared store."""
     return F.concat(principal(key), F.lit(":"), thread)

@@ -187,6 +187,52 @@ def enrich(chunks: DataFrame) -> DataFrame:
     return numbered.select("doc_id", "piece", "chunk_index", "occurrence", "section_path", made.alias("chunk_id"))
 
 
+_BLANK_RUN = re.compile(r"[\s\x1c-\x1f]+")
+
+
+def mapped_text(text: str) -> tuple[str, list[int]]:
+    """The normalised text and the offset in the raw text of each of its characters; a run of blanks counts where it begins."""
+    parts: list[str] = []
+    offsets: list[int] = []
+    at = 0
+    for m in (*_BLANK_RUN.finditer(text), None):
+        end = m.start() if m else len(text)
+        parts.append(text[at:end])
+        offsets += range(at, end)
+        if m:
+            if offsets and m.end() < len(text):
+                parts.append(" ")
+                offsets.append(m.start())
+            at = m.end()
+    return "".join(parts), offsets
+
+
+def mapped_texts(docs: DataFrame) -> DataFrame:
+    """``(doc_id, body, offsets)``: normalised texts with the raw offset of each character; null texts as empty ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                body, offsets = mapped_text(text or "")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([doc], pa.int64()), pa.array([body]), pa.array([offsets], pa.list_(pa.int32()))], names=["doc_id", "body", "offsets"]
+                )
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, body string, offsets array<int>")
+
+
+def locate_raw(chunks: DataFrame, docs: DataFrame, probe: int = 120) -> DataFrame:
+    """``(doc_id, piece, found)``: like ``locate``, but as an offset in the raw text; the cursor, a raw offset, where it is not found."""
+    needle = F.substring(normalize_text(F.col("text")), 1, probe)
+    rows = chunks.withColumn("needle", needle).join(mapped_texts(docs), "doc_id")
+    # the first normalised character at or after the cursor
+    ahead_of = F.size(F.filter("offsets", lambda o: o < F.col("cursor")))
+    placed = rows.withColumn("from", ahead_of).withColumn("ahead", F.expr("locate(needle, body, from + 1)")).withColumn("any", F.expr("locate(needle, body)"))
+    hit = F.when(F.col("ahead") > 0, F.col("ahead")).when(F.col("any") > 0, F.col("any"))
+    raw = F.when((F.col("needle") != "") & hit.isNotNull(), F.get("offsets", hit - 1)).otherwise(F.col("cursor"))
+    return placed.select("doc_id", "piece", raw.cast("int").alias("found"))
+
+
 def locate(chunks: DataFrame, docs: DataFrame, probe: int = 120) -> DataFrame:
     """``(doc_id, piece, found)``: where a chunk's first normalised characters stand in its normalised document.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -120,7 +121,14 @@ def strategy_means(metrics: DataFrame, names: tuple[str, ...] = CONTINUOUS) -> D
     return long.groupBy("strategy", "metric").agg(F.avg("v").alias("value"), F.count("v").alias("n"))
 
 
-def _resampled_means(values: DataFrame, reps: int, seed: int) -> DataFrame:
+Statistic = Callable[[Column, Column], Column]
+
+
+def weighted_mean(v: Column, times: Column) -> Column:
+    return F.sum(times * v) / F.sum(times)
+
+
+def _resampled_means(values: DataFrame, reps: int, seed: int, statistic: Statistic = weighted_mean) -> DataFrame:
     """``(rep, mean)``: each repetition draws as many values as there are, by a portable hash of (seed, rep, draw)."""
     values = materialize(values, "resampled")
     counts = values.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
@@ -130,7 +138,7 @@ def _resampled_means(values: DataFrame, reps: int, seed: int) -> DataFrame:
     mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("draw").cast("string")))
     at = F.conv(F.substring(mark, 1, 8), 16, 10).cast("long") % F.col("n")
     picked = draws.crossJoin(F.broadcast(size)).select("rep", at.alias("place")).groupBy("rep", "place").agg(F.count(F.lit(1)).alias("times"))
-    return picked.join(placed, "place").groupBy("rep").agg((F.sum(F.col("times") * F.col("v")) / F.sum("times")).alias("mean"))
+    return picked.join(placed, "place").groupBy("rep").agg(statistic(F.col("v"), F.col("times")).alias("mean"))
 
 
 def _bounds(means: DataFrame, reps: int, confidence: float) -> DataFrame:
@@ -140,12 +148,16 @@ def _bounds(means: DataFrame, reps: int, confidence: float) -> DataFrame:
     return pick_by_rank(rounded, ["one"], "mean", {"low": F.lit(low), "high": F.lit(high)}).drop("one")
 
 
-def bootstrap_interval(values: DataFrame, reps: int = 2000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
-    """``(low, high)`` of the mean of ``v`` in ``values (key, v)``, ``key`` being a unique integer; one row.
+def bootstrap_interval(
+    values: DataFrame, reps: int = 2000, seed: int = 42, confidence: float = 0.95, statistic: Statistic = weighted_mean
+) -> DataFrame:
+    """``(low, high)`` of a statistic of ``v`` in ``values (key, v)``, ``key`` being unique; one row.
+
+    ``statistic`` is an aggregate of a value and how often it was drawn; the mean where none is given.
 
     Work is reps x rows, spread over the rows; only counts are shuffled.
     """
-    return _bounds(_resampled_means(values, reps, seed), reps, confidence)
+    return _bounds(_resampled_means(values, reps, seed, statistic), reps, confidence)
 
 
 def paired_bootstrap(pairs: DataFrame, reps: int = 2000, seed: int = 42, confidence: float = 0.95) -> DataFrame:

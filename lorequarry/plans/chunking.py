@@ -57,6 +57,16 @@ def locate_chunk(spark, folder):
     return ck.locate(chunks, docs)
 
 
+def offset_map(spark, folder):
+    return ck.mapped_texts(_docs(spark, folder))
+
+
+def locate_raw(spark, folder):
+    docs = _docs(spark, folder)
+    chunks = ck.fixed_windows(docs).withColumn("cursor", F.greatest(F.col("start") - 50, F.lit(0)))
+    return ck.locate_raw(chunks, docs)
+
+
 def split_h2(spark, folder):
     return ck.split_at_level(_docs(spark, folder), 2)
 
@@ -79,7 +89,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_chunks, chunks_per_source, chunk_fixed, chunk_recursive, headings, section_list, section_path, enrich_chunks,
-        locate_chunk, split_h2, split_h3, running_cursor, longest_chunks,
+        locate_chunk, offset_map, locate_raw, split_h2, split_h3, running_cursor, longest_chunks,
     )
 }
 
@@ -108,6 +118,20 @@ _SECTIONED = (
 _STRIP = r"regexp_replace({}, '^[\s\x0b\x1c-\x1f\x85\p{{Z}}]+|[\s\x0b\x1c-\x1f\x85\p{{Z}}]+$', '', 'g')"
 
 
+_MAPPED = r"""WITH chars AS (
+  SELECT doc_id, c, i, regexp_matches(c, '[\s\x0b\x1c-\x1f\x85\p{Z}]') AS blank
+  FROM (SELECT doc_id, unnest(x) AS c, unnest(range(0, len(x))) AS i FROM (SELECT doc_id, string_split(text, '') AS x FROM documents WHERE text <> ''))
+), shown AS (
+  SELECT *, lag(blank) OVER w AS before, max(CASE WHEN NOT blank THEN i END) OVER (PARTITION BY doc_id) AS last_i,
+         min(CASE WHEN NOT blank THEN i END) OVER (PARTITION BY doc_id) AS first_i
+  FROM chars WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), mapped AS (
+  SELECT doc_id, string_agg(CASE WHEN blank THEN ' ' ELSE c END, '' ORDER BY i) AS body, list(i::int ORDER BY i) AS offsets
+  FROM shown WHERE NOT blank OR (NOT coalesce(before, false) AND i BETWEEN first_i AND last_i) GROUP BY 1
+)
+"""
+
+
 def _split_sql(mark: str) -> str:
     return f"""
       WITH t AS (SELECT doc_id, text, string_split(chr(10) || text, chr(10) || '{mark} ') AS x FROM documents WHERE text IS NOT NULL),
@@ -133,6 +157,12 @@ ORACLE_SQL = {
                   FROM fixed f JOIN documents d USING (doc_id))
       SELECT doc_id, piece, (CASE WHEN needle = '' THEN cur WHEN instr(substr(body, cur + 1), needle) > 0 THEN cur + instr(substr(body, cur + 1), needle) - 1
              WHEN instr(body, needle) > 0 THEN instr(body, needle) - 1 ELSE cur END)::int AS found FROM n""",
+    "offset_map": _MAPPED + "SELECT doc_id, coalesce(body, '') AS body, coalesce(offsets, []) AS offsets FROM documents LEFT JOIN mapped USING (doc_id)",
+    "locate_raw": _WINDOWS + _MAPPED.replace("WITH", ",")
+    + f""", n AS (SELECT doc_id, piece, greatest(start - 50, 0) AS cur, substr({NORMAL.format("f.text")}, 1, 120) AS needle, body, offsets,
+                         len(list_filter(offsets, lambda o: o < greatest(start - 50, 0))) AS ahead FROM fixed f LEFT JOIN mapped USING (doc_id))
+      SELECT doc_id, piece, (CASE WHEN needle = '' THEN cur WHEN instr(substr(body, ahead + 1), needle) > 0 THEN offsets[ahead + instr(substr(body, ahead + 1), needle)]
+             WHEN instr(body, needle) > 0 THEN offsets[instr(body, needle)] ELSE cur END)::int AS found FROM n""",
     "split_h2": _split_sql("##")
     + """ SELECT doc_id, part, title, body FROM b WHERE body <> ''
           UNION ALL SELECT doc_id, 1, 'full', text FROM t WHERE len(x) = 1""",

@@ -148,7 +148,22 @@ _MID = f"(p + {_Z} * {_Z} / (2 * n)) / (1 + {_Z} * {_Z} / n)"
 _QUESTIONS = """SELECT DISTINCT 'answerable-' || item_id AS item_id, question, 'answerable' AS kind FROM test_set
     UNION ALL SELECT 'negative-' || neg_id, question, 'negative' FROM negatives"""
 _QUANTILE = """SELECT '{0}' AS measure, count({0}) AS n, median({0}) AS p50, (list({0} ORDER BY {0}) FILTER (WHERE {0} IS NOT NULL))[floor(0.95 * (count({0}) - 1))::int + 1] AS p95 FROM e2e"""
+_CONTEXT = """WITH texts AS (SELECT chunk_id, arg_min(page_content, row_id) AS text FROM chunk WHERE page_content IS NOT NULL AND chunk_id IS NOT NULL GROUP BY 1),
+        x AS (SELECT row_id, retrieved_ids AS ids, retrieved_sources AS srcs, unnest(range(1, greatest(len(retrieved_ids), len(retrieved_sources)) + 1)) AS i FROM e2e
+              WHERE retrieved_ids IS NOT NULL AND retrieved_sources IS NOT NULL),
+        j AS (SELECT row_id, i, coalesce(srcs[i], '?') AS source, chunk_id, text, row_number() OVER (PARTITION BY row_id ORDER BY i) AS n FROM x JOIN texts ON chunk_id = ids[i]),
+        c AS (SELECT row_id, string_agg('[' || n || '] ' || source || '#' || chunk_id || chr(10) || text, chr(10) || chr(10) ORDER BY n) AS context FROM j GROUP BY 1)"""
 ORACLE_SQL = {
+    "answer_stub": _CONTEXT
+    + f""" SELECT row_id, CASE WHEN trim(coalesce(context, ''), ' ') = '' THEN '{md.NO_CONTEXT_ANSWER}' ELSE string_split(context, chr(10))[2] END AS answer,
+        NULL::varchar AS error FROM e2e LEFT JOIN c USING (row_id)""",
+    "embed_stub": r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^\s\x0b\x1c-\x1f\x85\p{Z}]+')) AS word FROM documents),
+        m AS (SELECT doc_id, ('0x' || substr(md5(word), 1, 8))::bigint AS mark FROM w),
+        s AS (SELECT doc_id, mark % 64 AS place, sum(CASE WHEN mark >= 2147483648 THEN 1 ELSE -1 END)::double AS v FROM m GROUP BY ALL),
+        n AS (SELECT doc_id, greatest(sqrt(sum(v * v)), 1e-12) AS norm FROM s GROUP BY 1),
+        g AS (SELECT d.doc_id, p.place, coalesce(s.v, 0.0) / coalesce(n.norm, 1e-12) AS v FROM documents d CROSS JOIN range(64) p(place)
+              LEFT JOIN s ON s.doc_id = d.doc_id AND s.place = p.place LEFT JOIN n ON n.doc_id = d.doc_id)
+        SELECT doc_id, list(v::float ORDER BY place) AS embedding FROM g GROUP BY 1""",
     "effective_refusal": _RUNS + " SELECT row_id, refusal FROM runs",
     "e2e_summary": _RUNS
     + ", long AS ("
@@ -172,11 +187,8 @@ ORACLE_SQL = {
         b AS (SELECT DISTINCT chunk_id FROM (SELECT unnest(gold_chunk_ids) AS chunk_id FROM test_set) WHERE chunk_id IS NOT NULL)
         SELECT (SELECT count(*) FROM a) AS n_index, (SELECT count(*) FROM b) AS n_docs,
                (SELECT count(*) FROM a ANTI JOIN b USING (chunk_id)) AS only_index, (SELECT count(*) FROM b ANTI JOIN a USING (chunk_id)) AS only_docs""",
-    "build_context": """WITH texts AS (SELECT chunk_id, arg_min(page_content, row_id) AS text FROM chunk WHERE page_content IS NOT NULL AND chunk_id IS NOT NULL GROUP BY 1),
-        x AS (SELECT row_id, retrieved_ids AS ids, retrieved_sources AS srcs, unnest(range(1, greatest(len(retrieved_ids), len(retrieved_sources)) + 1)) AS i FROM e2e
-              WHERE retrieved_ids IS NOT NULL AND retrieved_sources IS NOT NULL),
-        j AS (SELECT row_id, i, coalesce(srcs[i], '?') AS source, chunk_id, text, row_number() OVER (PARTITION BY row_id ORDER BY i) AS n FROM x JOIN texts ON chunk_id = ids[i]),
-        c AS (SELECT row_id, string_agg('[' || n || '] ' || source || '#' || chunk_id || chr(10) || text, chr(10) || chr(10) ORDER BY n) AS context FROM j GROUP BY 1)
+    "build_context": _CONTEXT
+    + """
         SELECT row_id, coalesce(context, '') AS context FROM e2e LEFT JOIN c USING (row_id)""",
     "rule_verdicts": """WITH texts AS (SELECT DISTINCT chunk_id FROM chunk WHERE page_content IS NOT NULL),
         full_rows AS (SELECT DISTINCT row_id FROM (SELECT row_id, unnest(retrieved_ids) AS chunk_id FROM e2e WHERE retrieved_sources IS NOT NULL) JOIN texts USING (chunk_id))

@@ -79,6 +79,31 @@ def filter_tokens(parts: DataFrame) -> DataFrame:
     )
 
 
+def conversation_memory(messages: DataFrame, keep: int = 20) -> DataFrame:
+    """``(thread, seq, history)`` of a stream ``(thread, seq, role, content)``: at each message, the last ``keep`` of its thread.
+
+    ``thread`` is the tenant's key of a conversation, so that two tenants' threads
+    of one name have memories of their own.  A thread's state is its last ``keep``
+    messages; messages of a batch are taken in order of ``seq``.
+    """
+    item = "struct<seq: bigint, role: string, content: string>"
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (held,) = state.get if state.exists else ([],)
+        held = [tuple(m) for m in held]
+        seqs, histories = [], []
+        for row in pd.concat(list(frames)).sort_values("seq").itertuples():
+            held = [*held, (int(row.seq), row.role, row.content)][-keep:]
+            seqs.append(int(row.seq))
+            histories.append([{"seq": s, "role": r, "content": c} for s, r, c in held])
+        state.update((held,))
+        yield pd.DataFrame({"thread": [key[0]] * len(seqs), "seq": seqs, "history": histories})
+
+    return messages.groupBy("thread").applyInPandasWithState(
+        step, f"thread string, seq long, history array<{item}>", f"held array<{item}>", "append", GroupStateTimeout.NoTimeout
+    )
+
+
 def fail_open(sink: Callable[[DataFrame, int], None], log: Callable[[str], None] = print) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink whose failure is logged and never stops the stream."""
 
