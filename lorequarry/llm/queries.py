@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from lorequarry.llm.conversations import dropped_threads, sound_turns
 from lorequarry.llm.defects import defective_pairs
@@ -13,6 +13,7 @@ from lorequarry.llm.neardup import near_duplicate_pairs, near_duplicate_rows
 from lorequarry.llm.packing import container_fill, pack_documents
 from lorequarry.llm.splitting import oversized_rows, split_oversized
 from lorequarry.llm.truncation import truncated_documents, truncation_report
+from lorequarry.shared import materialize
 from lorequarry.sources.tables import table
 
 
@@ -44,6 +45,29 @@ def p5_split(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(table(spark, folder, "chunk"))
 
 
+def p5_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the pieces of every text: they tile it, none is too long, each stands where it says."""
+    before = W.partitionBy("row_id").orderBy("piece_no")
+    pieces = p5_split(spark, folder).withColumn("before", F.coalesce(F.lag("end").over(before), F.lit(0)))
+    joined = (F.col("start") <= F.col("before")) & (F.col("start") >= F.col("before") - 50) & (F.col("end") >= F.col("before"))
+    in_place = joined & (F.length("piece") == F.col("end") - F.col("start"))
+    return pieces.groupBy("row_id").agg(
+        F.sum(F.col("end") - F.col("before")).alias("covered"), F.max("end").cast("bigint").alias("until"),
+        F.every(F.length("piece") <= 600).alias("within_limit"), F.every(in_place).alias("in_place"),
+    )
+
+
+def p8_places(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the place of every document: its pieces are whole, only long ones are cut, no container is overfull."""
+    placed = materialize(p8_pack(spark, folder), "placed")
+    used = placed.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
+    rows = placed.join(used, "container_id", "left")
+    whole = (F.sum("n_tokens") == F.max(F.col("start_token") + F.col("n_tokens"))) & (F.count(F.lit(1)) == F.max("piece_no") + 1)
+    return rows.groupBy("doc_id").agg(
+        whole.alias("whole"), ((F.max("piece_no") == 0) | (F.sum("n_tokens") > 2048)).alias("cut_if_long"), F.every(F.coalesce(F.col("used") <= 2048, F.lit(True))).alias("fits")
+    )
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return dressed_copies(table(spark, folder, "chunk"))
 
@@ -88,12 +112,14 @@ QUERIES = {
     "p3_turns": p3_turns,
     "p5_found": p5_found,
     "p5_split": p5_split,
+    "p5_tiles": p5_tiles,
     "p6_found": p6_found,
     "p6_collapse": p6_collapse,
     "p7_found": p7_found,
     "p7_classes": p7_classes,
     "p8_pack": p8_pack,
     "p8_fill": p8_fill,
+    "p8_places": p8_places,
     "p9_found": p9_found,
     "p10_found": p10_found,
     "p10_report": p10_report,
@@ -173,6 +199,9 @@ ORACLE_SQL: dict[str, str] = {
         SELECT row_id, CASE WHEN regexp_matches(page_content, '[^\s\x0b\x1c-\x1f\x85\p{Z}.,;:!?。，；：！？、]{601,}')
                             THEN 'hard' ELSE 'natural' END AS cut_kind
         FROM chunk WHERE length(page_content) > 600""",
+    "p5_tiles": """SELECT row_id, length(page_content)::bigint AS covered, length(page_content) AS until, true AS within_limit, true AS in_place
+        FROM chunk WHERE page_content IS NOT NULL""",
+    "p8_places": "SELECT doc_id, true AS whole, true AS cut_if_long, true AS fits FROM documents",
     "p7_found": r"""
         WITH texts AS (
           SELECT row_id, regexp_replace(page_content, '[\s\x0b\x1c-\x1f\x85\p{Z}]+', '', 'g') AS t FROM chunk
