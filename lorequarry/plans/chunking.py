@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from lorequarry.operators import chunking as ck
 from lorequarry.operators.scans import running_max
@@ -35,6 +35,21 @@ def chunk_recursive(spark, folder):
     return ck.recursive_chunks(_docs(spark, folder))
 
 
+def recursive_cover(spark, folder):
+    """What must hold of the recursive pieces of every text: they stand where they say, are short, and leave out blanks only."""
+    docs = _docs(spark, folder).select("doc_id", F.col("text").alias("whole"))
+    before = W.partitionBy("doc_id").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    end = F.col("start") + F.length("text")
+    pieces = ck.recursive_chunks(_docs(spark, folder)).withColumn("before", F.coalesce(F.max(end).over(before), F.lit(0))).join(docs, "doc_id")
+    gap = F.expr("substring(whole, before + 1, greatest(start - before, 0))")
+    blank = lambda c: F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", "") == ""
+    rest = F.expr("substring(max_by(whole, piece), max(start + length(text)) + 1)")
+    return pieces.groupBy("doc_id").agg(
+        F.every(F.expr("substring(whole, start + 1, length(text)) = text")).alias("in_place"), F.every(F.length("text") <= ck.SIZE).alias("short"),
+        (F.every(blank(gap)) & blank(rest)).alias("only_blanks_left_out"),
+    )
+
+
 def headings(spark, folder):
     return ck.headings(_docs(spark, folder))
 
@@ -88,7 +103,7 @@ def longest_chunks(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_chunks, chunks_per_source, chunk_fixed, chunk_recursive, headings, section_list, section_path, enrich_chunks,
+        scan_chunks, chunks_per_source, chunk_fixed, chunk_recursive, recursive_cover, headings, section_list, section_path, enrich_chunks,
         locate_chunk, offset_map, locate_raw, split_h2, split_h3, running_cursor, longest_chunks,
     )
 }
@@ -144,6 +159,8 @@ ORACLE_SQL = {
     "scan_chunks": "SELECT row_id, chunk_id, source, section_path, chunk_index, start_index, page_content FROM chunk",
     "chunks_per_source": "SELECT source, count(*) AS chunks FROM chunk GROUP BY 1",
     "chunk_fixed": _WINDOWS + "SELECT doc_id, source, piece, start, text FROM fixed",
+    "recursive_cover": r"""SELECT doc_id, true AS in_place, true AS short, true AS only_blanks_left_out FROM documents
+        WHERE regexp_matches(text, '[^\s\x0b\x1c-\x1f\x85\p{Z}]')""",
     "headings": f'WITH {_HEADINGS} SELECT doc_id, "offset", level, title FROM heads',
     "section_list": f'WITH {_HEADINGS}, {_PATHS} SELECT doc_id, "offset", path FROM paths',
     "section_path": _SECTIONED + "SELECT doc_id, piece, section_path FROM sectioned",
