@@ -22,6 +22,11 @@ its key, the parities of the table's coordinates: coordinates of unlike parity
 differ by one at least, so the bits that differ are a lower bound of the same
 maximum, tested inside the join.  Whole tables, and then texts, are joined once
 to each distinct pair that is left.
+
+``exact`` brings pairs together by prefixes instead, and then no link is lost:
+grams are ordered from rare to common, and a text that shares ``t`` of a union of
+grams with another shares one of its first |A| - ceil(t |A|) + 1.  The order
+needs no list of grams, only how often each of ``SLOTS`` hash slots is hit.
 """
 
 from __future__ import annotations
@@ -39,7 +44,10 @@ from lorequarry.shared import materialize
 BLOCKS = 256
 _WORDS = BLOCKS // 64
 _PARITIES = [f"odd{n}" for n in range(_WORDS)]
-_SIGNATURE = "id long, digest binary, size int, bands array<int>, pivots binary, " + ", ".join(f"{p} long" for p in _PARITIES)
+_SIGNATURE = "id long, digest binary, size int, bands array<{}>, pivots binary, " + ", ".join(f"{p} long" for p in _PARITIES)
+#: Slots whose hits order the grams (8 MB, broadcast once).
+SLOTS = 1 << 20
+_SLOT_SHIFT = np.uint64(44)
 #: A pair at a similarity of 0.8 misses all bands with (1 - 0.8**ROWS)**BANDS = 2e-6.
 BANDS, ROWS = 33, 5
 _BATCH_CHARS = 1 << 16
@@ -122,25 +130,66 @@ def band_keys(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of ``(id, digest, text)``: size of the gram set, its band keys and its pivot table; both empty without grams."""
-    for batch in pieces(batches, 2, _BATCH_CHARS):
-        grams, offsets = gram_sets(*code_points(batch.column(2)))
-        sizes = np.diff(offsets)
-        some = np.flatnonzero(sizes)
-        packed, bands = np.full(len(sizes), b"", object), np.zeros(0, np.int32)
-        odd = np.zeros((len(sizes), _WORDS), np.int64)
-        if len(some):
-            inner = np.r_[offsets[some], offsets[-1]]
-            table = pivot_table(grams, inner)
-            packed[some] = _pack(table)
-            odd[some] = np.packbits((table & 1).astype(np.uint8), axis=1).view(np.int64)
-            bands = band_keys(grams, inner).reshape(-1).view(np.int32)
-        ends = np.r_[0, np.cumsum(np.where(sizes > 0, BANDS, 0))].astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands)), pa.array(packed, pa.binary()), *(pa.array(odd[:, n]) for n in range(_WORDS))],
-            names=["id", "digest", "size", "bands", "pivots", *_PARITIES],
-        )
+def _slot_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(SLOTS, np.int64)
+    for batch in pieces(batches, 0, _BATCH_CHARS):
+        grams, _ = gram_sets(*code_points(batch.column(0)))
+        total += np.bincount((mix(grams) >> _SLOT_SHIFT).astype(np.int64), minlength=SLOTS)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "hits"])
+
+
+def _slot_table(texts: DataFrame) -> np.ndarray:
+    """How often the grams of all texts hit each slot; at most SLOTS rows reach the driver."""
+    hits = texts.select("bare").mapInArrow(_slot_hits, "slot long, hits long").groupBy("slot").agg(F.sum("hits").alias("hits"))
+    table = np.zeros(SLOTS, np.int64)
+    for batch in hits.toArrow().to_batches():
+        table[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return table
+
+
+def prefix_keys(grams: np.ndarray, offsets: np.ndarray, hits: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest grams of each set that one alike must share one of, as hashes, and how many of each set."""
+    sizes = np.diff(offsets)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    h = mix(grams)
+    order = np.lexsort((h, hits[(h >> _SLOT_SHIFT).astype(np.int64)], owner))
+    place = np.arange(len(h)) - np.repeat(offsets[:-1], sizes)
+    needed = np.where(sizes > 0, sizes - np.ceil(sizes * threshold - 1e-9).astype(np.int64) + 1, 0)
+    return h[order][place < np.repeat(needed, sizes)], needed
+
+
+def _signatures(threshold: float, hits=None):
+    """Of ``(id, digest, text)``: size of the gram set, its band keys (prefix keys where ``hits`` orders the grams) and its pivot table."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 2, _BATCH_CHARS):
+            grams, offsets = gram_sets(*code_points(batch.column(2)))
+            sizes = np.diff(offsets)
+            some = np.flatnonzero(sizes)
+            packed, keys = np.full(len(sizes), b"", object), np.zeros(0, np.int32 if hits is None else np.int64)
+            numbers = np.where(sizes > 0, BANDS, 0)
+            odd = np.zeros((len(sizes), _WORDS), np.int64)
+            if len(some):
+                inner = np.r_[offsets[some], offsets[-1]]
+                table = pivot_table(grams, inner)
+                packed[some] = _pack(table)
+                odd[some] = np.packbits((table & 1).astype(np.uint8), axis=1).view(np.int64)
+                if hits is None:
+                    keys = band_keys(grams, inner).reshape(-1).view(np.int32)
+                else:
+                    keys, numbers = prefix_keys(grams, offsets, hits.value, threshold)
+                    keys = keys.view(np.int64)
+            ends = pa.array(np.r_[0, np.cumsum(numbers)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(1), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(keys)),
+                    pa.array(packed, pa.binary()), *(pa.array(odd[:, n]) for n in range(_WORDS)),
+                ],
+                names=["id", "digest", "size", "bands", "pivots", *_PARITIES],
+            )
+
+    return sign
 
 
 def _pack(table: np.ndarray) -> list[bytes]:
@@ -211,7 +260,7 @@ def text_classes(rows: DataFrame, text_col: str = "page_content", id_col: str =
 
 
 def near_duplicate_classes(
-    rows: DataFrame, text_col: str = "page_content", id_col: str = "row_id", threshold: float = 0.8
+    rows: DataFrame, text_col: str = "page_content", id_col: str = "row_id", threshold: float = 0.8, exact: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Members ``(id, class_id)`` and links ``(a, b, similarity)`` between classes, a < b.
 
@@ -219,15 +268,19 @@ def near_duplicate_classes(
     smallest id.  Links are all pairs of classes at or above ``threshold``.
     Null, blank and letterless texts belong to no class; texts of fewer than
     three characters have no grams and are linked to nothing but their copies.
+    By bands a link at the threshold is lost with a chance of 2e-6; with ``exact``
+    none is, for more work where many texts share rare grams.
     """
     texts = text_classes(rows, text_col, id_col)
-    signs = materialize(texts.mapInArrow(_signatures, _SIGNATURE), "signatures")
+    hits = rows.sparkSession.sparkContext.broadcast(_slot_table(texts)) if exact else None
+    signs = materialize(texts.mapInArrow(_signatures(threshold, hits), _SIGNATURE.format("long" if exact else "int")), "signatures")
     # one row a text: copies are dropped map-side
     heads = signs.groupBy("digest").agg(F.min("id").alias("id"), F.min_by(F.struct("size", "bands", "pivots", *_PARITIES), "id").alias("s"))
     classes = signs.groupBy("digest").agg(F.min("id").alias("class_id"))
     members = signs.select("id", "digest").join(classes, "digest").select("id", "class_id")
+    key = F.col("key") if exact else F.shiftleft(F.col("band").cast("long"), 32) + F.col("key")
     banded = heads.select("id", "s.size", *(f"s.{p}" for p in _PARITIES), F.posexplode("s.bands").alias("band", "key")).select(
-        (F.shiftleft(F.col("band").cast("long"), 32) + F.col("key")).alias("key"), "id", "size", *_PARITIES
+        key.alias("key"), "id", "size", *_PARITIES
     )
     tables = heads.select("id", F.col("s.size").alias("size"), F.col("s.pivots").alias("pivots"))
     side = lambda df, name: df.select(*(F.col(c) if c == "key" else F.col(c).alias(f"{c}_{name}") for c in df.columns))

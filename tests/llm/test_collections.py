@@ -95,6 +95,8 @@ def test_near_duplicates_match_brute_force(spark):
                     want.add((i, j))
     got = [tuple(r) for r in near_duplicate_pairs(df).collect()]
     assert set(got) == want and len(got) == len(want)
+    by_bands, by_prefixes = ({tuple(r) for r in near_duplicate_classes(df, exact=e)[1].collect()} for e in (False, True))
+    assert by_bands == by_prefixes and by_bands
     members, links = near_duplicate_classes(df)
     assert members.groupBy("class_id").count().agg({"count": "max"}).first()[0] == 30
     assert links.where("a >= b").count() == 0
