@@ -121,6 +121,8 @@ def strategy_means(metrics: DataFrame, names: tuple[str, ...] = CONTINUOUS) -> D
     return long.groupBy("strategy", "metric").agg(F.avg("v").alias("value"), F.count("v").alias("n"))
 
 
+#: Values that are broadcast to their draws (16 MB); more are joined.
+HELD = 1_000_000
 Statistic = Callable[[Column, Column], Column]
 
 
@@ -137,8 +139,13 @@ def _resampled_means(values: DataFrame, reps: int, seed: int, statistic: Statist
     draws = placed.select(F.col("place").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("draw").cast("string")))
     at = F.conv(F.substring(mark, 1, 8), 16, 10).cast("long") % F.col("n")
-    picked = draws.crossJoin(F.broadcast(size)).select("rep", at.alias("place")).groupBy("rep", "place").agg(F.count(F.lit(1)).alias("times"))
-    return picked.join(placed, "place").groupBy("rep").agg(statistic(F.col("v"), F.col("times")).alias("mean"))
+    picked = draws.crossJoin(F.broadcast(size)).select("rep", at.alias("place"))
+    if values.count() <= HELD:
+        # the values go to the draws, of which only sums are shuffled
+        drawn = picked.withColumn("times", F.lit(1)).join(F.broadcast(placed), "place")
+    else:
+        drawn = picked.groupBy("rep", "place").agg(F.count(F.lit(1)).alias("times")).join(placed, "place")
+    return drawn.groupBy("rep").agg(statistic(F.col("v"), F.col("times")).alias("mean"))
 
 
 def _bounds(means: DataFrame, reps: int, confidence: float) -> DataFrame:
@@ -155,7 +162,7 @@ def bootstrap_interval(
 
     ``statistic`` is an aggregate of a value and how often it was drawn; the mean where none is given.
 
-    Work is reps x rows, spread over the rows; only counts are shuffled.
+    Work is reps x rows, spread over the rows; up to HELD values only sums are shuffled, beyond that the draws.
     """
     return _bounds(_resampled_means(values, reps, seed, statistic), reps, confidence)
 
