@@ -31,7 +31,6 @@ needs no list of grams, only how often each of ``SLOTS`` hash slots is hit.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
