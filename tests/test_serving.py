@@ -18,6 +18,24 @@ def test_limits_by_window_and_tenant(spark):
     assert {(r.id, r["count"], r.allowed) for r in rows} == {(0, 1, True), (1, 2, True), (2, 3, True), (3, 4, False), (4, 1, True), (5, 2, True), (9, 1, True)}
 
 
+def test_a_hot_caller_is_cut_into_slices(spark):
+    import random
+
+    rng = random.Random(4)
+    calls = sorted(("hot" if rng.random() < 0.7 else f"k{rng.randrange(5)}", NOON + dt.timedelta(seconds=rng.randrange(4000) // 7 * 3), i) for i in range(1500))
+    want, state = {}, {}
+    for key, at, i in calls:
+        opened, count = state.get(key, (None, 0))
+        if opened is None or at >= opened + dt.timedelta(seconds=60):
+            opened, count = at, 0
+        state[key] = opened, count + 1
+        want[i] = count + 1
+    frame = spark.createDataFrame(calls, "key string, at timestamp_ntz, id long")
+    for slices in (1, 7, 40):
+        assert {r.id: r["count"] for r in rate_limit(frame, 3, 60, slices).collect()} == want
+    assert rate_limit(frame.where("false"), 3, 60).count() == 0
+
+
 def test_stream_limit_equals_batch(spark, tmp_path):
     calls = [("k%d" % (i % 3), i * 7000, i) for i in range(60)]
     spark.createDataFrame(calls, "key string, at_ms long, id long").coalesce(1).write.parquet(str(tmp_path / "in"))
