@@ -215,11 +215,18 @@ def declines(sentence: str) -> int | None:
     for lang, (gap, templates) in _TEMPLATES.items():
         if not _ANY_PHRASE[lang].search(sentence):
             continue
-        found = {name: [m.span() for m in p.finditer(sentence)] for name, p in _PHRASES[lang].items()}
+        found: dict[str, list[tuple[int, int]]] = {}
         for template in templates:
-            score, at = aligned(template, found, gap)
-            if score >= REFUSAL_SCORE and (best is None or score > best[0]):
-                best = score, at
+            for name in template:
+                if name not in found:
+                    found[name] = [m.span() for m in _PHRASES[lang][name].finditer(sentence)]
+                # without one of its classes, a template of few cannot reach the score
+                if not found[name] and len(template) - 1 < REFUSAL_SCORE * len(template):
+                    break
+            else:
+                score, at = aligned(template, found, gap)
+                if score >= REFUSAL_SCORE and (best is None or score > best[0]):
+                    best = score, at
     return best and best[1]
 
 
