@@ -121,6 +121,7 @@ _OPEN_END = re.compile(
     r"(?<![\w'’-])(?:the|and|or|of|with|from|because|is|are|was|were|its|their|than|der|das|dem|ein|eine|einen|und|oder|mit|von|weil|ist|sind|"
     r"une|avec|sont|parce que|los|una|del|con|porque)[ \t]*$|(?:因为|以及|并且|或者)$"
 )
+_NO_LETTER = re.compile(r"[\W_]+")
 _INVISIBLE = re.compile(r"[\s\x00-\x20­​-‏⁠-⁤﻿　]+")
 
 
@@ -268,7 +269,7 @@ def in_other_language(question: str, answer: str) -> bool:
 def defect(question: str | None, answer: str | None, refusal_appropriate: bool | None) -> str | None:
     """The defect of a pair, or None; the first of empty, copy, refusal, truncated and other_language."""
     shown = _INVISIBLE.sub("", answer or "")
-    letters = "".join(c for c in shown.lower() if c.isalnum())
+    letters = _NO_LETTER.sub("", shown.lower())
     if not letters or letters in NO_VALUE:
         return "empty"
     question = question or ""

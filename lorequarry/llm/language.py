@@ -29,7 +29,8 @@ FUNCTION_WORDS = {
     "nl": "de het een en of van te naar op bij voor met uit is zijn was waren wordt werd heeft hebben niet geen deze dit dat die als "
     "wanneer waar wie wat waarom hoe kan maar over onder na tot omdat elke alle ook nog",
 }
-_WORDS = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
+#: The languages of each function word.
+_SPEAKERS = {w: [lang for lang, words in FUNCTION_WORDS.items() if w in words.split()] for words in FUNCTION_WORDS.values() for w in words.split()}
 #: Letters that hint at one language.
 _LETTERS = {"de": "äöüß", "es": "ñ¿¡", "fr": "çœêèàùûî", "pt": "ãõ"}
 
@@ -61,11 +62,14 @@ def language(text: str) -> str | None:
     spoken = [w for n, w in enumerate(words) if w.islower() or n == 0 or w.isupper()]
     if weight and weight >= 1.5 and weight * 2 >= len(spoken):
         return script
-    score = Counter({lang: sum(w.lower() in known for w in words) for lang, known in _WORDS.items()})
+    score = dict.fromkeys(FUNCTION_WORDS, 0.0)
+    for word in words:
+        for lang in _SPEAKERS.get(word.lower(), ()):
+            score[lang] += 1
     low = prose.lower()
     for lang, letters in _LETTERS.items():
         score[lang] += 0.7 * sum(low.count(c) for c in letters)
-    (best, top), (_, second) = score.most_common(2)
+    (best, top), (_, second) = Counter(score).most_common(2)
     if top >= 1 and top > second:
         return best
     return script if weight >= 1 and weight > top else None
