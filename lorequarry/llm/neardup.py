@@ -15,8 +15,13 @@ of the two vectors, which for alike texts is at most
 are verified on their exact gram sets.
 
 Pairs are first brought together by bands of min-hash values (an equi-join;
-see BANDS and ROWS for the chance to miss a pair at the threshold), never by a
-product of all texts.  Equal texts collapse into one class beforehand, so a
+see MISS for the chance to miss a pair at the threshold), never by a product of
+all texts.  Unlike texts of similarity s meet in a band of r values with a chance
+of s**r, so with fixed bands the pairs that meet grow with the square of the
+texts.  Therefore r follows the table: a sample tells how often unlike texts
+would meet, and more texts get longer bands, and more of them for the same MISS
+(``plan_bands``).  The bands are joined in rounds, each of which sends a few
+bands of a text at once.  Equal texts collapse into one class beforehand, so a
 group of copies of any size is one row in the bands.  A band row carries, beside
 its key, the parities of the table's coordinates: coordinates of unlike parity
 differ by one at least, so the bits that differ are a lower bound of the same
@@ -31,11 +36,14 @@ needs no list of grams, only how often each of ``SLOTS`` hash slots is hit.
 
 from __future__ import annotations
 
+import gc
+import math
 from collections.abc import Iterator
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lorequarry.llm.codepoints import code_points, mix, pieces
 from lorequarry.shared import materialize
@@ -43,12 +51,20 @@ from lorequarry.shared import materialize
 BLOCKS = 256
 _WORDS = BLOCKS // 64
 _PARITIES = [f"odd{n}" for n in range(_WORDS)]
-_SIGNATURE = "id long, digest binary, size int, bands array<{}>, pivots binary, " + ", ".join(f"{p} long" for p in _PARITIES)
+_SIGNATURE = "id long, size int, pivots binary, " + ", ".join(f"{p} long" for p in _PARITIES)
 #: Slots whose hits order the grams (8 MB, broadcast once).
 SLOTS = 1 << 20
 _SLOT_SHIFT = np.uint64(44)
-#: A pair at a similarity of 0.8 misses all bands with (1 - 0.8**ROWS)**BANDS = 2e-6.
-BANDS, ROWS = 33, 5
+#: A pair at the threshold misses all bands with about this chance, more alike pairs with less.
+MISS = 1e-6
+#: Most min-hash values in a band, and bands that one pass over the grams fills.
+MOST_ROWS, _A_PASS = 24, 16
+#: Texts and min-hash values of the sample, and what a band row costs, in pairs that meet.
+SAMPLE, _SKETCH, _ROW_COST = 1024, 64, 8
+#: Band rows of a round; a round has 8 bands at least.
+_ROUND_ROWS, _ROUND_BANDS = 1 << 23, 8
+_EMPTY = np.uint32(0xFFFFFFFF)
+_GOLDEN = 0x9E3779B97F4A7C15
 _BATCH_CHARS = 1 << 16
 
 
@@ -61,6 +77,19 @@ def _grams(codes: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarra
     return grams[inside], owner[inside]
 
 
+def fold_high(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """Code points above 16 bits in the places of the surrogates, which no text holds, and a table that leads back; as they are where there are too many."""
+    if not len(codes) or not codes.max() >> 16:
+        return codes, None
+    high = codes >> 16 > 0
+    own, place = np.unique(codes[high], return_inverse=True)
+    if len(own) > 0x800 or (codes >> 11 == 0x1B).any():
+        return codes, None
+    folded, back = codes.copy(), np.arange(1 << 16, dtype=np.uint64)
+    folded[high], back[0xD800 : 0xD800 + len(own)] = 0xD800 + place, own
+    return folded, back
+
+
 def packed_grams(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray | None:
     """Sorted distinct (text, gram) as one 64-bit number each; None where they do not fit."""
     if len(offsets) > 1 << 16 or len(codes) < 3 or codes.max() >> 16:
@@ -71,14 +100,17 @@ def packed_grams(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray | None:
 
 
 def gram_sets(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct three-character substrings of each text as exact 63-bit numbers, sorted, and their offsets."""
+    """Distinct three-character substrings of each text as exact 63-bit numbers, text by text, and their offsets."""
     n = len(offsets) - 1
     if len(codes) < 3:
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    keys = packed_grams(codes, offsets)
+    folded, back = fold_high(codes)
+    keys = packed_grams(folded, offsets)
     if keys is not None:
         low = np.uint64(0xFFFF)
-        grams = (keys >> np.uint64(32) & low) << np.uint64(42) | (keys >> np.uint64(16) & low) << np.uint64(21) | keys & low
+        places = [keys >> np.uint64(32) & low, keys >> np.uint64(16) & low, keys & low]
+        a, b, c = places if back is None else (back[p] for p in places)
+        grams = a << np.uint64(42) | b << np.uint64(21) | c
         owner = (keys >> np.uint64(48)).astype(np.int64)
     else:
         grams, owner = _grams(codes, offsets, 21)
@@ -92,7 +124,8 @@ def gram_sets(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def shared_grams(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sizes of the gram sets of two columns of texts, and of their intersections, row by row."""
     left, right = code_points(a), code_points(b)
-    x, y = packed_grams(*left), packed_grams(*right)
+    folded, _ = fold_high(np.concatenate([left[0], right[0]]))
+    x, y = packed_grams(folded[: len(left[0])], left[1]), packed_grams(folded[len(left[0]) :], right[1])
     if x is not None and y is not None:
         owners = [(k >> np.uint64(48)).astype(np.int64) for k in (x, y, np.intersect1d(x, y, assume_unique=True))]
         return tuple(np.bincount(o, minlength=len(a)) for o in owners)
@@ -111,22 +144,90 @@ def pivot_table(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.bincount(owner * BLOCKS + block, minlength=n * BLOCKS).reshape(n, BLOCKS)
 
 
-def band_keys(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Band keys of each non-empty gram set (texts x BANDS), from ROWS min-hash values each."""
-    low = mix(grams ^ np.uint64(0x5BF03635DA2B4C1F)).astype(np.uint32)
-    rng = np.random.default_rng(20240607)
-    factors = rng.integers(1 << 20, 1 << 32, (BANDS, ROWS), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-    starts = offsets[:-1]
-    keys = np.zeros((len(starts), BANDS), np.uint32)
-    values = np.empty_like(low)
-    for band in range(BANDS):
-        key = np.full(len(starts), band, np.uint64)
-        for factor in factors[band]:
-            # the hash is random, so its product with an odd number is a new random order
-            np.multiply(low, factor, out=values)
-            key = mix(key * np.uint64(0x100000001B3) ^ np.minimum.reduceat(values, starts).astype(np.uint64))
-        keys[:, band] = key.astype(np.uint32)
-    return keys
+@cache
+def _draws(bins: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Where an empty bin looks in turn, and the order of all bins for one that found nothing there."""
+    own = np.arange(bins, dtype=np.uint64)
+    first = [(mix(own * np.uint64(_GOLDEN) + np.uint64(t + 1)) % np.uint64(bins)).astype(np.int64) for t in range(32)]
+    return first, mix(own[:, None] * np.uint64(bins) + own + np.uint64(77))
+
+
+def minima(mixed: np.ndarray, offsets: np.ndarray, turn: int, bins: int) -> np.ndarray:
+    """Min-hash values of non-empty sets of mixed grams (texts x bins), the least hash of each of ``bins`` bins of grams.
+
+    All come from one pass over the grams.  An empty bin takes over the value of
+    the first filled one in an order of its own, so that two sets agree in each
+    value with the chance of their similarity, however small they are.
+    """
+    n = len(offsets) - 1
+    h = mix(mixed + np.uint64((2 * turn + 1) * _GOLDEN & 0xFFFFFFFFFFFFFFFF))
+    cell = np.repeat(np.arange(n) * bins, np.diff(offsets)) + ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+    table = np.full(n * bins, _EMPTY, np.uint32)
+    np.minimum.at(table, cell, h.astype(np.uint32))
+    table = table.reshape(n, bins)
+    row, col = np.nonzero(table == _EMPTY)
+    filled, (first, order) = table.copy() if len(row) else table, _draws(bins)
+    for draw in first:
+        if not len(row):
+            return table
+        table[row, col] = taken = filled[row, draw[col]]
+        left = taken == _EMPTY
+        row, col = row[left], col[left]
+    edges = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else []
+    for a, b in zip(edges, [*edges[1:], len(row)]):
+        some = np.flatnonzero(filled[row[a]] != _EMPTY)
+        if len(some):
+            table[row[a], col[a:b]] = filled[row[a], some[order[np.ix_(col[a:b], some)].argmin(axis=1)]]
+    return table
+
+
+def band_keys(grams: np.ndarray, offsets: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    """Band keys of each non-empty gram set (texts x bands), from ``rows`` min-hash values each."""
+    mixed, n = mix(grams ^ np.uint64(0x5BF03635DA2B4C1F)), len(offsets) - 1
+    keys = []
+    for turn in range(-(-bands // _A_PASS)):
+        values = minima(mixed, offsets, turn, rows * _A_PASS).reshape(n, _A_PASS, rows)
+        key = np.broadcast_to(np.arange(turn * _A_PASS, (turn + 1) * _A_PASS, dtype=np.uint64), (n, _A_PASS))
+        for r in range(rows):
+            key = mix(key * np.uint64(0x100000001B3) ^ values[:, :, r])
+        keys.append(key.astype(np.uint32))
+    return np.concatenate(keys, axis=1)[:, :bands]
+
+
+def bands_needed(rows: int, threshold: float) -> int:
+    """Bands of ``rows`` values by which a pair at the threshold is missed with a chance of MISS at most."""
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-min(threshold**rows, 1 - 1e-9))))
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, 0, _BATCH_CHARS):
+        grams, offsets = gram_sets(*code_points(batch.column(0)))
+        some = np.flatnonzero(np.diff(offsets))
+        if len(some):
+            table = minima(mix(grams), np.r_[offsets[some], offsets[-1]], 0, _SKETCH)
+            yield pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in table], pa.binary())], names=["sketch"])
+
+
+def plan_bands(agreeing: np.ndarray, texts: int, threshold: float) -> tuple[int, int]:
+    """Values in a band and bands that cost least: ``agreeing`` counts the sampled pairs by the sketch values they share."""
+    far = agreeing[: math.ceil(_SKETCH * threshold)]  # alike pairs meet anyway
+
+    def cost(rows: int) -> float:
+        chance = sum(int(many) * math.comb(x, rows) for x, many in enumerate(far)) / math.comb(_SKETCH, rows)
+        return bands_needed(rows, threshold) * (_ROW_COST + texts * chance / max(int(agreeing.sum()), 1))
+
+    rows = min(range(1, MOST_ROWS + 1), key=cost)
+    return rows, bands_needed(rows, threshold)
+
+
+def _sampled_agreement(texts: DataFrame) -> np.ndarray:
+    """How many pairs of the given texts share 0, 1, ... values of their sketches; some SAMPLE texts are expected."""
+    sketches = [r.sketch for r in texts.select("bare").mapInArrow(_sketches, "sketch binary").limit(4 * SAMPLE).collect()]
+    values = np.frombuffer(b"".join(sketches), np.uint32).reshape(-1, _SKETCH)
+    same = np.zeros((len(values), len(values)), np.uint8)
+    for n in range(_SKETCH):
+        same += values[:, n, None] == values[None, :, n]
+    return np.bincount(same[np.triu_indices(len(values), 1)], minlength=_SKETCH + 1)
 
 
 def _slot_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,35 +259,39 @@ def prefix_keys(grams: np.ndarray, offsets: np.ndarray, hits: np.ndarray, thresh
     return h[order][place < np.repeat(needed, sizes)], needed
 
 
-def _signatures(threshold: float, hits=None):
-    """Of ``(id, digest, text)``: size of the gram set, its band keys (prefix keys where ``hits`` orders the grams) and its pivot table."""
+def _signatures(threshold: float, plan: tuple[int, int, int] | None = None, hits=None):
+    """Of ``(id, text)``: size of the gram set, its pivot table and its keys.
+
+    ``plan``: values in a band, bands, and bands of a round, a column of keys for
+    each round.  Where ``hits`` orders the grams, one column of prefix keys instead.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 2, _BATCH_CHARS):
-            grams, offsets = gram_sets(*code_points(batch.column(2)))
+        for batch in pieces(batches, 1, _BATCH_CHARS):
+            grams, offsets = gram_sets(*code_points(batch.column(1)))
             sizes = np.diff(offsets)
             some = np.flatnonzero(sizes)
-            packed, keys = np.full(len(sizes), b"", object), np.zeros(0, np.int32 if hits is None else np.int64)
-            numbers = np.where(sizes > 0, BANDS, 0)
+            packed, rounds = np.full(len(sizes), b"", object), []
             odd = np.zeros((len(sizes), _WORDS), np.int64)
+            inner = np.r_[offsets[some], offsets[-1]]
             if len(some):
-                inner = np.r_[offsets[some], offsets[-1]]
                 table = pivot_table(grams, inner)
                 packed[some] = _pack(table)
                 odd[some] = np.packbits((table & 1).astype(np.uint8), axis=1).view(np.int64)
-                if hits is None:
-                    keys = band_keys(grams, inner).reshape(-1).view(np.int32)
-                else:
-                    keys, numbers = prefix_keys(grams, offsets, hits.value, threshold)
-                    keys = keys.view(np.int64)
-            ends = pa.array(np.r_[0, np.cumsum(numbers)].astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(keys)),
-                    pa.array(packed, pa.binary()), *(pa.array(odd[:, n]) for n in range(_WORDS)),
-                ],
-                names=["id", "digest", "size", "bands", "pivots", *_PARITIES],
-            )
+            if hits is None:
+                rows, bands, a_round = plan
+                keys = band_keys(grams, inner, rows, bands).view(np.int32) if len(some) else np.zeros((0, bands), np.int32)
+                for first in range(0, bands, a_round):
+                    part = keys[:, first : first + a_round]
+                    rounds.append((part.reshape(-1), np.where(sizes > 0, part.shape[1], 0)))
+            else:
+                keys, numbers = prefix_keys(grams, offsets, hits.value, threshold)
+                rounds.append((keys.view(np.int64), numbers))
+            columns = {"id": batch.column(0), "size": pa.array(sizes.astype(np.int32)), "pivots": pa.array(packed, pa.binary())}
+            columns |= {p: pa.array(odd[:, n]) for n, p in enumerate(_PARITIES)}
+            for n, (keys, numbers) in enumerate(rounds):
+                columns[f"keys{n}"] = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(numbers)].astype(np.int32)), pa.array(keys))
+            yield pa.RecordBatch.from_pydict(columns)
 
     return sign
 
@@ -252,10 +357,16 @@ def _verify(threshold: float):
 def text_classes(rows: DataFrame, text_col: str = "page_content", id_col: str = "row_id") -> DataFrame:
     """``(id, digest, bare)``: each row with its text without white space; rows without letters and digits are left out."""
     bare = F.regexp_replace(F.col(text_col), r"(?U)[\s\x1c-\x1f]+", "")
-    texts = rows.select(F.col(id_col).cast("long").alias("id"), bare.alias("bare"))
-    return texts.where("id is not null").where(F.col("bare").rlike(r"[\p{L}\p{N}]")).select(
-        "id", F.unhex(F.md5("bare")).alias("digest"), "bare"
-    )
+    row_id = F.col(id_col).cast("long")
+    # white space holds no letters: the text itself is asked, else its white space would be removed twice
+    some = rows.where(row_id.isNotNull() & F.col(text_col).rlike(r"[\p{L}\p{N}]"))
+    return some.select(row_id.alias("id"), bare.alias("bare")).select("id", F.unhex(F.md5("bare")).alias("digest"), "bare")
+
+
+def _free_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files of ended jobs removed, which else stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def near_duplicate_classes(
@@ -267,33 +378,52 @@ def near_duplicate_classes(
     smallest id.  Links are all pairs of classes at or above ``threshold``.
     Null, blank and letterless texts belong to no class; texts of fewer than
     three characters have no grams and are linked to nothing but their copies.
-    By bands a link at the threshold is lost with a chance of 2e-6; with ``exact``
+    By bands a link at the threshold is lost with a chance of MISS; with ``exact``
     none is, for more work where many texts share rare grams.
     """
+    spark = rows.sparkSession
     texts = text_classes(rows, text_col, id_col)
-    hits = rows.sparkSession.sparkContext.broadcast(_slot_table(texts)) if exact else None
-    signs = materialize(texts.mapInArrow(_signatures(threshold, hits), _SIGNATURE.format("long" if exact else "int")), "signatures")
-    # one row a text: copies are dropped map-side
-    heads = signs.groupBy("digest").agg(F.min("id").alias("id"), F.min_by(F.struct("size", "bands", "pivots", *_PARITIES), "id").alias("s"))
-    classes = signs.groupBy("digest").agg(F.min("id").alias("class_id"))
-    members = signs.select("id", "digest").join(classes, "digest").select("id", "class_id")
-    key = F.col("key") if exact else F.shiftleft(F.col("band").cast("long"), 32) + F.col("key")
-    banded = heads.select("id", "s.size", *(f"s.{p}" for p in _PARITIES), F.posexplode("s.bands").alias("band", "key")).select(
-        key.alias("key"), "id", "size", *_PARITIES
-    )
-    tables = heads.select("id", F.col("s.size").alias("size"), F.col("s.pivots").alias("pivots"))
+    digests = materialize(texts.select("id", "digest"), "digests")
+    classes = digests.groupBy("digest").agg(F.min("id").alias("class_id"))
+    members = materialize(digests.join(classes, "digest").select("id", "class_id"), "members")
+    # one text a class
+    single = texts.select("id", "bare").join(members.where("id <> class_id").select("id"), "id", "left_anti")
+    hits, plan, rounds = None, None, 1
+    if exact:
+        hits = spark.sparkContext.broadcast(_slot_table(texts))
+    else:
+        n = members.where("id = class_id").count()
+        part = rows.where(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(max(1, n // SAMPLE))) == 0)
+        many, bands = plan_bands(_sampled_agreement(text_classes(part, text_col, id_col)), n, threshold)
+        a_round = min(bands, max(_ROUND_BANDS, _ROUND_ROWS // max(n, 1)))
+        plan, rounds = (many, bands, a_round), -(-bands // a_round)
+    schema = ", ".join([_SIGNATURE, *(f"keys{n} array<{'long' if exact else 'int'}>" for n in range(rounds))])
+    heads = materialize(single.mapInArrow(_signatures(threshold, plan, hits), schema), "signatures")
+    tables = heads.select("id", "size", "pivots")
     side = lambda df, name: df.select(*(F.col(c) if c == "key" else F.col(c).alias(f"{c}_{name}") for c in df.columns))
     apart = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in _PARITIES), F.lit(0))
     reach = (1 - threshold) / (1 + threshold) * (F.col("size_a") + F.col("size_b")) + 1e-6
     near_size = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * threshold - 1e-6
     within = F.expr("id_a < id_b") & near_size & (apart <= reach)
-    met = side(banded, "a").join(side(banded, "b"), "key").where(within).select("id_a", "id_b").distinct()
+    key = F.col("key") if exact else F.shiftleft(F.col("band").cast("long"), 32) + F.col("key")
+    met = []
+    for n in range(rounds):
+        if rounds > 1:
+            _free_shuffles(spark)
+        banded = heads.select("id", "size", *_PARITIES, F.posexplode(f"keys{n}").alias("band", "key")).select(
+            key.alias("key"), "id", "size", *_PARITIES
+        )
+        met.append(materialize(side(banded, "a").join(side(banded, "b"), "key").where(within).select("id_a", "id_b").distinct(), "met"))
+    met = reduce(DataFrame.unionByName, met).distinct() if rounds > 1 else met[0]
     pairs = (
         met.join(side(tables, "a"), "id_a")
         .join(side(tables, "b"), "id_b")
         .select("id_a", "id_b", "size_a", "size_b", "pivots_a", "pivots_b")
         .mapInArrow(_discard_far(threshold), "id_a long, id_b long")
     )
+    if rounds > 1:
+        pairs = materialize(pairs, "pairs")
+        _free_shuffles(spark)
     heads_texts = texts.select("id", "bare")
     links = (
         pairs.join(side(heads_texts, "a"), "id_a")
