@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lorequarry.operators.draws import digit_blocks, md5_heads
 from lorequarry.operators.scans import pick_by_rank, start_offsets
 from lorequarry.shared import materialize
 
@@ -130,9 +133,33 @@ def weighted_mean(v: Column, times: Column) -> Column:
     return F.sum(times * v) / F.sum(times)
 
 
+def _drawn_sums(held, seed: int):
+    """``(rep, mean)`` of repetitions ``(rep)``; ``held`` are the values by place."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = held.value
+        for batch in batches:
+            reps = batch.column(0).to_pylist()
+            sums = np.zeros(len(reps))
+            for digits, _ in digit_blocks(len(v)):
+                for i, rep in enumerate(reps):
+                    at = md5_heads(f"{seed}:{rep}:".encode(), digits)
+                    at -= at // np.uint32(len(v)) * np.uint32(len(v))
+                    sums[i] += v[at].sum()
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int32()), pa.array(sums / len(v))], names=["rep", "mean"])
+
+    return draw
+
+
 def _resampled_means(values: DataFrame, reps: int, seed: int, statistic: Statistic = weighted_mean) -> DataFrame:
     """``(rep, mean)``: each repetition draws as many values as there are, by a portable hash of (seed, rep, draw)."""
     values = materialize(values, "resampled")
+    spark, many = values.sparkSession, values.count()
+    if statistic is weighted_mean and 0 < many <= HELD and values.where("v is null").isEmpty():
+        held = values.orderBy("key").select(F.col("v").cast("double")).toArrow()["v"].to_numpy()
+        tasks = min(reps, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+        numbers = spark.range(0, reps, 1, tasks).select(F.col("id").cast("int").alias("rep"))
+        return numbers.mapInArrow(_drawn_sums(spark.sparkContext.broadcast(held), seed), "rep int, mean double")
     counts = values.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
     placed = values.join(start_offsets(counts, "key", "c"), "key").select(F.col("offset").alias("place"), "v")
     size = placed.agg(F.count(F.lit(1)).alias("n"))  # one row
@@ -140,7 +167,7 @@ def _resampled_means(values: DataFrame, reps: int, seed: int, statistic: Statist
     mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("draw").cast("string")))
     at = F.conv(F.substring(mark, 1, 8), 16, 10).cast("long") % F.col("n")
     picked = draws.crossJoin(F.broadcast(size)).select("rep", at.alias("place"))
-    if values.count() <= HELD:
+    if many <= HELD:
         # the values go to the draws, of which only sums are shuffled
         drawn = picked.withColumn("times", F.lit(1)).join(F.broadcast(placed), "place")
     else:
@@ -162,7 +189,8 @@ def bootstrap_interval(
 
     ``statistic`` is an aggregate of a value and how often it was drawn; the mean where none is given.
 
-    Work is reps x rows, spread over the rows; up to HELD values only sums are shuffled, beyond that the draws.
+    Work is reps x rows; up to HELD values a mean is drawn where its repetition is, for other statistics only sums
+    are shuffled, beyond that the draws.
     """
     return _bounds(_resampled_means(values, reps, seed, statistic), reps, confidence)
 
