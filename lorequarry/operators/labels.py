@@ -123,7 +123,8 @@ def expand_gold(items: DataFrame, chunks: DataFrame, threshold: float = 0.8) ->
     """
     evidence = items.select("item_id", F.explode(distinct_ids(F.col("evidence_chunk_ids"))).alias("a"))
     alike = evidence_pairs(items, chunks, threshold).select("a", F.col("b").alias("chunk_id"))
-    sources = chunk_texts(chunks).select("chunk_id", "source")
+    rows = chunks.where("page_content is not null and chunk_id is not null")
+    sources = rows.groupBy("chunk_id").agg(F.min_by("source", "row_id").alias("source"))  # no text is sent for them
     added = evidence.join(alike, "a").select("item_id", "chunk_id").distinct()
     added = added.join(evidence.withColumnRenamed("a", "chunk_id"), ["item_id", "chunk_id"], "left_anti").join(sources, "chunk_id")
     grown = added.groupBy("item_id").agg(F.collect_set("chunk_id").alias("more"), F.collect_set("source").alias("more_sources"))

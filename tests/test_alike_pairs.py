@@ -46,3 +46,17 @@ def test_what_is_kept_follows_the_texts(spark):
     before, df = size(), spark.createDataFrame(texts, "chunk_id string, text string")
     labels.similar_pairs(df, df).collect()
     assert size() - before < 3 * sum(len(t.encode()) for _, t in texts)
+
+
+def test_sources_are_read_without_texts(spark):
+    """The sources of added chunks are looked up without sending a text; counts of the labels follow."""
+    text = "an evidence text that is long enough to have many trigrams"
+    chunks = spark.createDataFrame(
+        [(1, "a", "s1", text), (2, "b", "s2", text + "s"), (3, "b", "s3", "later row"), (4, "c", "s4", "unlike all else")],
+        "row_id long, chunk_id string, source string, page_content string",
+    )
+    items = spark.createDataFrame([(7, ["a"], ["s1"]), (8, ["c"], ["s4"])], "item_id long, evidence_chunk_ids array<string>, expected_sources array<string>")
+    grown = labels.expand_gold(items, chunks)
+    assert "min_by(struct" not in grown._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, grown.collect())) == [(7, ["a", "b"], 1, 1, True), (8, ["c"], 0, 0, False)]
+    assert tuple(labels.label_stats(grown).first()) == (2, 1, 0.5, 1, 1)
